@@ -2,7 +2,7 @@
 
 Rows are compared only under equal labels. Equal vectors become one class first. Classes are dealt to
 tables of cells (a few quantised projections each; the number of tables gives a pair at the threshold a
-chance over 0.999 to meet). In a cell the values of many further projections are sorted, each query's
+chance over 0.9999 to meet). In a cell the values of many further projections are sorted, each query's
 window counts the rows within reach, and pairs whose count passes the calibrated threshold are verified
 by cosine in double precision. A pair counts in the first table where it meets. Cells over a bound are cut
 into pairs of runs. Vectors that are null, zero or hold null or non-finite parts, and rows with a null
@@ -22,21 +22,21 @@ from skycensus.llm.common import components, cut, table
 from skycensus.llm.simhash import groups_of, runs, stars
 
 COSINE = 0.93
-TABLES, CELL_DIMS, PROJECTIONS = 24, 6, 48
+TABLES, CELL_DIMS, PROJECTIONS = 36, 6, 48
 RUN = 1024
 
 
 class Plan:
     """Seeded projections, cell width, window and count for a threshold."""
 
-    def __init__(self, dims: int, cosine: float = COSINE, seed: int = 11, miss: float = 1e-4):
+    def __init__(self, dims: int, cosine: float = COSINE, seed: int = 11, miss: float = 1e-7):
         make = np.random.default_rng(seed)
         self.cells = make.normal(size=(dims, TABLES * CELL_DIMS))
         self.shift = make.uniform(size=TABLES * CELL_DIMS)
         self.lines = make.normal(size=(dims, PROJECTIONS))
         far = math.sqrt(2 - 2 * cosine)
-        self.width, self.reach = 4 * far, 1.6 * far
-        p = math.erf(1.6 / math.sqrt(2))  # a pair at the threshold falls into one window
+        self.width, self.reach = 5 * far, 1.8 * far
+        p = math.erf(1.8 / math.sqrt(2))  # a pair at the threshold falls into one window
         total, self.least = 0.0, 0
         for k in range(PROJECTIONS + 1):  # the largest count that such a pair misses with a chance under `miss`
             total += math.comb(PROJECTIONS, k) * p**k * (1 - p) ** (PROJECTIONS - k)

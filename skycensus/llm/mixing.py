@@ -77,7 +77,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same mix: documents in hash order while their running size stays within the rest.
 OP7_SQL = r"""
-WITH rows AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> ''))::BIGINT AS size,
+WITH rows AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS size,
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS key FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source::BLOB NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM per),

@@ -23,6 +23,7 @@ from skycensus.llm.common import map_texts, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
+_64 = 2**64 - 1
 _WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -46,11 +47,14 @@ class Pieces:
         sym, n = list(word), len(word)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda: list = []
+        keyed = xxhash.xxh64_intdigest(f"{variant}\t{word}", self.seed)  # mixed with each candidate's place
 
         def propose(i: int, j: int) -> None:
             if i >= 0 and j < n and (found := self.rank.get(sym[i] + sym[j])):
-                if self.rate and xxhash.xxh64_intdigest(f"{variant}\t{i}\t{j}\t{word}", self.seed) < self.rate:
-                    return
+                if self.rate:
+                    mixed = (keyed ^ (i * 0x9E3779B97F4A7C15 + j * 0xC2B2AE3D27D4EB4F)) * 0xFF51AFD7ED558CCD & _64
+                    if (mixed ^ mixed >> 32) * 0xC4CEB9FE1A85EC53 & _64 < self.rate:
+                        return
                 heapq.heappush(agenda, (found[0], i, j, len(sym[i]), len(sym[j])))
 
         for i in range(n - 1):

@@ -23,6 +23,9 @@ from skycensus.llm.common import map_texts, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
+#: Words under so many characters are merged many at once and remembered, up to so many before a task starts anew.
+SHORT, KEPT = 40, 400_000
+NONE, DEAD = 2**31 - 1, -2
 _64 = 2**64 - 1
 _WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
@@ -40,7 +43,24 @@ class Pieces:
         self.out = [names[i].replace(BLANK, " ").encode() for i in range(n)]
         for b in range(256):
             self.out[self.bytes_at + b] = bytes([b])
-        self.rate, self.seed, self.variants, self.kept = int(rate * 2**64), seed, variants, {}
+        self.blank = np.array([self.bytes_at + b for b in BLANK.encode()], np.int32).tobytes()
+        self._pair_table(names, usable)
+        self.rate, self.seed, self.variants, self.kept = min(int(rate * 2**64), _64), seed, variants, {}
+
+    def _pair_table(self, names: list[str], usable: list[int]) -> None:
+        """Symbols are the pieces by rank, then the characters that are no piece; `codes` has the pairs that merge, sorted."""
+        order = sorted(usable, key=lambda i: self.rank[names[i]])
+        self.id_at = np.array(order, np.int32)
+        number = {names[i]: r for r, i in enumerate(order)}
+        for c in {c for i in order for c in names[i]} - number.keys():
+            number[c] = len(number)
+        self.symbols = len(number)
+        found = [(number[a] * self.symbols + number[b], r) for r, i in enumerate(order) for k in range(1, len(names[i])) if (a := names[i][:k]) in number and (b := names[i][k:]) in number]
+        self.codes, self.merged = np.array(sorted(found), np.int64).reshape(-1, 2).T.copy()
+        self.symbol_of = np.full(0x110000, -1, np.int32)
+        for c, r in number.items():
+            if len(c) == 1:
+                self.symbol_of[ord(c)] = r
 
     def word(self, word: str, variant: int) -> list[int]:
         """Merge the characters of one word by the agenda."""
@@ -76,29 +96,75 @@ class Pieces:
                 ids += [found[1]] if found else [self.bytes_at + b for b in s.encode()]
         return ids
 
+    def pairs(self, a: np.ndarray, b: np.ndarray, keyed: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Place in the ranking of the merge of symbols a and b, that start at i and j; NONE if there is none or it is skipped."""
+        code = a.astype(np.int64) * self.symbols + b
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        mixed = (keyed ^ (i.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + j.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0xFF51AFD7ED558CCD)
+        skip = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xC4CEB9FE1A85EC53) < np.uint64(self.rate)
+        return np.where((a >= 0) & (b >= 0) & (self.codes[at] == code) & ~skip, self.merged[at], NONE)
+
+    def many(self, todo: list[tuple[str, int]]) -> list[bytes]:
+        """Ids of many short (word, variant) at once, as word() gives them: each round pops every word's best candidate."""
+        words = [w for w, _ in todo]
+        n, size = len(words), np.array([len(w) for w in words])
+        wide = int(size.max())
+        sym = np.full((n, wide + 1), -1, np.int32)
+        sym[:, :wide] = self.symbol_of[np.array(words, f"<U{wide}").view(np.uint32).reshape(n, wide)]
+        place = np.arange(wide + 1)
+        sym[place >= size[:, None]] = -1
+        plain = ((sym >= 0) & (sym < len(self.id_at)) | (place >= size[:, None])).all(1)  # others fall back to bytes, in word()
+        keyed = np.fromiter((xxhash.xxh64_intdigest(f"{v}\t{w}", self.seed) for w, v in todo), np.uint64, n)
+        right, left = np.tile(np.minimum(place + 1, wide), (n, 1)), np.tile(place - 1, (n, 1))
+        best = np.full((n, wide + 1), NONE, np.int32)
+        best[:, :wide] = self.pairs(sym[:, :-1], sym[:, 1:], keyed[:, None], place[:-1], place[1:])
+        live = np.nonzero(plain)[0]
+        while len(live):
+            i = best[live].argmin(1)
+            r = best[live, i]
+            live, i, r = live[go := r < NONE], i[go], r[go]
+            j = right[live, i]
+            stop, h = right[live, j], left[live, i]
+            sym[live, i], right[live, i], left[live, stop] = r, stop, i
+            sym[live, j], best[live, j] = DEAD, NONE
+            best[live, i] = self.pairs(r, sym[live, stop], keyed[live], i, stop)
+            k = np.nonzero(h >= 0)[0]
+            best[live[k], h[k]] = self.pairs(sym[live[k], h[k]], r[k], keyed[live[k]], h[k], i[k])
+        sym[~plain] = -1
+        held = sym >= 0
+        ids = self.id_at[sym[held]].tobytes()
+        ends = (4 * np.cumsum(held.sum(1))).tolist()
+        return [ids[a:b] if ok else np.array(self.word(w, v), np.int32).tobytes() for a, b, ok, (w, v) in zip([0, *ends], ends, plain.tolist(), todo, strict=False)]
+
     def encode(self, text: str) -> list[int]:
-        """Ids of a text; which variant each word takes follows from the text and the place."""
-        ids: list[int] = []
-        kept, v = self.kept, self.variants if self.rate else 1
-        turn = xxhash.xxh64_intdigest(text, self.seed) % v
-        for k, part in enumerate(text.split(BLANK)):
-            if k:
-                ids += [self.bytes_at + b for b in BLANK.encode()]
-            body = part.replace(" ", BLANK)
-            for word in _WORDS.findall(BLANK + body if k == 0 else body):
-                turn = (turn + 1) % v
-                got = kept.get((word, turn))
-                if got is None:
-                    got = self.word(word, turn)
-                    if len(word) < 40:
-                        if len(kept) >= 400_000:
-                            kept.clear()
-                        kept[word, turn] = got
-                ids += got
-        return ids
+        return self.encode_all([text])[0].tolist()
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; which variant each word takes follows from the text and the place."""
+        kept, v, out, cut, missing = self.kept, self.variants if self.rate else 1, [], [], {}
+        if len(kept) > KEPT:
+            kept.clear()
+        for text in texts:
+            turn, parts = xxhash.xxh64_intdigest(text, self.seed) % v, []
+            for k, part in enumerate(text.split(BLANK)):
+                if k:
+                    parts.append(None)
+                body = part.replace(" ", BLANK)
+                words = _WORDS.findall(BLANK + body if k == 0 else body)
+                parts += [(w, (turn + p) % v) for p, w in enumerate(words, 1)]
+                turn = (turn + len(words)) % v
+            cut.append(parts)
+            missing.update(dict.fromkeys(p for p in parts if p and p not in kept))
+        long = {p: np.array(self.word(*p), np.int32).tobytes() for p in missing if len(p[0]) >= SHORT}
+        todo = sorted((p for p in missing if p not in long), key=lambda p: len(p[0]))
+        for a in range(0, len(todo), 4096):
+            kept.update(zip(todo[a : a + 4096], self.many(todo[a : a + 4096]), strict=True))
+        for parts in cut:
+            out.append(np.frombuffer(b"".join([self.blank if p is None else long[p] if p in long else kept[p] for p in parts]), np.int32))
+        return out
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")[1:]
+        return b"".join(map(self.out.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace")[1:]
 
 
 @lru_cache(4)
@@ -110,11 +176,17 @@ def encode(df: DataFrame, keep: list[str], text: str = "text", model: str = MODE
     """keep plus n_tokens, ids and lossless (the ids decode to the text; null for a null text)."""
 
     def make(texts):
-        p, ids, same = pieces(model, rate, seed, variants), [], []
-        for t in texts:
-            got = None if t is None else p.encode(t) if t else []
-            same.append(None if t is None else (p.decode(got) if got else "") == t)
-            ids.append(None if got is None else np.array(got, dtype=np.int32))
+        p, known, at = pieces(model, rate, seed, variants), [t for t in texts if t], 0
+        done: list = []
+        while at < len(known):  # a million characters at once, or one text
+            to, chars = at + 1, len(known[at])
+            while to < len(known) and chars + len(known[to]) <= 1_000_000:
+                chars, to = chars + len(known[to]), to + 1
+            done += p.encode_all(known[at:to])
+            at = to
+        found = iter(done)
+        ids = [None if t is None else next(found) if t else np.zeros(0, np.int32) for t in texts]
+        same = [None if t is None else (p.decode(i) if t else "") == t for t, i in zip(texts, ids, strict=True)]
         return {"n_tokens": pa.array([0 if i is None else len(i) for i in ids], pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32())), "lossless": pa.array(same, pa.bool_())}
 
     return map_texts(df, keep, text, make, "n_tokens bigint, ids array<int>, lossless boolean")

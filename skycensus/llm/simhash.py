@@ -155,11 +155,16 @@ def links(fps: DataFrame, bits: int = BITS, size: int = RUN) -> DataFrame:
     return dealt.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a bigint, b bigint")
 
 
+def rooted(per: DataFrame, bits: int = BITS) -> DataFrame:
+    """per, which has each fp once, plus the root fp of its class."""
+    found = components(links(per.select("fp"), bits)).withColumnRenamed("root", "top")
+    return per.join(found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("top", "fp")).drop("node", "top")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", bits: int = BITS) -> DataFrame:
     """id_col, fp and component_id (smallest id of the class) for each row of docs."""
     rows = cut(fingerprints(docs, [id_col]))
-    per = cut(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
-    found = per.join(components(links(per.select("fp"), bits)), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    found = rooted(cut(rows.groupBy("fp").agg(F.min(id_col).alias("least"))), bits)
     tops = found.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(found.join(tops, "root").select("fp", "component_id"), "fp")
 
@@ -170,6 +175,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, the one with the smallest id."""
-    kept = classes(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.select("doc_id", "text", "lang", "source", "n_chars").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of each class stays: the smallest id, of equal ids the smallest text hash (nulls last in both).
+
+    Ids may be null or repeat. A row is named by its id, text hash and the other columns, so only rows alike
+    in all columns share a name, and those are of one class.
+    """
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    name = F.to_json(F.struct("doc_id", F.md5(F.encode("text", "utf-8")).alias("text"), "lang", "source", "n_chars"))
+    named = docs.select(*columns, name.alias("row"))
+    first = F.struct(F.isnull("doc_id").alias("a"), F.col("doc_id").alias("b"), F.isnull("text").alias("c"), F.col("row").alias("row"))
+    per = cut(fingerprints(named.withColumn("first", first), ["first"]).groupBy("fp").agg(F.min("first").alias("first")))
+    kept = rooted(per).groupBy("root").agg(F.min("first").alias("first")).select("first.row")
+    return named.join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*columns)

@@ -224,6 +224,17 @@ def test_simhash(spark, docs):
     assert brute_components(order, [tuple(p) for p in found]) == brute_components(order, pairs)
 
 
+def test_simhash_stage_keeps_each_class_once(spark):
+    from skycensus.llm.simhash import stage
+
+    one, two, three = (" ".join(f"{w}{k}" for k in range(60)) for w in ("ash", "birch", "cedar"))
+    data = [(None, one, "en", "s", 1), (None, one, "en", "s", 1), (None, one, "de", "s", 1), (7, two, "en", "s", 1), (7, three, "en", "s", 1), (9, three, "en", "s", 1), (None, two, "en", "s", 1), (8, None, "en", "s", 0), (None, "", None, None, 0)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((tuple(r)[:2] for r in stage(spark, df.repartition(4), DIR).collect()), key=str)
+    assert got == sorted([(None, one), (7, two), (7, three), (8, None)], key=str)
+    assert stage(spark, df.limit(0), DIR).count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

@@ -1,8 +1,8 @@
 """Quality classifier: hashed word n-grams, logistic regression by follow-the-regularised-leader.
 
-Features of a text are hashed counts of its words, of word shapes (case and marks kept, letters collapsed)
-and of shape pairs that say whether a word was seen before; they are scaled to length one, and a score is
-the logistic of a sparse dot product. Null and empty texts score by the intercept. With no labels every
+Features of a text are hashed counts of its words and of its runs of two and three words; added to these are
+word shapes (case and marks kept, letters collapsed) and shape pairs that say whether a word was seen before.
+They are scaled to length one, and a score is the logistic of a sparse dot product. Null and empty texts score by the intercept. With no labels every
 score is 0.5.
 """
 
@@ -35,6 +35,11 @@ def _codes(word: str) -> tuple[int, int]:
     return zlib.crc32(word.encode()), zlib.crc32(b"\x01" + _shape(word).encode())
 
 
+def _mix(code: np.ndarray) -> np.ndarray:
+    """32 bits of each 64-bit code, that depend on all of them."""
+    return (code ^ code >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
+
+
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of a text; index 0 is the intercept."""
     words = (text or "").split()
@@ -48,7 +53,10 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     shape = codes[:, 1]
     marks = seen + 2 * same + 5
     pairs = (shape[:-1] * np.uint64(0x9E3779B1) + shape[1:] * np.uint64(31) + marks[1:] * np.uint64(0x85EBCA6B)) & np.uint64(0xFFFFFFFF)
-    every = np.concatenate((codes[:, 0], shape, pairs, marks))
+    word = codes[:, 0]
+    two = _mix(word[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[1:])
+    three = _mix(two[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[2:])
+    every = np.concatenate((word, two, three, shape, pairs, marks))
     at, n = np.unique((every * np.uint64(2654435761) >> np.uint64(8)) % np.uint64((1 << BITS) - 1) + np.uint64(1), return_counts=True)
     value = n / np.sqrt((n * n).sum())
     return np.concatenate(([0], at.astype(np.int64))), np.concatenate(([1.0], value))

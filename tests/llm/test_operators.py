@@ -93,6 +93,21 @@ def test_classifiers_edges(spark, docs):
     assert got[1] > 0.5 > got[2] == got[3]
 
 
+def test_quality_sees_word_order(spark):
+    from skycensus.llm import quality
+
+    rng = np.random.default_rng(4)
+    names = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(300)]
+    data = []
+    for k in range(600):  # good texts walk the list of words in order, bad ones have the same words shuffled
+        words = [names[(7 * k + j) % 300] for j in range(60)]
+        data.append((k, " ".join(rng.permutation(words) if k % 2 else words), 1 - k % 2))
+    df = spark.createDataFrame(data, "doc_id long, text string, quality int")
+    got = {r.doc_id: r.score for r in quality.score(df, ["doc_id"], quality.fit(df, df.select("doc_id", "quality"))).collect()}
+    held = [(got[d] >= 0.5) == y for d, _, y in data if zlib.crc32(str(d).encode()) % 5 == 0]
+    assert len(held) > 80 and np.mean(held) > 0.95
+
+
 def test_license_scan(spark):
     from skycensus.llm.license_scan import TEMPLATES, align, scan_licenses
 

@@ -6,12 +6,16 @@ rest is refined by the next bits, and so on; documents under the threshold are t
 sorted but histograms of at most 4096 buckets a source. A larger budget takes all that a smaller one took.
 Null texts and texts of blanks have size 0. Rows that repeat an id are taken alike. One row per source is
 gathered for the targets. Empty input gives no rows.
+
+The query follows its SQL, that takes nothing behind the first document that doesn't fit. The pipeline fills up
+instead: the hash is of id, source and text, and what is left of the rest goes on past a document that doesn't fit, to
+all later ones that do (there a larger budget may drop what a smaller one took).
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skycensus.llm.common import cut, map_texts, small, table
@@ -20,13 +24,19 @@ WEIGHTS, BUDGET, MOST = (3, 1, 2), 1.5, 2.0
 LEVELS, LEVEL_BITS = 4, 12
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words), key (48 hash bits of the id)."""
-    rows = map_texts(docs, ["doc_id", "source"], "text", lambda ts: {"size": pa.array([len((t or "").encode().split()) for t in ts], pa.int64())}, "size bigint")
-    text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+def sizes(docs: DataFrame, by_text: bool = False) -> DataFrame:
+    """doc_id, source, size (words), key (48 hash bits of the id; by_text: of `row`, a hash of id, source and text)."""
+    keep, text = ["doc_id", "source"], F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    if by_text:
+        docs, keep, text = docs.withColumn("row", row_name()), [*keep, "row"], F.col("row")
+    rows = map_texts(docs, keep, "text", lambda ts: {"size": pa.array([len((t or "").encode().split()) for t in ts], pa.int64())}, "size bigint")
     return rows.withColumn("key", F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long"))
 
 
+def row_name() -> Column:
+    return F.md5(F.to_json(F.struct("doc_id", "source", F.md5(F.encode("text", "utf-8")).alias("text"))))
+
+
 def targets(rows: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
     """source, source_size, target: shares of the budget by weight, each at most `most` times its source."""
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -43,13 +53,12 @@ def targets(rows: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: floa
     return per.withColumn("stop", least.over(every)["level"]).select("source", "source_size", F.when(F.col("full"), room).otherwise(F.col("stop") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (how often the mix takes the document)."""
-    rows = cut(sizes(docs))
-    goal = targets(rows, weights, budget, most)
-    full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    goal = cut(goal.withColumn("whole", full.cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
-    state = goal.select("source", "rest", F.lit(0).cast("long").alias("lead"))
+def refine(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """source, rest, lead: the key at which the running size passes the rest, and what is then left of it.
+
+    A source whose rest holds all its rows is left out.
+    """
+    state = state.select("source", "rest", F.lit(0).cast("long").alias("lead"))
     for level in range(LEVELS):
         shift = 12 * LEVELS - LEVEL_BITS * (level + 1)
         here = rows.select("source", "size", F.shiftright("key", shift).alias("bucket"))
@@ -63,6 +72,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float =
             F.max("bucket").alias("last"), F.max("rest").alias("rest"),
         )
         state = cut(found.select("source", F.coalesce("b.rest", "rest").alias("rest"), F.coalesce("b.bucket", F.col("last") + 1).alias("lead")))
+    return state
+
+
+def later(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows behind the lead of their source that fit its rest."""
+    limit = small(state).withColumnRenamed("source", "s")
+    return rows.join(limit, F.col("source").eqNullSafe(F.col("s")) & (F.col("key") > F.col("lead")) & (F.col("size") > 0) & (F.col("size") <= F.col("rest"))).select(*rows.columns)
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, fill: bool = False) -> DataFrame:
+    """doc_id (fill: and row), source, size, source_size, target, copies (how often the mix takes the document)."""
+    rows = cut(sizes(docs, fill))
+    goal = targets(rows, weights, budget, most)
+    full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    goal = cut(goal.withColumn("whole", full.cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
+    if fill:
+        return _filled(rows, goal, most)
+    state = refine(rows, goal)
     limits = goal.join(state.select(F.col("source").alias("s"), "lead"), F.col("source").eqNullSafe(F.col("s")), "left")
     limits = cut(limits.select(F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("lead", F.lit(0)).alias("lead")))
     taken = rows.join(small(limits), F.col("source").eqNullSafe(F.col("s")))
@@ -70,6 +97,29 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float =
     return taken.select("doc_id", "source", "size", "source_size", "target", F.least(copies, F.lit(int(most))).alias("copies"))
 
 
+def _filled(rows: DataFrame, goal: DataFrame, most: float) -> DataFrame:
+    """The mix that takes every document that fits what is left, in hash order, until none behind does."""
+    state = cut(goal.select("source", "rest", F.lit(-1).cast("long").alias("lead")))
+    spans = None
+    while True:  # a round takes one document at least and moves the lead on
+        fits = cut(later(rows, state))
+        if fits.isEmpty():
+            break
+        before = state.select(F.col("source").alias("s"), F.col("lead").alias("after"), F.col("rest").alias("fits"))
+        state = refine(fits, state)
+        # a source whose rest holds all that fit has no lead any more
+        new = before.join(state, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("s").alias("source"), F.struct("after", F.coalesce("lead", F.lit(1 << 48)).alias("to"), "fits").alias("span"))
+        spans = cut(new if spans is None else spans.unionByName(new))
+    limits = goal.select(F.col("source").alias("s"), "source_size", "target", "whole", F.lit(None).cast("array<struct<after:bigint,to:bigint,fits:double>>").alias("spans"))
+    if spans is not None:
+        per = spans.groupBy(F.col("source").alias("t")).agg(F.collect_list("span").alias("spans"))
+        limits = limits.drop("spans").join(per, F.col("s").eqNullSafe(F.col("t")), "left").drop("t")
+    taken = rows.join(small(cut(limits)), F.col("source").eqNullSafe(F.col("s")))
+    under = F.exists("spans", lambda x: (F.col("key") > x["after"]) & (F.col("key") < x["to"]) & (F.col("size") <= x["fits"]))
+    copies = F.col("whole") + F.coalesce(under, F.lit(False)).cast("long")
+    return taken.select("doc_id", "row", "source", "size", "source_size", "target", F.least(copies, F.lit(int(most))).alias("copies"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mix(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
@@ -95,9 +145,9 @@ SELECT doc_id, size, source_size, round(target, 3) AS target,
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; documents without words stay once."""
-    many = mix(docs).select("doc_id", F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("copies"))
-    many = many.groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    got = docs.select("doc_id", "text", "lang", "source", "n_chars").join(many.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")))
+    """Each row as often as the mix takes it (rows equal in id, source and text alike); documents without words stay once."""
+    many = mix(docs, fill=True).select("row", F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("copies"))
+    many = many.groupBy("row").agg(F.max("copies").alias("copies"))
+    got = docs.select("doc_id", "text", "lang", "source", "n_chars", row_name().alias("row")).join(many, "row")
     got = got.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return got.select("doc_id", "text", "lang", "source", "n_chars")

@@ -175,6 +175,23 @@ def test_mixing(spark, docs):
     assert mix(docs).count() == len(DOCS) and mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_stage_meets_each_target(spark):
+    from skycensus.llm.mixing import stage, targets
+
+    words = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    data = [(s, None if k % 3 == 0 else k, words(k, 9000 if k == 200 else 1 + k % 30), "en", 1) for s in ("a", "b", None) for k in range(500)]
+    df = spark.createDataFrame(data, "source string, doc_id long, text string, lang string, n_chars long")
+    sized = spark.createDataFrame([(d[0], len(d[2].split())) for d in data], "source string, size long")
+    want = {r.source: r.target for r in targets(sized).collect()}
+    got, most = Counter(), Counter()
+    for r in stage(spark, df, DIR).select("source", "text").collect():
+        got[r.source] += len(r.text.split())
+        most[r.source, r.text] += 1
+    for s in want:  # no document that could be taken once more fits what is left
+        left = [len(d[2].split()) for d in data if d[0] == s and most[s, d[2]] < want[s] / sum(len(x[2].split()) for x in data if x[0] == s)]
+        assert 0 <= want[s] - got[s] < min(left, default=1), (s, want[s], got[s])
+
+
 def test_sharding(spark, docs):
     from skycensus.llm.sharding import Tree, pack, shard
 

@@ -1,8 +1,8 @@
 """Encoding and decoding with a merge-type piece vocabulary, with seeded merge-dropout.
 
 The agenda holds adjacent pairs by score, best and leftmost first. A candidate merge is skipped when a keyed
-hash of (seed, variant, piece, place) falls under the dropout rate, so a text gets one of many
-segmentations and the same one in each run. Words of the vocabulary never go past a blank, so texts are
+hash of (seed, text, place of the word, piece, places of both sides) falls under the dropout rate, so each
+occurrence of a word is drawn by itself, and alike in each run. Words of the vocabulary never go past a blank, so texts are
 encoded word by word. Null text: null ids and text. Empty text: no ids. Decoding gives back every text: a
 literal piece blank is written as bytes.
 """
@@ -23,7 +23,7 @@ from skycensus.llm.common import map_texts, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-#: Words under so many characters are merged many at once and remembered, up to so many before a task starts anew.
+#: Words under so many characters are merged many at once; without dropout so many are remembered before a task starts anew.
 SHORT, KEPT = 40, 400_000
 NONE, DEAD = 2**31 - 1, -2
 _64 = 2**64 - 1
@@ -31,7 +31,8 @@ _WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
 class Pieces:
-    def __init__(self, path: str, rate: float, seed: int, variants: int):
+    def __init__(self, path: str, rate: float, seed: int, variants: int = 0):
+        """`variants` is not used any more: the draws of a word are not bounded."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -45,7 +46,7 @@ class Pieces:
             self.out[self.bytes_at + b] = bytes([b])
         self.blank = np.array([self.bytes_at + b for b in BLANK.encode()], np.int32).tobytes()
         self._pair_table(names, usable)
-        self.rate, self.seed, self.variants, self.kept = min(int(rate * 2**64), _64), seed, variants, {}
+        self.rate, self.seed, self.kept = min(int(rate * 2**64), _64), seed, {}
 
     def _pair_table(self, names: list[str], usable: list[int]) -> None:
         """Symbols are the pieces by rank, then the characters that are no piece; `codes` has the pairs that merge, sorted."""
@@ -62,17 +63,25 @@ class Pieces:
             if len(c) == 1:
                 self.symbol_of[ord(c)] = r
 
-    def word(self, word: str, variant: int) -> list[int]:
-        """Merge the characters of one word by the agenda."""
+    def keys(self, text: str, n: int) -> list[int]:
+        """A key for each of the n words of a text."""
+        if not self.rate:
+            return [0] * n
+        k = np.uint64(xxhash.xxh64_intdigest(text, self.seed)) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        k = (k ^ k >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        k = (k ^ k >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return (k ^ k >> np.uint64(31)).tolist()
+
+    def word(self, word: str, keyed: int) -> list[int]:
+        """Merge the characters of one word by the agenda; its key is mixed with each candidate."""
         sym, n = list(word), len(word)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda: list = []
-        keyed = xxhash.xxh64_intdigest(f"{variant}\t{word}", self.seed)  # mixed with each candidate's place
 
         def propose(i: int, j: int) -> None:
             if i >= 0 and j < n and (found := self.rank.get(sym[i] + sym[j])):
                 if self.rate:
-                    mixed = (keyed ^ (i * 0x9E3779B97F4A7C15 + j * 0xC2B2AE3D27D4EB4F)) * 0xFF51AFD7ED558CCD & _64
+                    mixed = (keyed ^ (i * 0x9E3779B97F4A7C15 + j * 0xC2B2AE3D27D4EB4F + found[1] * 0x165667B19E3779F9 & _64)) * 0xFF51AFD7ED558CCD & _64
                     if (mixed ^ mixed >> 32) * 0xC4CEB9FE1A85EC53 & _64 < self.rate:
                         return
                 heapq.heappush(agenda, (found[0], i, j, len(sym[i]), len(sym[j])))
@@ -100,12 +109,15 @@ class Pieces:
         """Place in the ranking of the merge of symbols a and b, that start at i and j; NONE if there is none or it is skipped."""
         code = a.astype(np.int64) * self.symbols + b
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        mixed = (keyed ^ (i.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + j.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0xFF51AFD7ED558CCD)
-        skip = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xC4CEB9FE1A85EC53) < np.uint64(self.rate)
-        return np.where((a >= 0) & (b >= 0) & (self.codes[at] == code) & ~skip, self.merged[at], NONE)
+        found = (a >= 0) & (b >= 0) & (self.codes[at] == code)
+        if self.rate:
+            piece = self.id_at[self.merged[at]].astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+            mixed = (keyed ^ (i.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + j.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + piece)) * np.uint64(0xFF51AFD7ED558CCD)
+            found &= (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xC4CEB9FE1A85EC53) >= np.uint64(self.rate)
+        return np.where(found, self.merged[at], NONE)
 
     def many(self, todo: list[tuple[str, int]]) -> list[bytes]:
-        """Ids of many short (word, variant) at once, as word() gives them: each round pops every word's best candidate."""
+        """Ids of many short (word, key) at once, as word() gives them: each round pops every word's best candidate."""
         words = [w for w, _ in todo]
         n, size = len(words), np.array([len(w) for w in words])
         wide = int(size.max())
@@ -114,7 +126,7 @@ class Pieces:
         place = np.arange(wide + 1)
         sym[place >= size[:, None]] = -1
         plain = ((sym >= 0) & (sym < len(self.id_at)) | (place >= size[:, None])).all(1)  # others fall back to bytes, in word()
-        keyed = np.fromiter((xxhash.xxh64_intdigest(f"{v}\t{w}", self.seed) for w, v in todo), np.uint64, n)
+        keyed = np.fromiter((v for _, v in todo), np.uint64, n)
         right, left = np.tile(np.minimum(place + 1, wide), (n, 1)), np.tile(place - 1, (n, 1))
         best = np.full((n, wide + 1), NONE, np.int32)
         best[:, :wide] = self.pairs(sym[:, :-1], sym[:, 1:], keyed[:, None], place[:-1], place[1:])
@@ -140,19 +152,17 @@ class Pieces:
         return self.encode_all([text])[0].tolist()
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; which variant each word takes follows from the text and the place."""
-        kept, v, out, cut, missing = self.kept, self.variants if self.rate else 1, [], [], {}
-        if len(kept) > KEPT:
+        """Ids of each text. A drawn word is that of one occurrence, so only words without dropout are remembered."""
+        kept, out, cut, missing = self.kept, [], [], {}
+        if self.rate or len(kept) > KEPT:
             kept.clear()
         for text in texts:
-            turn, parts = xxhash.xxh64_intdigest(text, self.seed) % v, []
-            for k, part in enumerate(text.split(BLANK)):
+            bodies = [_WORDS.findall((BLANK if k == 0 else "") + part.replace(" ", BLANK)) for k, part in enumerate(text.split(BLANK))]
+            drawn, parts = iter(self.keys(text, sum(map(len, bodies)))), []
+            for k, words in enumerate(bodies):
                 if k:
                     parts.append(None)
-                body = part.replace(" ", BLANK)
-                words = _WORDS.findall(BLANK + body if k == 0 else body)
-                parts += [(w, (turn + p) % v) for p, w in enumerate(words, 1)]
-                turn = (turn + len(words)) % v
+                parts += zip(words, drawn, strict=False)
             cut.append(parts)
             missing.update(dict.fromkeys(p for p in parts if p and p not in kept))
         long = {p: np.array(self.word(*p), np.int32).tobytes() for p in missing if len(p[0]) >= SHORT}

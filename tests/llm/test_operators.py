@@ -43,6 +43,18 @@ def test_sentencepiece_round_trip_and_plain_encoding(spark, docs):
     assert Pieces(MODEL, 0.3, 1, 4).encode(text) != Pieces(MODEL, 0.3, 2, 4).encode(text)
 
 
+def test_dropout_draws_each_occurrence():
+    from skycensus.llm.sentencepiece_dropout import MODEL, Pieces
+
+    p, word = Pieces(MODEL, 0.3, 1, 4), "▁internationalisation"
+    text = " ".join(["internationalisation"] * 400)
+    keys = p.keys(text, 400)
+    one = [p.word(word, k) for k in keys]
+    assert p.encode(text) == [i for ids in one for i in ids] == p.encode(text)
+    assert len({tuple(ids) for ids in one}) > 40 and p.decode(p.encode(text)) == text
+    assert len({tuple(p.encode(f"{text[:41]} {k}")[:8]) for k in range(60)}) > 10
+
+
 def test_chat_format(spark):
     got = out(spark, "op2_chat_format").set_index("conv_id")
     want: dict = {-1: [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]}

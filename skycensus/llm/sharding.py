@@ -3,7 +3,7 @@
 Indivisible groups (equal texts; null is a text of its own) enter, largest first, the shard with the tightest
 room that holds them, found in a balanced tree. What is packed is bounded whatever the input: groups over
 a 9600th of all bytes enter alone (at most 9600), smaller ones are gathered by hash into 4800 crates, and a
-group over half a shard is cut into pieces, so one hot text doesn't overfill a shard. Law: `bytes`, sizes
+group over a whole shard is cut into pieces, so one hot text doesn't overfill a shard. Law: `bytes`, sizes
 near equal. Slots number a shard's rows without gaps. Empty input gives no rows.
 """
 
@@ -98,7 +98,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     groups = rows.groupBy("key").agg(F.sum("size").alias("g"))
     # at most LARGE groups can be this large
-    large = cut(groups.filter(F.col("g") > max(1, total // LARGE)).select(F.col("key").alias("k"), F.when(F.col("g") > total / shards / 2, PIECES).otherwise(1).alias("pieces")))
+    large = cut(groups.filter(F.col("g") > max(1, total // LARGE)).select(F.col("key").alias("k"), F.when(F.col("g") > total / shards, PIECES).otherwise(1).alias("pieces")))
     crate = F.concat(F.lit("crate-"), F.pmod(F.xxhash64("key"), F.lit(CRATES)))
     piece = F.when(F.col("pieces") > 1, F.concat_ws("-", "key", F.pmod(F.xxhash64("doc_id"), "pieces"))).otherwise(F.col("key"))
     item = rows.join(F.broadcast(large), F.col("key") == F.col("k"), "left").withColumn("item", F.when(F.col("k").isNull(), crate).otherwise(piece)).drop("k", "pieces", "key")

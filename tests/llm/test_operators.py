@@ -221,6 +221,16 @@ def test_sharding(spark, docs):
     assert shard(docs).count() == len(DOCS) and shard(docs.limit(0)).count() == 0
 
 
+def test_sharding_keeps_a_group_that_fits_whole(spark):
+    from skycensus.llm.sharding import shard
+
+    data = [(k, f"text {k} " + "x" * 60) for k in range(2400)] + [(10_000 + k, "y" * 66) for k in range(75)]  # the group is 0.72 of a shard
+    got = shard(spark.createDataFrame(data, "doc_id long, text string")).toPandas()
+    assert got[got.doc_id >= 10_000]["shard"].nunique() == 1
+    by = got.groupby("shard")["size"].sum()
+    assert len(by) == 24 and by.max() <= 1.1 * by.mean()
+
+
 def brute_repeats(words):
     win = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
     n = Counter(win)

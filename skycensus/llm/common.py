@@ -59,17 +59,17 @@ def map_texts(df: DataFrame, keep: list[str], text: str, make, schema: str) -> D
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """(doc_id, text, y) of at most about `bound` labelled rows, none of them held out.
+    """(doc_id, text, y) of at most `bound` labelled ids, one row each, none of them held out.
 
     Ids are picked by hash order from the narrow labels table; repeated labels of an id count once (the
-    largest), null labels and ids not at all.
+    largest), null labels and ids not at all. Of the rows that repeat an id the least text is taken.
     """
     picked = (
         labels.filter(~held_out() & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -105,6 +105,15 @@ def test_classifiers_edges(spark, docs):
     assert got[1] > 0.5 > got[2] == got[3]
 
 
+def test_training_rows_take_an_id_once(spark):
+    from skycensus.llm.common import training_rows
+
+    df = spark.createDataFrame([(k % 3 + 1, f"text {k:03}") for k in range(900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in (1, 2, 3)], "doc_id long, quality int")
+    want = [(k, f"text {k - 1:03}", k % 2) for k in (1, 2, 3) if zlib.crc32(str(k).encode()) % 5]
+    assert sorted(tuple(r) for r in training_rows(df, labels, "quality", 10).collect()) == want and want
+
+
 def test_quality_sees_word_order(spark):
     from skycensus.llm import quality
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import tempfile
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,15 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster names for checkpoints; a temporary one only where none is set and all runs on this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="spark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this session wrote, in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there."""
     shared_dir(df.sparkSession)
@@ -72,15 +83,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int) ->
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the smallest node of the component.
 
     Alternating large-star and small-star steps. Every step is a grouped minimum (combined before the
-    shuffle) and a join that Spark can split on a hot node; lineage is cut after each round.
+    shuffle) and a join that Spark can split on a hot node; lineage is cut after each round. Rounds go on until
+    nothing changes.
     """
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
     seen = None
-    for _ in range(rounds):
+    while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if mark == seen or mark[0] == 0:
             break
@@ -94,3 +106,52 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     roots = now.groupBy("v").agg(F.min("u").alias("root"))
     tops = roots.select(F.col("root").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return roots.select(F.col("v").alias("node"), "root").unionByName(tops)
+
+
+def runs(rows: DataFrame, keys: list[str], order: str, size: int, node: list[Column], near: str) -> DataFrame:
+    """rows dealt for comparison within keys: adds lo, hi and side, each pair of near runs of a key once.
+
+    A key of at most `size` rows is one run, the pair (0, 0). A larger one is cut at quantiles of `order`, and again,
+    until every run is that small, so runs are stretches of the sorted order. `node` sums up a run; a pair of runs is
+    dealt only where `near` holds between the sums a and b, and a run meets itself. Rows need distinct orders.
+    """
+    big = cut(rows.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > size).drop("n"))
+    plain = lambda df: df.select("*", *[F.lit(0).cast("bigint").alias(c) for c in ("lo", "hi")], F.lit(0).alias("side"))
+    if big.isEmpty():
+        return plain(rows)
+    hot, at = cut(rows.join(small(big), keys).withColumn("run", F.lit(0).cast("bigint"))), [*keys, "run"]
+    marks = [k / 64 for k in range(1, 64)]
+    while True:
+        over = cut(hot.groupBy(*at).agg(F.count("*").alias("n"), F.percentile_approx(order, marks, 2000).alias("cuts")).filter(F.col("n") > size).drop("n"))
+        if over.isEmpty():
+            break
+        above = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col(order))), F.lit(0))
+        hot = cut(hot.join(small(over), at, "left").withColumn("run", F.col("run") * 64 + F.when(F.isnull("cuts"), 0).otherwise(above)).drop("cuts"))
+    nodes = cut(hot.groupBy(*at).agg(*node))
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+    met = nodes.alias("a").join(nodes.alias("b"), [*same, F.expr(f"a.run = b.run or (a.run < b.run and {near})")])
+    ends = F.array(F.struct(F.col("a.run").alias("run"), F.lit(0).alias("side")), F.when(F.col("a.run") < F.col("b.run"), F.struct(F.col("b.run").alias("run"), F.lit(1).alias("side"))))
+    pairs = met.select(*[f"a.{k}" for k in keys], F.col("a.run").alias("lo"), F.col("b.run").alias("hi"), F.explode(F.array_compact(ends)).alias("end")).select(*keys, "end.run", "lo", "hi", "end.side")
+    return plain(rows.join(small(big), keys, "left_anti")).unionByName(hot.join(pairs, at).drop("run"))
+
+
+def whole_groups(batches, keys: list[str]):
+    """From arrow batches sorted by keys: (table of whole groups, first row of each group)."""
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        t = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if t is None or not t.num_rows:
+            return
+        t = t.combine_chunks()
+        new = np.zeros(t.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            v = t[k].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        starts = np.nonzero(new)[0]
+        end = t.num_rows if batch is None else int(starts[-1])
+        held = None if batch is None else t.slice(end)
+        if end:
+            yield t.slice(0, end), starts[starts < end]

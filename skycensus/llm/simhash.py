@@ -1,16 +1,18 @@
 """SimHash near-duplicates over a Gray-order hierarchical index.
 
 Fingerprints are 64-bit majorities over the XXH64 (seed 42) of 4-word shingles, repeats included. Distinct
-fingerprints are dealt by shared masked patterns: with d differing bits allowed, d + 1 blocks of bits leave
-one block equal, so each pair within d bits meets under a pattern (exact). Below a pattern the
-fingerprints are sorted by Gray rank and gathered in nodes that hold the bits all members share; two nodes
-are compared further only if their shared bits differ in at most d places. Large patterns are cut into runs
-of the Gray order and dealt as pairs of runs, so no task holds a whole hot group. Null and empty texts have
+fingerprints are dealt under shared masked patterns, the top nodes of the index: with d differing bits allowed, two of
+d + 2 blocks of bits stay equal, so each pair within d bits meets under a pattern (exact). Below a pattern the
+fingerprints are sorted by Gray rank and gathered in nodes of 16 that hold the bits all members share. Going down a pair
+of nodes, the differences on shared bits add up, and a pair of groups whose sum is over d is left out whole. A pattern
+of many fingerprints is cut into runs of the Gray order, and pairs of runs whose shared bits differ too much are not
+dealt, so no task holds a whole hot group. Null and empty texts have
 fingerprint zero, linked like any other; rows with a null id get the class but never name it.
 """
 
 from __future__ import annotations
 
+import itertools
 from itertools import repeat
 
 import numpy as np
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skycensus.llm.common import components, cut, map_texts, small, table
+from skycensus.llm.common import components, cut, map_texts, runs, table, whole_groups
 
 WORDS, BITS = 4, 4
 #: Fingerprints under one pattern that one task compares at once.
@@ -45,45 +47,71 @@ def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
     return map_texts(docs, keep, "text", lambda texts: {"fp": pa.array([fingerprint(t) for t in texts], pa.int64())}, "fp bigint")
 
 
-def _patterns(bits: int) -> list[tuple[int, int]]:
-    """(shift, width) of bits + 1 blocks of the 64."""
-    edges = [round(64 * k / (bits + 1)) for k in range(bits + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+def _masks(bits: int) -> list[int]:
+    """Masks of two of bits + 2 blocks of the 64: if at most `bits` bits differ, two blocks are equal."""
+    edges = [round(64 * k / (bits + 2)) for k in range(bits + 3)]
+    blocks = [((1 << b) - (1 << a)) for a, b in itertools.pairwise(edges)]
+    return [x | y for x, y in itertools.combinations(blocks, 2)]
 
 
-def _gray_rank(fp: np.ndarray) -> np.ndarray:
+def gray_rank(fp: np.ndarray) -> np.ndarray:
+    """Place of each unsigned fingerprint in the reflected Gray code."""
     for s in (1, 2, 4, 8, 16, 32):
         fp = fp ^ (fp >> np.uint64(s))
     return fp
 
 
-def _nodes(fp: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For runs of `size`: the mask of shared bits and their values."""
-    at = np.arange(0, len(fp), size)
-    every, some = np.bitwise_and.reduceat(fp, at), np.bitwise_or.reduceat(fp, at)
-    return ~(every ^ some), every
-
-
-def near_pairs(a: np.ndarray, b: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of a and b, both in Gray order, whose fingerprints differ in at most `bits` bits."""
-    if len(a) * len(b) <= 4096:
-        return np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= bits)
-    (ma, va), (mb, vb) = _nodes(a, LEAF), _nodes(b, LEAF)
-    (ua, wa), (ub, wb) = _nodes(a, LEAF * LEAF), _nodes(b, LEAF * LEAF)
-    out_i, out_j = [], []
-    for x, y in zip(*np.nonzero(np.bitwise_count((wa[:, None] ^ wb) & ua[:, None] & ub) <= bits), strict=True):
-        ls, rs = slice(x * LEAF, (x + 1) * LEAF), slice(y * LEAF, (y + 1) * LEAF)
-        p, q = np.nonzero(np.bitwise_count((va[ls, None] ^ vb[rs]) & ma[ls, None] & mb[rs]) <= bits)
-        if len(p):
-            i = ((p + x * LEAF)[:, None, None] * LEAF + np.arange(LEAF)[:, None] + np.zeros(LEAF, int)).ravel()
-            j = ((q + y * LEAF)[:, None, None] * LEAF + np.zeros(LEAF, int)[:, None] + np.arange(LEAF)).ravel()
-            ok = (i < len(a)) & (j < len(b))
+def levels(fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(mask of the bits all members share, their values) of the rows themselves, then of nodes of LEAF of the level below, up to one level of at most LEAF nodes."""
+    out = [(np.full(len(fp), 2**64 - 1, np.uint64), fp)]
+    every = some = fp
+    while len(out) == 1 or len(every) > LEAF:
+        at = np.arange(0, len(every), LEAF)
+        every, some = np.bitwise_and.reduceat(every, at), np.bitwise_or.reduceat(some, at)
+        out.append((~(every ^ some), every))
+    return out
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, bits: int, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of a and b, both in Gray order, whose fingerprints differ in at most `bits` bits; same: b is a, i < j.
+
+    A pair of nodes carries the differences on the bits that both share; a pair of children adds those on the bits that
+    become shared below, and the whole pair of groups goes once the sum is over `bits`.
+    """
+    up_a, up_b = levels(a), levels(b)
+    top = max(len(up_a), len(up_b))  # the lower tree is topped up by single nodes
+    for up in (up_a, up_b):
+        while len(up) < top:
+            m, v = up[-1]
+            at = np.arange(0, len(v), LEAF)
+            every, some = np.bitwise_and.reduceat(v & m, at), np.bitwise_or.reduceat(v | ~m, at)
+            up.append((~(every ^ some), every))
+    (ma, va), (mb, vb) = up_a[-1], up_b[-1]
+    x, y = (g.ravel() for g in np.indices((len(va), len(vb))))
+    shared = ma[x] & mb[y]
+    sums = np.bitwise_count((va[x] ^ vb[y]) & shared)
+    todo, out = [(top - 1, x, y, shared, sums)], []
+    while todo:
+        level, x, y, shared, sums = todo.pop()
+        ok = (sums <= bits) & (x <= y) if same else sums <= bits
+        x, y, shared, sums = x[ok], y[ok], shared[ok], sums[ok]
+        if level == 0:
+            keep = x < y if same else slice(None)
+            out.append((x[keep], y[keep]))
+            continue
+        (ma, va), (mb, vb) = up_a[level - 1], up_b[level - 1]
+        for at in range(0, len(x), 2048):
+            s = slice(at, at + 2048)
+            i = (x[s, None, None] * LEAF + np.arange(LEAF)[:, None] + np.zeros(LEAF, int)).ravel()
+            j = (y[s, None, None] * LEAF + np.zeros(LEAF, int)[:, None] + np.arange(LEAF)).ravel()
+            ok = (i < len(va)) & (j < len(vb))
             i, j = i[ok], j[ok]
-            ok = np.bitwise_count(a[i] ^ b[j]) <= bits
-            out_i.append(i[ok])
-            out_j.append(j[ok])
-    none = np.zeros(0, int)
-    return (np.concatenate(out_i) if out_i else none), (np.concatenate(out_j) if out_j else none)
+            over, before = np.repeat(shared[s], LEAF * LEAF)[ok], np.repeat(sums[s], LEAF * LEAF)[ok]
+            now = ma[i] & mb[j]
+            todo.append((level - 1, i, j, now, before + np.bitwise_count((va[i] ^ vb[j]) & now & ~over)))
+    if not out:
+        return np.zeros(0, int), np.zeros(0, int)
+    return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
 
 
 def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -100,59 +128,56 @@ def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         low = new
 
 
-def groups_of(batches, keys: list[str]):
-    """From arrow batches sorted by keys: one table for each run of equal keys."""
-    held: list[pa.Table] = []
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        if not t.num_rows:
-            continue
-        new = np.zeros(t.num_rows, bool)
-        for k in keys:
-            v = t[k].to_numpy()
-            new[1:] |= v[1:] != v[:-1]
-        cuts = [0, *np.nonzero(new)[0].tolist(), t.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            part = t.slice(a, b - a)
-            if held and (a or any(held[-1][k][-1].as_py() != part[k][0].as_py() for k in keys)):
-                yield pa.concat_tables(held)
-                held = []
-            held.append(part)
-    if held:
-        yield pa.concat_tables(held)
-
-
-def runs(df: DataFrame, key: list[str], order: list[str], size: int) -> DataFrame:
-    """df dealt for comparison within key: adds `lo`, `hi` and `side`, each pair of runs of a key once.
-
-    A run is a hash share of a key's rows, of about `size` rows. A key that fits one run has the pair (0, 0).
-    """
-    big = cut(df.groupBy(*key).agg(F.count("*").alias("__n")).filter(F.col("__n") > size).withColumn("__runs", F.ceil(F.col("__n") / (size * 0.8)).cast("int")).drop("__n"))
-    dealt = df.join(small(big), key, "left").withColumn("__runs", F.coalesce("__runs", F.lit(1)))
-    dealt = dealt.withColumn("__run", F.pmod(F.xxhash64(*order), F.col("__runs")).cast("int"))
-    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__runs") - 1)))
-    return dealt.select("*", F.least("__run", "__other").alias("lo"), F.greatest("__run", "__other").alias("hi"), (F.col("__run") > F.col("__other")).cast("int").alias("side")).drop("__runs", "__run", "__other")
+def ranked(fps: DataFrame) -> DataFrame:
+    """fp and rank, its place in Gray order (as a signed long in the same order)."""
+
+    def run(batches):
+        for batch in batches:
+            fp = batch["fp"].to_numpy()
+            rank = gray_rank(fp.view(np.uint64)) ^ np.uint64(1 << 63)
+            yield pa.RecordBatch.from_arrays([batch["fp"], pa.array(rank.view(np.int64))], names=["fp", "rank"])
+
+    return fps.select("fp").mapInArrow(run, "fp bigint, rank bigint")
 
 
 def links(fps: DataFrame, bits: int = BITS, size: int = RUN) -> DataFrame:
     """From distinct fingerprints (fp): edges (a, b) that join all within `bits` bits of each other."""
-    marks = F.array(*[F.struct(F.lit(k).alias("block"), F.expr(f"shiftrightunsigned(fp, {s}) & {(1 << w) - 1}L").alias("value")) for k, (s, w) in enumerate(_patterns(bits))])
-    dealt = runs(cut(fps.select("fp", F.explode(marks).alias("p")).select("fp", "p.block", "p.value")), ["block", "value"], ["fp"], size)
-    keys = ["block", "value", "lo", "hi"]
+    signed = [m - (1 << 64) if m >> 63 else m for m in _masks(bits)]
+    marks = F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for k, m in enumerate(signed)])
+    rows = ranked(fps).select("fp", "rank", F.explode(marks).alias("p")).select("fp", "rank", "p.mask", "p.value")
+    node = [F.bit_and("fp").alias("every"), F.bit_or("fp").alias("some")]
+    near = f"bit_count((a.every ^ b.every) & ~(a.every ^ a.some) & ~(b.every ^ b.some)) <= {bits}"
+    dealt = runs(rows, ["mask", "value"], "rank", size, node, near)
+    keys = ["mask", "value", "lo", "hi"]
 
     def compare(batches):
-        for t in groups_of(batches, keys):
-            if t.num_rows < 2:
+        for t, starts in whole_groups(batches, keys):
+            n = np.diff(np.append(starts, t.num_rows))
+            if (n < 2).all():
                 continue
-            fp = t["fp"].to_numpy().astype(np.int64).view(np.uint64)
-            fp = fp[np.argsort(_gray_rank(fp), kind="stable")]
-            i, j = near_pairs(fp, fp, bits)
-            low = stars(len(fp), i, j)
+            group = np.repeat(np.arange(len(starts)), n)
+            fp = t["fp"].to_numpy().view(np.uint64)
+            side, mixed = t["side"].to_numpy(), (t["lo"].to_numpy() != t["hi"].to_numpy())[starts]
+            order = np.lexsort((t["rank"].to_numpy(), side, group))
+            fp, side = fp[order], side[order]
+            found_i, found_j = [], []
+            leaf = np.where(mixed[group] | (n[group] > LEAF), -1, group)  # a group of one leaf is compared in it, all groups at once
+            for d in range(1, LEAF):
+                i = np.nonzero((leaf[:-d] == leaf[d:]) & (leaf[d:] >= 0) & (np.bitwise_count(fp[:-d] ^ fp[d:]) <= bits))[0]
+                found_i.append(i)
+                found_j.append(i + d)
+            for g in np.nonzero((mixed | (n > LEAF)) & (n > 1))[0]:
+                a, b = starts[g], starts[g] + n[g]
+                half = a + int((side[a:b] == 0).sum())
+                i, j = near_pairs(fp[a:half], fp[half:b], bits) if mixed[g] else near_pairs(fp[a:b], fp[a:b], bits, True)
+                found_i.append(i + a)
+                found_j.append(j + (half if mixed[g] else a))
+            low = stars(len(fp), np.concatenate(found_i), np.concatenate(found_j))
             v = np.nonzero(low != np.arange(len(fp)))[0]
             if len(v):
                 yield pa.RecordBatch.from_arrays([pa.array(fp[v].view(np.int64)), pa.array(fp[low[v]].view(np.int64))], names=["a", "b"])
 
-    return dealt.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a bigint, b bigint")
+    return dealt.select(*keys, "side", "fp", "rank").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def rooted(per: DataFrame, bits: int = BITS) -> DataFrame:

@@ -1,12 +1,14 @@
 """Embedding near-duplicates by collision counting over many one-dimensional projections.
 
-Rows are compared only under equal labels. Equal vectors become one class first. Classes are dealt to
-tables of cells (a few quantised projections each; the number of tables gives a pair at the threshold a
-chance over 0.9999 to meet). In a cell the values of many further projections are sorted, each query's
-window counts the rows within reach, and pairs whose count passes the calibrated threshold are verified
-by cosine in double precision. A pair counts in the first table where it meets. Cells over a bound are cut
-into pairs of runs. Vectors that are null, zero or hold null or non-finite parts, and rows with a null
-label or id, link with nothing and are their own component.
+Rows are compared only under equal labels (of any type) and equal dimensions. Equal vectors become one class first, and
+a class is dealt with its vector once for each pair of runs, nothing else but ids and counts moves. Each class is
+projected on many seeded lines. Runs are stretches of the order along the first line; runs farther apart there than a
+link can reach are not compared. In a pair of runs each query meets its slice of that sorted order, and collisions of
+its windows on the other lines are counted; a pair whose count falls under what a pair at the threshold reaches but
+with a chance of MISS is left out, the others are verified by cosine in double precision. A label's cost grows with the
+square of its rows, by blocks of bounded size, as the count looks at each pair of one slice. Vectors that are null, empty, zero or
+hold null or non-finite parts, and rows with a null label or id, link with nothing and are their own component. Rows
+that repeat a vec_id are rows of their own. Lengths are taken after scaling by the largest part, so neither large nor small ones overflow.
 """
 
 from __future__ import annotations
@@ -18,124 +20,143 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skycensus.llm.common import components, cut, table
-from skycensus.llm.simhash import groups_of, runs, stars
+from skycensus.llm.common import components, cut, runs, table, whole_groups
+from skycensus.llm.simhash import stars
 
 COSINE = 0.93
-TABLES, CELL_DIMS, PROJECTIONS = 36, 6, 48
-RUN = 1024
+LINES, STEP, MISS = 48, 8, 1e-8
+RUN = 2048
+QUERIES = 256
 
 
 class Plan:
-    """Seeded projections, cell width, window and count for a threshold."""
+    """Seeded lines, window and the counts that a pair at the threshold reaches after each step of lines."""
 
-    def __init__(self, dims: int, cosine: float = COSINE, seed: int = 11, miss: float = 1e-7):
+    def __init__(self, dims: int, cosine: float = COSINE, seed: int = 11):
         make = np.random.default_rng(seed)
-        self.cells = make.normal(size=(dims, TABLES * CELL_DIMS))
-        self.shift = make.uniform(size=TABLES * CELL_DIMS)
-        self.lines = make.normal(size=(dims, PROJECTIONS))
-        far = math.sqrt(2 - 2 * cosine)
-        self.width, self.reach = 5 * far, 1.8 * far
+        first = make.normal(size=dims)
+        self.first = first / np.linalg.norm(first)
+        self.lines = make.normal(size=(dims, LINES))
+        #: Two vectors of length one at the threshold are so far apart, so on a line of length one never farther.
+        self.far = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6
+        self.reach = 1.8 * self.far
         p = math.erf(1.8 / math.sqrt(2))  # a pair at the threshold falls into one window
-        total, self.least = 0.0, 0
-        for k in range(PROJECTIONS + 1):  # the largest count that such a pair misses with a chance under `miss`
-            total += math.comb(PROJECTIONS, k) * p**k * (1 - p) ** (PROJECTIONS - k)
-            if total > miss:
-                self.least = k
-                break
-
-    def keys(self, unit: np.ndarray) -> np.ndarray:
-        """A cell number for each row and table."""
-        q = np.floor(unit @ self.cells / self.width + self.shift).astype(np.int64).reshape(-1, TABLES, CELL_DIMS)
-        out = np.zeros(q.shape[:2], np.int64)
-        for d in range(CELL_DIMS):
-            out = out * np.int64(131) + q[:, :, d] + 64
-        return out
-
-    def candidates(self, unit: np.ndarray) -> np.ndarray:
-        """Pairs by window collisions: for each projection, rows in sorted order within reach of the query."""
-        n = len(unit)
-        counts = np.zeros((n, n), np.int8)
-        for v in (unit @ self.lines).T:
-            order = np.argsort(v, kind="stable")
-            s = v[order]
-            lo, hi = np.searchsorted(s, s - self.reach), np.searchsorted(s, s + self.reach, "right")
-            for q, a, b in zip(order, lo, hi, strict=True) if n <= 8 else ():
-                counts[q, order[a:b]] += 1
-            if n > 8:
-                counts += np.abs(v[:, None] - v[None, :]) <= self.reach  # the same windows, all queries at once
-        return counts >= self.least
-
-
-def _unit(vectors: np.ndarray) -> np.ndarray:
+        self.least = []
+        for n in range(STEP, LINES + 1, STEP):
+            total, k = 0.0, 0
+            while (total := total + math.comb(n, k) * p**k * (1 - p) ** (n - k)) <= MISS:
+                k += 1
+            self.least.append(k)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray, same: bool):
+        """Blocks of places (i, j) of rows of a and b (length one) whose windows collide often enough; same: b is a, i < j in its order."""
+        pa_, pb = (a @ self.lines).astype(np.float32), (b @ self.lines).astype(np.float32)
+        at_a, at_b = a @ self.first, b @ self.first
+        by_a, by_b = np.argsort(at_a, kind="stable"), np.argsort(at_b, kind="stable")
+        sorted_b, lines_b = at_b[by_b], pb[by_b]
+        for k in range(0, len(a), QUERIES):
+            some = by_a[k : k + QUERIES]
+            lo, hi = np.searchsorted(sorted_b, at_a[some[0]] - self.far), np.searchsorted(sorted_b, at_a[some[-1]] + self.far, "right")
+            lo = max(lo, k) if same else lo
+            if lo >= hi:
+                continue
+            dense = np.zeros((len(some), hi - lo), np.uint8)
+            for line in range(3 * STEP):
+                dense += np.abs(pa_[some, line][:, None] - lines_b[None, lo:hi, line]) <= self.reach
+            i, j = np.nonzero(dense >= self.least[2])
+            counts = dense[i, j]
+            if same:
+                up = i + k < j + lo
+                i, j, counts = i[up], j[up], counts[up]
+            for step in range(3, LINES // STEP):
+                for line in range(step * STEP, step * STEP + STEP):
+                    counts += np.abs(pa_[some[i], line] - lines_b[j + lo, line]) <= self.reach
+                ok = counts >= self.least[step]
+                i, j, counts = i[ok], j[ok], counts[ok]
+            yield some[i], by_b[j + lo]
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by the largest part first."""
+    vectors = vectors.astype(np.float64)
+    vectors = vectors / np.abs(vectors).max(1, keepdims=True)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def near(df: DataFrame, cosine: float = COSINE, dims: int | None = None) -> DataFrame:
+def flat(column, dims: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def near(df: DataFrame, cosine: float = COSINE, size: int = RUN) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of df (vec_id, embedding, label)."""
-    value = F.expr("transform(embedding, x -> cast(x as double))")
-    rows = df.select("vec_id", "label", value.alias("v"))
-    fine = "vec_id is not null and label is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
-    good = rows.withColumn("ok", F.coalesce(F.expr(fine), F.lit(False)))
-    rows = cut(good.select("vec_id", "label", F.when(F.col("ok"), F.col("v")).alias("v")))
-    good = rows.filter("v is not null")
-    reps = good.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
-    reps = cut(reps)
-
-    def deal(batches):
+    part = df.schema["embedding"].dataType.elementType.simpleString()
+    kind = "float" if part == "float" else "double"
+    value = F.expr(f"transform(embedding, x -> cast(x as {kind}))")
+    fine = f"vec_id is not null and label is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < {kind}('infinity')) and exists(v, x -> x <> 0)"
+    rows = df.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("string").alias("label"), value.alias("v"))
+    rows = rows.withColumn("ok", F.coalesce(F.expr(fine), F.lit(False)))
+    # a vector goes by 128 bits of hash, so that only one row of each class carries it; -0.0 is 0.0
+    plain = F.expr("transform(v, x -> x + 0.0)")
+    named = rows.withColumn("h", F.when(F.col("ok"), F.struct(F.xxhash64("label", plain).alias("h1"), F.xxhash64(F.lit(7), "label", plain).alias("h2"))))
+    classes = cut(named.filter("ok").groupBy("h").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")))
+    classes = classes.withColumnRenamed("id", "least").withColumn("id", F.monotonically_increasing_id())  # ids may repeat; over a checkpoint this number stays
+
+    def project(batches):
         for batch in batches:
-            by_size: dict[int, list[int]] = {}
-            for k, n in enumerate(batch["v"].value_lengths().to_pylist()):
-                by_size.setdefault(n, []).append(k)
-            for n, at in by_size.items():
-                part = batch.take(pa.array(at))
-                unit = _unit(part["v"].flatten().to_numpy().reshape(-1, n))
-                keys = Plan(n, cosine).keys(unit)
-                for t in range(TABLES):
-                    names = ["label", "t", "cell", "id", "n", "v"]
-                    yield pa.RecordBatch.from_arrays([part["label"].cast(pa.int64()), pa.array(np.full(len(at), t, np.int32)), pa.array(keys[:, t] * 521 + n), part["id"], part["n"], part["v"]], names=names)
-
-    cells = cut(reps.mapInArrow(deal, "label bigint, t int, cell bigint, id bigint, n bigint, v array<double>"))
-    keys = ["label", "t", "cell", "lo", "hi"]
-    dealt = runs(cells, keys[:3], ["id"], RUN)
+            n = batch["v"].value_lengths().to_numpy(zero_copy_only=False)
+            at = np.zeros(len(n))
+            for dims in np.unique(n):
+                mine = np.nonzero(n == dims)[0]
+                at[mine] = unit(flat(batch["v"].take(pa.array(mine)), dims)) @ Plan(dims, cosine).first
+            names = ["label", "dims", "at", "id", "n", "v"]
+            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(n.astype(np.int32)), pa.array(at), batch["id"], batch["n"], batch["v"]], names=names)
+
+    placed = classes.select("label", "id", "n", "v").mapInArrow(project, f"label string, dims int, at double, id bigint, n bigint, v array<{kind}>")
+    # parallel vectors have one place on the line; a trace of the id parts them
+    placed = placed.withColumn("at", F.col("at") + F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * 2.0**-50)
+    far = Plan(1, cosine).far
+    dealt = runs(placed, ["label", "dims"], "at", size, [F.min("at").alias("low"), F.max("at").alias("high")], f"a.low - b.high <= {far} and b.low - a.high <= {far}")
+    keys = ["label", "dims", "lo", "hi"]
 
     def compare(batches):
         plans: dict[int, Plan] = {}
-        for g in groups_of(batches, keys):
-            if g.num_rows < 2:
-                continue
-            g = g.combine_chunks()
-            size = len(g["v"][0])
-            plan = plans.setdefault(size, None) or plans.update({size: Plan(size, cosine)}) or plans[size]
-            unit = _unit(g["v"].combine_chunks().flatten().to_numpy().reshape(-1, size))
-            t, side, mixed = g["t"][0].as_py(), g["side"].to_numpy(), g["lo"][0].as_py() != g["hi"][0].as_py()
-            pairs = plan.candidates(unit)
-            np.fill_diagonal(pairs, False)
-            if mixed:
-                pairs &= side[:, None] != side[None, :]
-            i, j = np.nonzero(np.triu(pairs))
-            if t and len(i):
-                every = plan.keys(unit)[:, :t]
-                fresh = ~(every[i] == every[j]).any(1)
-                i, j = i[fresh], j[fresh]
-            linked = np.zeros(len(i), bool)
-            for a in range(0, len(i), 100_000):
-                s = slice(a, a + 100_000)
-                linked[s] = np.einsum("ij,ij->i", unit[i[s]], unit[j[s]]) >= cosine
-            i, j = i[linked], j[linked]
-            if len(i):
-                ids, n = g["id"].to_numpy(), g["n"].to_numpy()
-                count = np.bincount(i, n[j], len(ids)) + np.bincount(j, n[i], len(ids))
-                root = ids[stars(len(ids), i, j)]
-                at = np.nonzero(count)[0]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(root[at]), pa.array(count[at].astype(np.int64))], names=["a", "b", "n"])
+        for t, starts in whole_groups(batches, keys):
+            for s, e in zip(starts, [*starts[1:], t.num_rows], strict=True):
+                g = t.slice(s, e - s)
+                if g.num_rows < 2:
+                    continue
+                dims, side = g["dims"][0].as_py(), g["side"].to_numpy()
+                if dims not in plans:
+                    plans[dims] = Plan(dims, cosine)
+                every, mixed = unit(flat(g["v"], dims)), bool(side.any())
+                a, b = (np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]) if mixed else (np.arange(len(every)),) * 2
+                ids, n, found = g["id"].to_numpy(), g["n"].to_numpy(), []
+                count = np.zeros(len(ids), np.int64)
+                for i, j in plans[dims].pairs(every[a], every[b], not mixed):
+                    i, j = a[i], b[j]
+                    for k in range(0, len(i), 50_000):
+                        p, q = i[k : k + 50_000], j[k : k + 50_000]
+                        linked = np.einsum("ij,ij->i", every[p], every[q]) >= cosine
+                        p, q = p[linked], q[linked]
+                        np.add.at(count, p, n[q])
+                        np.add.at(count, q, n[p])
+                        low = stars(len(ids), p, q)  # one edge a row instead of all pairs
+                        v = np.nonzero(low != np.arange(len(ids)))[0]
+                        found.append(np.stack((v, low[v])))
+                if found:
+                    v, w = np.concatenate(found, 1)
+                    root = ids[stars(len(ids), v, w)]
+                    at = np.nonzero(count)[0]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(root[at]), pa.array(count[at])], names=["a", "b", "n"])
 
     found = dealt.select(*keys, "side", "id", "n", "v").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a bigint, b bigint, n bigint")
     found = cut(found)
     linked = found.groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "id")
-    of = reps.join(linked, "id", "left").join(components(found.select("a", "b")).withColumnRenamed("node", "id"), "id", "left")
-    of = of.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    out = rows.join(of, ["label", "v"], "left")
+    of = classes.select("h", "id", "least", "n").join(linked, "id", "left").join(components(found.select("a", "b")).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    tops = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = of.join(tops, "root").select("h", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    out = named.select("vec_id", "h").join(of, "h", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

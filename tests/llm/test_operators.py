@@ -184,6 +184,30 @@ def test_embeddings(spark):
     assert near(df.limit(0)).count() == 0
 
 
+def test_embeddings_edges(spark):
+    """String labels, extra columns, nearly parallel vectors far beyond the square root of a double, repeated ids, long dimensions apart."""
+    from skycensus.llm.embedding_dedup import near
+
+    big = [1e200, 2e200, 3e200]
+    data = [(1, big, "a"), (2, [x * (1 + 1e-9) for x in big], "a"), (3, [-x for x in big], "a"), (3, [1e-200, 0.0, 0.0], "a"), (4, big, "b"), (5, [1.0, 2.0], "a"), (6, [2.0, 4.0], "a"), (6, [2.0, 4.0], "a"), (None, big, "a"), (7, [float("inf"), 1.0], "a")]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label string").selectExpr("*", "1 as n", "2 as id", "3 as at", "4 as side")
+    got = sorted(map(tuple, near(df).collect()), key=str)
+    want = [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (3, 0, 3, True), (4, 0, 4, True), (5, 2, 5, True), (6, 2, 5, False), (6, 2, 5, False), (None, 0, None, True), (7, 0, 7, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_embeddings_over_many_runs(spark):
+    from skycensus.llm.embedding_dedup import near
+
+    rng = np.random.default_rng(6)
+    hearts = rng.normal(size=(40, 24))
+    data = [(k, (hearts[k % 40] + rng.normal(size=24) * 0.17).tolist(), 1) for k in range(2500)]
+    want = brute_embeddings(data)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"), size=100).collect()}
+    lost = sum(want[k][0] - got[k][0] for k in want)
+    assert lost == 0 and got == want and sum(n for n, _ in want.values()) > 10_000
+
+
 def test_mixing(spark, docs):
     from skycensus.llm.mixing import OP7_SQL, mix
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from skycensus.llm import mixing, quality, sentencepiece_dropout, simhash, toxicity
-from skycensus.llm.common import shared_dir, table
+from skycensus.llm.common import drop_folder, shared_dir, table
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -25,4 +25,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
         docs = spark.read.parquet(f"{place}/{k}")
+        if k:
+            drop_folder(spark, f"{place}/{k - 1}")
     return docs

@@ -122,9 +122,11 @@ def runs(rows: DataFrame, keys: list[str], order: str, size: int, node: list[Col
     hot, at = cut(rows.join(small(big), keys).withColumn("run", F.lit(0).cast("bigint"))), [*keys, "run"]
     marks = [k / 64 for k in range(1, 64)]
     while True:
-        over = cut(hot.groupBy(*at).agg(F.count("*").alias("n"), F.percentile_approx(order, marks, 2000).alias("cuts")).filter(F.col("n") > size).drop("n"))
+        over = cut(hot.groupBy(*at).agg(F.count("*").alias("n"), F.percentile_approx(order, marks, 2000).alias("cuts")).filter(F.col("n") > size))
         if over.isEmpty():
             break
+        many = F.least(F.lit(64), F.ceil(F.col("n") / (0.9 * size)).cast("int"))  # as few runs as are needed
+        over = over.select(*at, F.transform(F.sequence(F.lit(1), many - 1), lambda k: F.get("cuts", F.round(k * 64 / many).cast("int") - 1)).alias("cuts"))
         above = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col(order))), F.lit(0))
         hot = cut(hot.join(small(over), at, "left").withColumn("run", F.col("run") * 64 + F.when(F.isnull("cuts"), 0).otherwise(above)).drop("cuts"))
     nodes = cut(hot.groupBy(*at).agg(*node))

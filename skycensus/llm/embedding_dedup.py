@@ -25,7 +25,7 @@ from skycensus.llm.simhash import stars
 
 COSINE = 0.93
 LINES, STEP, MISS = 48, 8, 1e-8
-RUN = 2048
+RUN = 4096
 QUERIES = 256
 
 

@@ -1,22 +1,25 @@
 """Sharding by best-fit-decreasing bin packing.
 
-Indivisible groups (equal texts; null is a text of its own) enter, largest first, the shard with the tightest
-room that holds them, found in a balanced tree. What is packed is bounded whatever the input: groups over
-a 9600th of all bytes enter alone (at most 9600), smaller ones are gathered by hash into 4800 crates, and a
-group over a whole shard is cut into pieces, so one hot text doesn't overfill a shard. Law: `bytes`, sizes
-near equal. Slots number a shard's rows without gaps. Empty input gives no rows.
+Indivisible groups (equal texts; null is a text of its own) enter, largest first, the shard with the tightest room that
+holds them, found in a balanced tree. Sizes are rounded up to 12 leading bits (under 0.05 %), and groups of one size are
+alike to the packing, so it runs over the counts by size: at most 2048 sizes for each power of two, however many groups
+there are. Every group keeps whole but one that is over a whole shard itself (all bytes / shards): it can't, and is cut into
+as few pieces as fit, each an item of its own. Law: `bytes`, sizes near equal. Slots number a shard's rows without gaps.
+Rows that repeat an id are rows of their own. Empty input gives no rows.
 """
 
 from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skycensus.llm.common import cut, table
 
-SHARDS, LARGE, CRATES, PIECES = 24, 9600, 4800, 64
+SHARDS, SIZE_BITS = 24, 12
+#: Items over this share of the bytes or rows (at most twice as many) are joined by broadcast, so no key of the shuffled join is hot.
+LARGE = 9600
 
 
 class Tree:
@@ -63,26 +66,40 @@ class Tree:
 
 def pack(items: list[tuple[int, object]], capacity: int) -> tuple[dict, int]:
     """Bin of each item, largest first, and how many bins of this capacity it took."""
-    tree, out, bins = Tree(), {}, 0
-    for size, name in sorted(items, key=lambda x: (-x[0], str(x[1]))):
-        found = tree.take(size)
-        if found is None:
-            found, bins = (max(capacity, size), bins), bins + 1
-        out[name] = found[1]
-        tree.add((found[0] - size, found[1]))
+    order = sorted(items, key=lambda x: (-x[0], str(x[1])))
+    runs, bins = pack_counts([(size, 1) for size, _ in order], capacity)
+    return {order[k][1]: shard for k, _, _, shard in runs}, bins
+
+
+def pack_counts(counts: list[tuple[int, int]], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """Best fit of n items of each (size, n), largest sizes first: (place in counts, first item, items, bin), and the bins.
+
+    The bin that fits an item best goes on to fit its equals best while they fit, so equals enter by runs.
+    """
+    tree, out, bins = Tree(), [], 0
+    for k, (size, n) in enumerate(counts):
+        first = 0
+        while first < n:
+            found = tree.take(size)
+            if found is None:
+                found, bins = (max(capacity, size), bins), bins + 1
+            some = min(n - first, found[0] // size)
+            out.append((k, first, some, found[1]))
+            tree.add((found[0] - some * size, found[1]))
+            first += some
     return out, bins
 
 
-def tightest(items: list[tuple[int, object]], bins: int) -> dict:
+def tightest(counts: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int, int]]:
     """Packing into at most `bins` at the least capacity that bisection finds."""
-    low = max([-(-sum(s for s, _ in items) // bins), *(s for s, _ in items)], default=1)
-    high, best = 2 * low, pack(items, 2 * low)[0]
-    got, n = pack(items, low)
+    low = max([-(-sum(s * n for s, n in counts) // bins), *(s for s, _ in counts)], default=1)
+    high, best = 2 * low, pack_counts(counts, 2 * low)[0]
+    got, n = pack_counts(counts, low)
     if n <= bins:
         return got
     while high - low > max(1, low // 5000):
         mid = (low + high) // 2
-        got, n = pack(items, mid)
+        got, n = pack_counts(counts, mid)
         if n <= bins:
             high, best = mid, got
         else:
@@ -90,27 +107,44 @@ def tightest(items: list[tuple[int, object]], bins: int) -> dict:
     return best
 
 
+def ranked(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Adds rank, gapless from 0 within by: rows are numbered within each part, and parts follow each other."""
+    counts = rows.groupBy(*by, "part").agg(F.count("*").alias("__n"))
+    earlier = F.sum("__n").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*by, "part", F.coalesce(earlier, F.lit(0)).alias("__start"))
+    at = F.row_number().over(Window.partitionBy(*by, "part").orderBy(*order))
+    return rows.withColumn("rank", at).join(starts, [*by, "part"]).withColumn("rank", F.col("rank") - 1 + F.col("__start")).drop("__start")
+
+
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot."""
     text = F.coalesce("text", F.lit(""))
     key = F.coalesce(F.md5(F.encode("text", "utf-8")), F.lit("null"))
     rows = cut(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), key.alias("key")))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())  # over a checkpoint this number stays
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    groups = rows.groupBy("key").agg(F.sum("size").alias("g"))
-    # at most LARGE groups can be this large
-    large = cut(groups.filter(F.col("g") > max(1, total // LARGE)).select(F.col("key").alias("k"), F.when(F.col("g") > total / shards, PIECES).otherwise(1).alias("pieces")))
-    crate = F.concat(F.lit("crate-"), F.pmod(F.xxhash64("key"), F.lit(CRATES)))
-    piece = F.when(F.col("pieces") > 1, F.concat_ws("-", "key", F.pmod(F.xxhash64("doc_id"), "pieces"))).otherwise(F.col("key"))
-    item = rows.join(F.broadcast(large), F.col("key") == F.col("k"), "left").withColumn("item", F.when(F.col("k").isNull(), crate).otherwise(piece)).drop("k", "pieces", "key")
-    packed = tightest([(r[1], r[0]) for r in item.groupBy("item").agg(F.sum("size")).toLocalIterator()], shards)
-    spark = docs.sparkSession
-    bins = spark.createDataFrame([(k, v) for k, v in packed.items()], "item string, shard int")
+    share = max(1, -(-total // shards))
+    huge = cut(rows.groupBy("key").agg(F.sum("size").alias("g"), F.max("size").alias("one")).filter(F.col("g") > share).select("key", F.greatest(F.lit(1), F.floor(share / F.col("one"))).alias("each")))  # under `shards` rows
+    rows = rows.join(F.broadcast(huge), "key", "left")
+    cutting = ranked(rows.filter("each is not null").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(max(1, count // 20_000)))), ["key"], ["row"])
+    cutting = cutting.withColumn("key", F.concat_ws("-", "key", F.floor(F.col("rank") / F.col("each"))))
+    rows = rows.filter("each is null").unionByName(cutting.drop("part", "rank")).drop("each")
+
+    items = rows.groupBy("key").agg(F.sum("size").alias("g"), F.count("*").alias("n"))
+    low = F.greatest(F.length(F.bin("g")) - SIZE_BITS, F.lit(0))
+    items = items.withColumn("low", low).withColumn("rounded", F.expr("shiftleft(shiftright(g + shiftleft(1L, low) - 1, low), low)"))
+    items = cut(items.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(max(1, count // 20_000)))).drop("low"))
+    sizes = sorted(((r[0], r[1]) for r in items.groupBy("rounded").agg(F.count("*")).toLocalIterator()), reverse=True)
+    runs = docs.sparkSession.createDataFrame([(sizes[k][0], a, a + n, b) for k, a, n, b in tightest(sizes, shards)], "rounded long, first long, end long, shard int")
+    at = ranked(items, ["rounded"], ["key"])
+    bins = cut(at.join(F.broadcast(runs), "rounded").filter("first <= rank and rank < end").select("key", "g", "n", "shard"))
+    hot = (F.col("g") > total / LARGE) | (F.col("n") > count / LARGE)
+    found = rows.join(F.broadcast(bins.filter(hot).select("key", "shard")), "key", "left")
+    placed = found.filter("shard is not null").unionByName(found.filter("shard is null").drop("shard").join(bins.filter(~hot).select("key", "shard"), "key")).drop("key")
+
     parts = max(1, -(-count // (shards * 20_000)))
-    placed = item.join(F.broadcast(bins), "item").withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)))
-    before = F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = placed.groupBy("shard", "part").agg(F.count("*").alias("n")).select("shard", "part", F.coalesce(before, F.lit(0)).alias("start"))
-    at = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32"))
-    return placed.withColumn("at", at).join(starts, ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("at") - 1).cast("long").alias("slot"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
+    return ranked(placed, ["shard"], ["doc_id", "text_crc32", "row"]).select("doc_id", "size", "text_crc32", "shard", F.col("rank").cast("long").alias("slot"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

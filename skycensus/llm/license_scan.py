@@ -74,22 +74,29 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 def scan(words: list[str], template: list[str], least: float) -> tuple[float, int, int] | None:
-    """Best coverage with the first and last word aligned; the first of equal ones."""
+    """Best coverage with the first and last word aligned; the first of equal ones.
+
+    Stretches are stretches of the words that the template has, from twice its length, doubled up to the whole text and
+    stepped by half: others never align, and where a template occurs twice a stretch with one of them has the anchors.
+    """
     need, size = least * len(template), Counter(template)
     spots = [k for k, w in enumerate(words) if w in size]
-    best, at, span = None, 0, 2 * len(template)
-    while at < len(spots):
-        lo = spots[at]
-        end = bisect_left(spots, lo + span)
-        found = Counter(words[k] for k in spots[at:end])
-        if sum(min(n, size[w]) for w, n in found.items()) >= need:
-            got = align(template, words[lo : lo + span])
-            if len(got) >= need and (best is None or len(got) > best[0] * len(template) + 1e-9):
-                best = (len(got) / len(template), lo + got[0][1], lo + got[-1][1])
-                if len(got) == len(template):
-                    break
-        at = max(at + 1, bisect_left(spots, lo + max(1, len(template) // 8)))
-    return best
+    best, span = None, 2 * len(template)
+    while True:
+        for at in range(0, max(1, len(spots) - span // 2), span // 2):
+            some = spots[at : at + span]
+            found = Counter(words[k] for k in some)
+            most = sum(min(n, size[w]) for w, n in found.items())
+            if most < need or best and most <= best[0]:  # an upper bound of what aligns
+                continue
+            got = align(template, [words[k] for k in some])
+            if len(got) >= need and (best is None or len(got) > best[0]):
+                best = (len(got), some[got[0][1]], some[got[-1][1]])
+                if best[0] == len(template):
+                    return 1.0, *best[1:]
+        if span >= len(spots):
+            return best and (best[0] / len(template), *best[1:])
+        span *= 2
 
 
 def scan_licenses(df: DataFrame, keep: list[str], templates: dict[str, str] | None = None, least: float = COVERAGE) -> DataFrame:

@@ -1,9 +1,11 @@
 """Chat formatting from an event log, in DataFrame functions only.
 
-An event is (conv_id, message, seq, kind, role, text). `delta` adds its text; `edit` and `regenerate` discard
-what the message had and start again from their own text. A message is the texts from its last restart on,
-by seq; messages of a conversation come in the order of their key. Null text or role: empty. Null conv_id:
-a conversation of its own. Events repeated with the same seq of a message count as often as they occur.
+An event is (conv_id, message, seq, kind, role, text, at, cut). `delta` adds its text; `regenerate` discards what the
+message had and starts again from its own text; `edit` puts its text in place of the `cut` code points that come after the
+first `at` of what the message has by then (text streamed before it, so what is streamed later moves nothing). The log of a
+conversation is dealt by message, so a hot conversation has many tasks, and folded by seq; its messages come in the order of
+their key. Null text or role: empty. Null conv_id: a conversation of its own. Events repeated with the same seq of a message count as
+often as they occur.
 """
 
 from __future__ import annotations
@@ -35,15 +37,14 @@ def unescape(text: Column) -> Column:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """One row per message: conv_id, message, role, text."""
-    restart = F.col("kind").isin("edit", "regenerate")
-    grouped = events.groupBy("conv_id", "message").agg(
-        F.coalesce(F.max(F.when(restart, F.col("seq"))), F.min("seq")).alias("base"),
-        F.max("role").alias("role"),
-        F.sort_array(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("text")))).alias("parts"),
-    )
+    """One row per message: conv_id, message, role, text, folded from its part of the conversation's log, by seq."""
+    again = F.max(F.when(F.col("kind") == "regenerate", F.col("seq")))
+    part = F.struct("seq", (F.col("kind") == "edit").alias("edit"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("at", F.lit(0)).alias("at"), F.coalesce("cut", F.lit(0)).alias("cut"))
+    grouped = events.groupBy("conv_id", "message").agg(F.coalesce(again, F.min("seq")).alias("base"), F.max("role").alias("role"), F.sort_array(F.collect_list(part)).alias("parts"))
     live = F.filter("parts", lambda p: p["seq"] >= F.col("base"))
-    return grouped.select("conv_id", "message", F.coalesce("role", F.lit("")).alias("role"), F.array_join(F.transform(live, lambda p: p["text"]), "").alias("text"))
+    text = F.array_join(F.transform(F.filter(live, lambda p: ~p["edit"]), lambda p: p["text"]), "")
+    splice = lambda t, p: F.concat(F.substr(t, F.lit(1), p["at"]), p["text"], F.substr(t, p["at"] + p["cut"] + 1, F.lit(2**31 - 1)))
+    return grouped.select("conv_id", "message", F.coalesce("role", F.lit("")).alias("role"), F.aggregate(F.filter(live, lambda p: p["edit"]), text, splice).alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -84,27 +85,36 @@ def masked(formatted: Column, spans: Column) -> Column:
 def events_of(rows: DataFrame) -> DataFrame:
     """The event log that stands for finished turns.
 
-    Texts are streamed in chunks of 256 code points. A third of the turns have an earlier draft that was
-    regenerated, a fifth one that was edited; equal rows are messages of their own.
+    Texts are streamed in chunks of 256 code points. A third of the turns have an earlier draft that is regenerated; in a
+    fifth the first 40 code points come in reverse and are put right by an edit at the end; equal rows are messages of their own.
     """
     text = F.coalesce("text", F.lit(""))
     base = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text")).groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
     base = base.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     message = F.struct("turn", "role", F.xxhash64("text").alias("key"), "copy").alias("message")
     n = F.greatest(F.lit(1), F.ceil(F.length("text") / CHUNK).cast("int"))
-    kind = F.when(F.pmod(F.col("turn"), 3) == 1, "regenerate").when(F.pmod(F.col("turn"), 5) == 2, "edit")
-    event = lambda k, kind, text: F.struct(F.lit(k).cast("int").alias("seq") if isinstance(k, int) else k.cast("int").alias("seq"), kind.alias("kind"), text.alias("text"))
-    chunks = F.transform(F.sequence(F.lit(1), n), lambda k: event(k + 1, F.lit("delta"), F.substr("text", (k - 1) * CHUNK + 1, F.lit(CHUNK))))
-    draft = F.array(event(0, F.lit("delta"), F.reverse(F.substr("text", F.lit(1), F.lit(40)))), event(1, kind, F.lit("")))
-    log = F.when(kind.isNotNull(), F.concat(draft, chunks)).otherwise(chunks)
-    return base.select("conv_id", message, "role", F.explode(log).alias("e")).select("conv_id", "message", "e.seq", "e.kind", "role", "e.text")
+    redone = F.coalesce(F.pmod(F.col("turn"), 3) == 1, F.lit(False))
+    edited = F.coalesce(F.pmod(F.col("turn"), 5) == 2, F.lit(False)) & (F.length("text") > 0)
+    first = F.substr("text", F.lit(1), F.lit(40))
+    sent = F.when(edited, F.concat(F.reverse(first), F.substr("text", F.lit(41), F.lit(2**31 - 1)))).otherwise(F.col("text"))
+
+    def event(seq: Column, kind: str, text: Column, at: Column, cut: Column) -> Column:
+        return F.struct(seq.cast("int").alias("seq"), F.lit(kind).alias("kind"), text.alias("text"), at.cast("int").alias("at"), cut.cast("int").alias("cut"))
+
+    no = F.lit(0)
+    chunks = let(sent, lambda t: F.transform(F.sequence(F.lit(1), n), lambda k: event(k + 1, "delta", F.substr(t, (k - 1) * CHUNK + 1, F.lit(CHUNK)), no, no)))
+    draft = F.array(event(no, "delta", F.reverse(first), no, no), event(F.lit(1), "regenerate", F.lit(""), no, no))
+    fix = F.array(event(n + 2, "edit", first, no, F.length(first)))
+    none = F.slice(fix, 1, 0)
+    log = F.concat(F.when(redone, draft).otherwise(none), chunks, F.when(edited, fix).otherwise(none))
+    return base.select("conv_id", message, "role", F.explode(log).alias("e")).select("conv_id", "message", "e.seq", "e.kind", "role", "e.text", "e.at", "e.cut")
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], rows.schema)
-    done = render(fold(events_of(rows.unionByName(extra))))
+    extra = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{hard}'), (-1L, 1L, 'assistant', '{hard}') AS t(conv_id, turn, role, text)")
+    done = render(fold(events_of(rows.union(extra))))
     flat = lambda turns: F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     done = done.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), read_back(F.col("formatted")).alias("turns"), masked(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     return done.select(

@@ -1,17 +1,16 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text.
 
 Folding lowers the text, maps homoglyphs and digit substitutions to one letter each and every other mark to
-a blank. Lexicon entries, learned from labels, are whole words or word beginnings; their weights are smoothed
-log odds. A hit inside an exception phrase does not count. The sum of weights is normalised by length and
+a blank. Lexicon entries, learned from labels, are whole words (two letters and more) or word beginnings (4 to 6
+letters); their weights are smoothed log odds. A hit inside an exception phrase does not count. The sum of weights is normalised by length and
 turned into a score by a fitted logistic. Null and empty texts have no hits and score low. Without labels
 the lexicon is empty and every score is 0.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-import sys
-from collections import defaultdict
 
 import ahocorasick
 import numpy as np
@@ -19,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skycensus.llm.common import held_out, map_texts, table, training_rows
+from skycensus.llm.common import cut, held_out, map_texts, table, training_rows
 
 #: The lexicon is learned from at most so many labelled rows.
 TRAIN_ROWS = 4000
-SHORTEST, LONGEST_START = 4, 6
+SHORTEST_START, LONGEST_START = 4, 6
+#: An entry is in so many toxic texts at least, and at most in this share of clean ones among all that hold it.
+LEAST, IMPURE = 3, 0.05
 #: Look-alikes of Latin letters, and digits and marks that stand for letters.
 LOOKALIKE = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "κ": "k", "ν": "v", "τ": "t", "υ": "u", "χ": "x", "ɡ": "g", "ı": "i"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
@@ -49,10 +50,10 @@ def fold(text: str | None) -> str:
 
 
 def entries(words) -> set[str]:
-    """Candidate entries: ' word ' for whole words, ' start' for beginnings."""
-    out = {f" {w} " for w in words if SHORTEST <= len(w) <= 24}
+    """Candidate entries: ' word ' for whole words of two letters and more, ' start' for beginnings of 4 to 6 letters."""
+    out = {f" {w} " for w in words if len(w) > 1}
     for w in words:
-        out.update(" " + sys.intern(w[:n]) for n in range(SHORTEST, min(LONGEST_START, len(w)) + 1))
+        out.update(" " + w[:n] for n in range(SHORTEST_START, min(LONGEST_START, len(w)) + 1))
     return out
 
 
@@ -79,46 +80,35 @@ def hits(found, folded: str) -> tuple[float, float]:
     return sum(at.values()), (1 + folded.count(" ") / 8) ** 0.25
 
 
-def learn(rows: list[tuple[int, str]], least: int = 3, impure: float = 0.05) -> dict:
-    """Cover the toxic texts with few entries that clean texts hardly hold; then fit the logistic."""
-    texts = [(y, fold(t)) for y, t in rows]
-    n_bad = sum(y for y, _ in texts)
-    bad, good = defaultdict(set), defaultdict(int)
-    for k, (y, t) in enumerate(texts):
-        if y:
-            for e in entries(set(t.split())):
-                bad[e].add(k)
-    for y, t in texts:
-        if not y:
-            for e in entries(set(t.split())):
-                if e in bad:
-                    good[e] += 1
-    able = {e: ks for e, ks in bad.items() if len(ks) >= least and good[e] <= impure * (len(ks) + good[e])}
-    odds = lambda e: math.log((len(able[e]) + 0.5) / (n_bad + 1)) - math.log((good[e] + 0.5) / (len(texts) - n_bad + 1))
-    weights, left = {}, {k for ks in able.values() for k in ks}
-    by_size = sorted(able, key=lambda e: (-len(able[e]), -len(e), e))
-    while left:
-        e = max(by_size, key=lambda e: (len(able[e] & left), len(able[e]), e[-1] == " ", len(e), e))
-        if len(able[e] & left) < least:
-            break
+def spread(rows: DataFrame, make) -> DataFrame:
+    """(doc_id, y, item) for each item of make(folded text)."""
+
+    def run(batches):
+        for batch in batches:
+            for d, y, t in zip(*(batch[c].to_pylist() for c in ("doc_id", "y", "text")), strict=True):
+                items = sorted(make(fold(t)))
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(items), pa.int64()), pa.array([y] * len(items), pa.int32()), pa.array(items, pa.string())], names=["doc_id", "y", "item"])
+
+    return rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id bigint, y int, item string")
+
+
+def cover(able: dict[str, tuple[frozenset, int]], n_bad: int, n_good: int) -> dict[str, float]:
+    """Weights of few entries (toxic texts that hold it, number of clean ones) that cover the toxic texts; log odds."""
+    odds = lambda e: math.log((len(able[e][0]) + 0.5) / (n_bad + 1)) - math.log((able[e][1] + 0.5) / (n_good + 1))
+    weights, left = {}, frozenset().union(*(k for k, _ in able.values()))
+    alive = sorted(able, key=lambda e: (-len(able[e][0]), -len(e), e))
+    while alive := [e for e in alive if len(able[e][0] & left) >= LEAST]:
+        e = max(alive, key=lambda e: (len(able[e][0] & left), len(able[e][0]), e[-1] == " ", len(e), e))
         weights[e] = odds(e)
-        left -= able[e]
-        by_size = [x for x in by_size if len(able[x] & left) >= least]
-        if not by_size:
-            break
+        left -= able[e][0]
     # entries that appear on their own strength too: as pure, and in a fiftieth of the toxic texts
-    for e in able:
-        if e[-1] == " " and len(able[e]) >= max(8, n_bad / 50) and good[e] == 0 and not any(e.startswith(x) for x in weights):
+    for e, (bad, good) in able.items():
+        if e[-1] == " " and len(bad) >= max(8, n_bad / 50) and good == 0 and not any(e.startswith(x) for x in weights):
             weights[e] = odds(e)
-    pairs = defaultdict(lambda: [0, 0])
-    for y, t in texts:
-        words = t.split()
-        for a, b in {(a, b) for a, b in zip(words, words[1:], strict=False) if f" {a} " in weights}:
-            pairs[f" {a} {b} "][y] += 1
-    exceptions = sorted(p for p, (clean, toxic) in pairs.items() if clean >= least and not toxic)
-    found = machine(weights, exceptions)
-    x = np.array([s / norm for s, norm in (hits(found, t) for _, t in texts)] or [0.0])
-    y = np.array([y for y, _ in texts] or [0.0], dtype=float)
+    return weights
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     w, b = 1.0, -2.0
     for _ in range(50):  # ridge Newton steps
         p = 1 / (1 + np.exp(-np.clip(w * x + b, -35, 35)))
@@ -127,12 +117,38 @@ def learn(rows: list[tuple[int, str]], least: int = 3, impure: float = 0.05) ->
         hess = np.array([[(d * x * x).sum() + 0.01, (d * x).sum()], [(d * x).sum(), d.sum() + 0.01]])
         step = np.linalg.solve(hess, grad)
         w, b = w - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
-    return {"weights": weights, "exceptions": exceptions, "w": float(w), "b": float(b)}
+    return float(w), float(b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = TRAIN_ROWS) -> dict:
-    rows = training_rows(docs, labels, label, bound).select("doc_id", "y", "text").toArrow().to_pylist()
-    return learn([(r["y"], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))])
+    """Lexicon, exceptions and logistic from at most `bound` labelled texts.
+
+    Texts stay on the executors: the driver gets the entries that at least LEAST toxic and hardly any clean texts hold,
+    phrases that only clean texts hold, and one sum per text.
+    """
+    rows = cut(training_rows(docs, labels, label, bound).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.least(F.greatest("y", F.lit(0)), F.lit(1)).alias("y"), "text"))
+    n_bad, n = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
+    held = spread(rows, lambda t: entries(set(t.split()))).groupBy("item").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"), F.collect_list(F.when(F.col("y") == 1, F.col("doc_id"))).alias("ids"))
+    held = held.filter((F.col("bad") >= LEAST) & (F.col("good") <= IMPURE * (F.col("bad") + F.col("good"))))
+    able = {r["item"]: (frozenset(r["ids"]), r["good"]) for r in sorted(held.select("item", "good", "ids").collect(), key=lambda r: r["item"])}
+    weights = cover(able, n_bad, n - n_bad)
+
+    def phrases(text: str) -> set[str]:
+        words = text.split()
+        return {f" {a} {b} " for a, b in itertools.pairwise(words) if f" {a} " in weights}
+
+    spared = spread(rows, phrases).groupBy("item").agg(F.sum("y").alias("bad"), F.count("*").alias("n")).filter((F.col("bad") == 0) & (F.col("n") >= LEAST))
+    exceptions = sorted(r["item"] for r in spared.select("item").collect())
+    kept: list = []
+
+    def sums(texts):
+        if not kept:
+            kept.append(machine(weights, exceptions))
+        return {"x": pa.array([s / norm for s, norm in (hits(kept[0], fold(t)) for t in texts)], pa.float64())}
+
+    got = sorted(map(tuple, map_texts(rows, ["doc_id", "y"], "text", sums, "x double").collect()))
+    w, b = logistic(np.array([x for *_, x in got] or [0.0]), np.array([y for _, y, _ in got] or [0.0], dtype=float))
+    return {"weights": weights, "exceptions": exceptions, "w": w, "b": b}
 
 
 def score(docs: DataFrame, keep: list[str], model: dict) -> DataFrame:

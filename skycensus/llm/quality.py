@@ -27,7 +27,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 def _shape(word: str) -> str:
     mark = lambda m: "A" if (s := m[0]).isupper() and len(s) > 1 else "C" if s[0].isupper() else "a"
-    return re.sub(r"\d+", "0", _LETTERS.sub(mark, word))[:24]
+    return re.sub(r"\d+", "0", _LETTERS.sub(mark, word))
 
 
 @lru_cache(200_000)

@@ -48,13 +48,39 @@ def test_dropout_draws_each_occurrence():
 
     p, word = Pieces(MODEL, 0.3, 1, 4), "▁internationalisation"
     text = " ".join(["internationalisation"] * 400)
-    keys = p.keys(text, 400)
+    keys = p.keys([text], np.array([400])).tolist()
     one = [p.word(word, k) for k in keys]
     assert p.encode(text) == [i for ids in one for i in ids] == p.encode(text)
     assert len({tuple(ids) for ids in one}) > 40 and p.decode(p.encode(text)) == text
     assert len({tuple(p.encode(f"{text[:41]} {k}")[:8]) for k in range(60)}) > 10
 
 
+def test_dropout_of_many_words_equals_the_agenda():
+    """Every word of 60 texts, and hard ones, as the agenda merges it alone with the same key."""
+    import re
+
+    from skycensus.llm.sentencepiece_dropout import BLANK, MODEL, Pieces
+
+    texts = [t for (t,) in rows(f"select text from '{DIR}/documents.parquet' limit 60")]
+    texts += ["", " ", "  a  ", "a\u2581b", "\u2581", " \u2581 \u2581\u2581x", "x" * 39 + " " + "ab" * 20 + " " + "internationalisation" * 9, "日本語 😀😀 ñandú", "the the the " * 50]
+    for rate, seed in ((0.1, 7), (0.5, 1), (1.0, 2), (0.0, 0)):
+        p = Pieces(MODEL, rate, seed)
+        for got, text in zip(p.encode_all(texts), texts, strict=True):
+            parts = [re.findall(f"{BLANK}*[^{BLANK}]+|{BLANK}+", (BLANK if k == 0 else "") + x.replace(" ", BLANK)) for k, x in enumerate(text.split(BLANK))]
+            keys, want = iter(p.keys([text], np.array([sum(map(len, parts))])).tolist()), []
+            for k, words in enumerate(parts):
+                want += ([p.bytes_at + b for b in BLANK.encode()] if k else []) + [i for w in words for i in p.word(w, next(keys))]
+            assert got.tolist() == want
+
+
+def test_sentencepiece_empty_table_and_clashing_names(spark, docs):
+    from skycensus.llm.sentencepiece_dropout import encode, stage
+
+    more = docs.selectExpr("*", "1 as ids", "2 as n_tokens", "3 as lossless")
+    assert encode(more.limit(0), ["doc_id"]).count() == 0 and stage(spark, more.limit(0), DIR).count() == 0
+    assert stage(spark, more, DIR).count() == len(DOCS)
+
+
 def test_chat_format(spark):
     got = out(spark, "op2_chat_format").set_index("conv_id")
     want: dict = {-1: [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]}
@@ -84,6 +110,47 @@ def test_chat_edge_rows(spark):
     assert render(fold(events_of(df.limit(0)))).count() == 0
 
 
+def brute_fold(events):
+    """Messages of a log by replaying each conversation's events one by one."""
+    texts: dict = {}
+    for conv, message, _, kind, text, at, cut in sorted(events, key=lambda e: (str(e[0]), e[1], e[2])):
+        t = texts.get((conv, message), "")
+        t = text if kind == "regenerate" else t + text if kind == "delta" else t[:at] + text + t[at + cut :]
+        texts[conv, message] = t
+    return texts
+
+
+def test_chat_log_replay(spark):
+    from skycensus.llm.chat_format import fold
+
+    rng = np.random.default_rng(9)
+    events, size = [], {}
+    for conv in (1, 2, None):
+        for seq in range(150):
+            message, kind = int(rng.integers(0, 8)), str(rng.choice(["delta"] * 6 + ["edit", "edit", "regenerate"]))
+            text = "é😀ab<"[: int(rng.integers(0, 6))] * int(rng.integers(1, 4))
+            has = size.get((conv, message), 0)
+            at = int(rng.integers(0, has + 1)) if kind == "edit" else None
+            cut = int(rng.integers(0, has - at + 1)) if kind == "edit" else None
+            size[conv, message] = has + len(text) if kind == "delta" else len(text) if kind == "regenerate" else has - cut + len(text)
+            events.append((conv, message, seq, kind, text, at, cut))
+    df = spark.createDataFrame(events, "conv_id long, message int, seq int, kind string, text string, at int, cut int").selectExpr("*", "'user' as role", "1 as base", "2 as parts")
+    assert {(r.conv_id, r.message): r.text for r in fold(df.repartition(5)).collect()} == brute_fold(events)
+
+
+def test_chat_very_long_text_and_no_python_in_the_plan(spark):
+    from pyspark.sql import functions as F
+
+    from skycensus.llm.chat_format import events_of, fold, op2_chat_format, read_back, render
+
+    long = "<|im_end|>[INST]x" * 20_000
+    df = spark.createDataFrame([(1, 2, "assistant", long), (1, 4, "assistant", long)], "conv_id long, turn long, role string, text string")
+    (row,) = render(fold(events_of(df))).select(read_back(F.col("formatted")).alias("t")).collect()
+    assert [t.text for t in row.t] == [long, long]
+    plan = op2_chat_format(spark, DIR)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "ExistingRDD" not in plan and "Arrow" not in plan
+
+
 @pytest.mark.parametrize(("name", "label", "least"), [("op3_quality_classifier", "quality", 0.9), ("op5_toxicity", "toxic", 0.85)])
 def test_classifiers_held_out(spark, name, label, least):
     got = out(spark, name).set_index("doc_id")
@@ -105,6 +172,44 @@ def test_classifiers_edges(spark, docs):
     assert got[1] > 0.5 > got[2] == got[3]
 
 
+def test_toxic_lexicon_takes_short_and_long_words(spark):
+    """Words of three letters and of over 24 are entries of their own; the counts come from the executors."""
+    from skycensus.llm import toxicity
+
+    long, data = "pneumonoultramicroscopicsilico", []
+    for k in range(300):
+        bad = k % 3 == 0
+        data.append((k, f"plain words here {k} " + (("zug" if k % 2 else long) if bad else "pneumonoultra something") + " more plain text", int(bad)))
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df, df.select("doc_id", "toxic"))
+    assert {" zug ", f" {toxicity.fold(long).strip()} "} <= set(model["weights"])
+    got = {r.doc_id: r.score for r in toxicity.score(df, ["doc_id"], model).collect()}
+    assert all((got[d] >= 0.5) == bool(y) for d, _, y in data)
+    folded = [toxicity.fold(t) for _, t, _ in data]  # every weight against a plain count over the texts it was learned from
+    learnt = [k for k, (d, _, _) in enumerate(data) if zlib.crc32(str(d).encode()) % 5]
+    n_bad = sum(data[k][2] for k in learnt)
+    for e, w in model["weights"].items():
+        bad = sum(e in folded[k] for k in learnt if data[k][2])
+        good = sum(e in folded[k] for k in learnt if not data[k][2])
+        assert w == pytest.approx(np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (len(learnt) - n_bad + 1)))
+
+
+def test_matching_against_plain_search():
+    from skycensus.llm import toxicity
+
+    weights, spare = {" bad ": 2.0, " wor": 1.5, " worst ": 3.0}, [" bad luck "]
+    found = toxicity.machine(weights, spare)
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        text = toxicity.fold(" ".join(rng.choice(["bad", "luck", "worst", "world", "b4d", "ok"], rng.integers(0, 12))))
+        at: dict = {}
+        for e, w in weights.items():
+            for k in range(len(text)):
+                if text.startswith(e, k) and not any(text.startswith(x, s) and s <= k and k + len(e) <= s + len(x) for x in spare for s in range(len(text))):
+                    at[k] = max(w, at.get(k, 0))
+        assert toxicity.hits(found, text)[0] == pytest.approx(sum(at.values()))
+
+
 def test_training_rows_take_an_id_once(spark):
     from skycensus.llm.common import training_rows
 
@@ -141,6 +246,31 @@ def test_license_scan(spark):
     assert align(list("abcdef"), list("xabdefy")) == [(0, 1), (1, 2), (3, 3), (4, 4), (5, 5)]
 
 
+def test_license_scan_over_whole_texts(spark):
+    from skycensus.llm.license_scan import TEMPLATES, _WORD, align, scan, scan_licenses
+
+    mit = TEMPLATES["MIT"].split()
+    wide = " ".join(f"{w} fill{k} more{k}" for k, w in enumerate(mit))
+    long = "lorem " * 20_000 + wide + " ipsum" * 20_000
+    df = spark.createDataFrame([(1, wide), (2, long), (3, wide + " " + long), (3, wide + " " + long), (None, wide)], "doc_id long, text string").selectExpr("*", "1 as license", "2 as found")
+    got = sorted(map(tuple, scan_licenses(df, ["doc_id"]).filter("license = 'MIT'").select("doc_id", "coverage").collect()), key=str)
+    assert got == sorted([(1, 1.0), (2, 1.0), (3, 1.0), (3, 1.0), (None, 1.0)], key=str)
+    assert scan_licenses(df.limit(0), ["doc_id"]).count() == 0
+    rng = np.random.default_rng(5)  # against a longest common subsequence, which no alignment is over
+    for name, text in TEMPLATES.items():
+        t = _WORD.findall(text.lower())
+        for _ in range(5):
+            words = [w for w in t if rng.random() > 0.1]
+            noisy = [x for w in words for x in [w, *(f"n{k}" for k in range(rng.integers(0, 4)))]]
+            table = np.zeros((len(t) + 1, len(noisy) + 1), int)
+            for i, a in enumerate(t):
+                for j, b in enumerate(noisy):
+                    table[i + 1, j + 1] = table[i, j] + 1 if a == b else max(table[i, j + 1], table[i + 1, j])
+            assert 0.9 * table[-1, -1] <= len(align(t, noisy)) <= table[-1, -1], name
+            found = scan(noisy, t, 0.5)
+            assert found and found[0] <= table[-1, -1] / len(t) + 1e-9
+
+
 def brute_components(ids, links):
     low = {i: i for i in ids}
 
@@ -264,6 +394,48 @@ def test_sharding_keeps_a_group_that_fits_whole(spark):
     assert len(by) == 24 and by.max() <= 1.1 * by.mean()
 
 
+def test_sharding_of_a_text_over_a_whole_shard(spark):
+    """Of 60 % of all rows one text: it takes as few shards as hold it, every other group stays whole, sizes are near equal."""
+    from skycensus.llm.sharding import shard
+
+    data = [(k if k % 2 else 1, "z" * 60) for k in range(3600)] + [(10_000 + k, f"text {k // 3} " + "x" * (20 + k // 3 % 50)) for k in range(2400)]
+    got = shard(spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "1 as key", "2 as shard", "3 as part")).toPandas()
+    by = got.groupby("shard")["size"].sum()
+    assert len(got) == len(data) and len(by) == 24 and by.max() <= 1.06 * by.mean()
+    few = got[got["text_crc32"] == zlib.crc32(b"z" * 60)]
+    share = got["size"].sum() / 24
+    assert few["shard"].nunique() <= few["size"].sum() / share + 2
+    rest = got[got.doc_id >= 10_000]
+    assert (rest.assign(group=(rest.doc_id - 10_000) // 3).groupby("group")["shard"].nunique() == 1).all()
+    assert all(sorted(s) == list(range(len(s))) for _, s in got.groupby("shard")["slot"])
+
+
+def brute_best_fit(items, capacity):
+    rooms = []
+    for size in sorted(items, reverse=True):
+        fit = [k for k, r in enumerate(rooms) if r >= size]
+        if fit:
+            rooms[min(fit, key=lambda k: (rooms[k], k))] -= size
+        else:
+            rooms.append(capacity - size)
+    return sorted(rooms)
+
+
+def test_best_fit_against_a_plain_search():
+    from skycensus.llm.sharding import pack, pack_counts
+
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        items = [int(x) for x in rng.integers(1, 60, rng.integers(1, 120))]
+        capacity = int(rng.integers(60, 130))
+        want = brute_best_fit(items, capacity)
+        bins, n = pack([(s, k) for k, s in enumerate(items)], capacity)
+        assert n == len(want) and sorted(capacity - sum(items[k] for k in bins if bins[k] == b) for b in range(n)) == want
+        counts = sorted(Counter(items).items(), reverse=True)
+        runs, n = pack_counts(counts, capacity)
+        assert sorted(capacity - sum(counts[k][0] * m for k, _, m, c in runs if c == b) for b in range(n)) == want
+
+
 def brute_repeats(words):
     win = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
     n = Counter(win)
@@ -322,10 +494,141 @@ def test_simhash_stage_keeps_each_class_once(spark):
     assert stage(spark, df.limit(0), DIR).count() == 0
 
 
+def brute_features(text):
+    """Counts of hashed words, runs of two and three words, shapes, shape pairs and marks, with plain integers."""
+    from skycensus.llm.quality import BITS, _shape
+
+    m, words, out = 2**64 - 1, (text or "").split(), Counter()
+    mix = lambda c: ((c ^ c >> 29) * 0xBF58476D1CE4E5B9 & m) >> 32
+    word = [zlib.crc32(w.encode()) for w in words]
+    shape = [zlib.crc32(b"\x01" + _shape(w).encode()) for w in words]
+    two = [mix((a * 0x9E3779B97F4A7C15 + b) & m) for a, b in zip(word, word[1:], strict=False)]
+    three = [mix((a * 0x9E3779B97F4A7C15 + b) & m) for a, b in zip(two, word[2:], strict=False)]
+    mark = [(w in word[:k]) + 2 * (k > 0 and word[k - 1] == w) + 5 for k, w in enumerate(word)]
+    pairs = [(a * 0x9E3779B1 + b * 31 + c * 0x85EBCA6B) & 0xFFFFFFFF for a, b, c in zip(shape, shape[1:], mark[1:], strict=False)]
+    for x in word + two + three + shape + pairs + mark:
+        out[((x * 2654435761 & m) >> 8) % ((1 << BITS) - 1) + 1] += 1
+    norm = sum(n * n for n in out.values()) ** 0.5
+    return {0: 1.0} | {k: n / norm for k, n in out.items()}
+
+
+def brute_ftrl(data, epochs=4, alpha=0.5, beta=1.0, l1=0.0005, l2=0.0005):
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - np.sign(z[k]) * l1) / ((beta + n[k] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(3)
+    for _ in range(epochs):
+        for r in order.permutation(len(data)):
+            y, x = data[r]
+            p = 1 / (1 + np.exp(-sum(weight(k) * v for k, v in x.items())))
+            for k, v in x.items():
+                g, w = (p - y) * v, weight(k)
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / alpha * w
+                n[k] += g * g
+    return {k: weight(k) for k in z}
+
+
+def test_quality_against_plain_loops(spark):
+    from skycensus.llm.quality import features, fit, score
+
+    labelled = rows(f"select doc_id, text, quality from '{DIR}/documents.parquet' join '{DIR}/labels.parquet' using (doc_id) where length(text) < 600 order by doc_id limit 70")
+    for _, text, _ in [*labelled, (0, "", 0), (0, "one", 0), (0, "Aa1 " * 40 + "x" * 3000, 0)]:
+        at, x = features(text)
+        want = brute_features(text)
+        assert set(at.tolist()) == set(want) and np.allclose([want[k] for k in at.tolist()], x)
+    df = spark.createDataFrame(labelled, "doc_id long, text string, quality int")
+    learnt = [(y, {k: np.float32(v).astype(float) for k, v in brute_features(t).items()}) for d, t, y in labelled if zlib.crc32(str(d).encode()) % 5]
+    want = brute_ftrl(learnt)
+    model = fit(df, df.select("doc_id", "quality"))
+    assert all(model[k] == pytest.approx(w, abs=1e-5) for k, w in want.items()) and np.count_nonzero(model) == sum(w != 0 for w in want.values())
+    for r in score(df, ["doc_id"], model).collect():
+        text = next(t for d, t, _ in labelled if d == r.doc_id)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-sum(want.get(k, 0) * v for k, v in brute_features(text).items()))), abs=1e-4)
+
+
+def test_empty_tables_and_clashing_names(spark, docs):
+    from skycensus.llm import license_scan, quality, quality_rules, simhash, toxicity
+
+    more = docs.selectExpr("*", "1 as y", "2 as fp", "3 as found", "4 as x", "5 as w", "6 as t", "7 as rank", "8 as license")
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
+    for df, n in ((more, len(DOCS)), (more.limit(0), 0)):
+        assert quality.score(df, ["doc_id"], quality.fit(df, labels)).count() == n
+        assert toxicity.score(df, ["doc_id"], toxicity.fit(df, labels)).count() == n
+        assert quality_rules.judge(df, ["doc_id"]).count() == n and simhash.classes(df).count() == n
+        assert license_scan.scan_licenses(df, ["doc_id"]).count() == 0
+
+
+def test_rules_keep_what_plain_code_keeps(spark):
+    """kept of every document against the thresholds applied in plain code to plain counts."""
+    from skycensus.llm.quality_rules import STOP_WORDS
+
+    got = out(spark, "op9_quality_rules").set_index("doc_id")
+    for d, text in rows(f"select doc_id, text from '{DIR}/documents.parquet'"):
+        words = [w.decode() for w in text.encode().split()]
+        lines = [x for x in text.split("\n") if x.encode().split()]
+        n = max(1, len(words))
+        bang = sum(c == "!" and (k + 1 == len(text) or text[k + 1] in " \t\n\v\f\r") for k, c in enumerate(text))
+        failed = len(words) < 20 or 100 * brute_repeats(words) > 30 * len(words)
+        rules = [2 <= sum(map(len, words)) / n <= 20, sum(c in "#*$%&|<>" for c in text) / n <= 0.4, sum(w.lower() in STOP_WORDS for w in words) / n >= 0.01, (len(lines) - len(set(lines))) / max(1, len(lines)) <= 0.5, bang / n <= 0.5]
+        assert (got.loc[d].base_failed, got.loc[d].kept) == (failed, not failed and all(rules)), d
+
+
 def test_pipeline_stages(spark):
+    """Each stage's rows against a plain check of its decision on what the stage before it kept."""
+    import corpus_pipeline
+    from skycensus.llm import quality, toxicity
+    from skycensus.llm.common import cut, table
+    from skycensus.llm.mixing import targets
+    from skycensus.llm.sentencepiece_dropout import MODEL, Pieces
+
+    docs, labels, kept = table(spark, DIR, "documents"), table(spark, DIR, "labels"), []
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality classifier", "simhash near-dedup", "mixing to target weights", "sentencepiece encoding"]
+    for _, stage in corpus_pipeline.STAGES:
+        kept.append(docs)
+        docs = cut(stage(spark, docs, DIR))
+    kept.append(docs)
+    assert all(set(df.columns) == {"doc_id", "text", "lang", "source", "n_chars"} for df in kept[:5])
+    ids = [Counter(r.doc_id for r in df.select("doc_id").collect()) for df in kept]
+    bad = {r.doc_id for r in toxicity.score(kept[0], ["doc_id"], toxicity.fit(kept[0], labels)).filter("score >= 0.5").collect()}
+    assert bad and set(ids[1]) == set(ids[0]) - bad
+    low = {r.doc_id for r in quality.score(kept[1], ["doc_id"], quality.fit(kept[1], labels)).filter("score < 0.3").collect()}
+    assert low and set(ids[2]) == set(ids[1]) - low
+    fps = {r.doc_id: brute_fp(r.text) for r in kept[2].collect()}
+    order = sorted(fps)
+    x = np.array([fps[d] for d in order], dtype=np.uint64)
+    links = [(order[i], order[j]) for i, j in zip(*np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x) <= 4, 1)), strict=True)]
+    assert set(ids[3]) == set(brute_components(order, links).values()) and max(ids[3].values()) == 1
+    sized = {r.doc_id: (r.source, len(r.text.encode().split())) for r in kept[3].collect()}
+    goal = {r.source: r.target for r in targets(spark.createDataFrame(list(sized.values()), "source string, size long")).collect()}
+    took = Counter()
+    for d, n in ids[4].items():
+        took[sized[d][0]] += n * sized[d][1]
+    assert max(ids[4].values()) <= 2
+    for s, target in goal.items():
+        assert target - max(n for t, n in sized.values() if t == s) <= took[s] <= target, s
+    p = Pieces(MODEL, 0.1, 7)
+    assert ids[5] == ids[4]
+    text = {r.doc_id: r.text for r in kept[4].collect()}
+    for r in kept[5].collect():
+        assert r.lossless and p.decode(r.ids) == text[r.doc_id] and r.n_tokens == len(r.ids) and r.ids == p.encode(text[r.doc_id])
+
+
+def test_pipeline_run_with_null_and_repeated_ids(spark, tmp_path):
+    """A clean document stays whatever its id; repeats of one text leave one of them."""
     import corpus_pipeline
 
-    got = corpus_pipeline.run(spark, DIR).toPandas()
-    assert got.lossless.all() and len(got) > 500
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert len(names) == 5
+    base = rows(f"select text from '{DIR}/documents.parquet' join '{DIR}/labels.parquet' using (doc_id) where quality = 1 and toxic = 0 and lang = 'en' and length(text) between 400 and 2000 order by doc_id limit 6")
+    texts = [t for (t,) in base]
+    data = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (8, texts[4]), (None, texts[4])]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    real = spark.read.parquet(f"{DIR}/documents.parquet").select(*docs.columns)
+    real.unionByName(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{DIR}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    with_stage = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        with_stage = stage(spark, with_stage, str(tmp_path))
+    assert sorted((str(r.doc_id), r.text) for r in with_stage.collect()) == sorted([("None", texts[0]), ("None", texts[1]), ("7", texts[2]), ("7", texts[3]), ("8", texts[4])])
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.filter("not lossless").isEmpty() and got.count() > 500

@@ -1,210 +1,9 @@
-"""Queries for the operators of the engine, and DuckDB SQL for each."""
+"""All queries of the engine and their DuckDB SQL, gathered from the query modules."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from skycensus.plans import catalog_queries, evaluate_queries, grid_queries, list_queries, observation_queries, orbit_queries  # noqa: F401, I001
+from skycensus.plans import apparition_queries  # noqa: F401  its SQL builds on that of the modules above
+from skycensus.plans.base import QUERIES, SQL
 
-from skycensus.functions import orbit
-from skycensus.operators import catalog, grid, observations
-from skycensus.plans import fixtures as fx
-from skycensus.sources.text import fixed_width
-
-#: Shifts from a band to V for the bands of the fixture.
-SHIFTS = {"R": 0.4, "g": -0.35, "r": 0.14, "o": 0.33, "w": -0.13, "i": 0.32, "c": -0.05, "G": 0.28, "y": 0.32, "z": 0.26, "B": -0.8}
-OBS, ORB, SCORED = f"obs AS ({fx.OBS_DUCK})", f"orb AS ({fx.ORB})", f"scored AS ({fx.SCORED})"
-DEDUPED = OBS + ", ded AS (SELECT * FROM obs QUALIFY row_number() OVER (PARTITION BY obj, t ORDER BY line_no) = 1)"
-GAPS = DEDUPED + ", g0 AS (SELECT *, t - lag(t) OVER (PARTITION BY obj ORDER BY t, line_no) AS gap FROM ded), g AS (SELECT *, 1 + sum(CASE WHEN gap >= 180 THEN 1 ELSE 0 END) OVER (PARTITION BY obj ORDER BY t, line_no ROWS UNBOUNDED PRECEDING) AS segment FROM g0)"
-NIGHTS = GAPS + """, o AS (SELECT obj, segment, t, row_number() OVER (PARTITION BY obj, segment ORDER BY t) AS k FROM g),
- walk AS (SELECT obj, segment, k, t AS anchor, 1 AS n FROM o WHERE k = 1 UNION ALL
-  SELECT o.obj, o.segment, o.k, CASE WHEN o.t - w.anchor > 0.5 THEN o.t ELSE w.anchor END, w.n + CASE WHEN o.t - w.anchor > 0.5 THEN 1 ELSE 0 END
-  FROM walk w JOIN o ON o.obj = w.obj AND o.segment = w.segment AND o.k = w.k + 1),
- seg AS (SELECT g.obj, g.segment, max(g.t) - min(g.t) AS arc, count(*) AS n_obs, max(n) AS nights FROM g JOIN (SELECT obj, segment, max(n) AS n FROM walk GROUP BY ALL) x ON x.obj = g.obj AND x.segment = g.segment GROUP BY ALL)"""
-RUNS = """r0 AS (SELECT *, gap < 0.5 AS is_day FROM g WHERE gap IS NOT NULL), r1 AS (SELECT *, CASE WHEN is_day <> lag(is_day) OVER (PARTITION BY obj ORDER BY t, line_no) THEN 1 ELSE 0 END AS turn FROM r0),
- r2 AS (SELECT *, sum(turn) OVER (PARTITION BY obj ORDER BY t, line_no ROWS UNBOUNDED PRECEDING) AS run FROM r1), r3 AS (SELECT obj, run, any_value(is_day) AS is_day, sum(gap) AS total FROM r2 GROUP BY obj, run),
- runs AS (SELECT * FROM r3 QUALIFY run < max(run) OVER (PARTITION BY obj) AND total > 0)"""
-RECURSIVE = "WITH RECURSIVE "
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str, name: str | None = None):
-    def add(f):
-        QUERIES[name or f.__name__], SQL[name or f.__name__] = f, sql
-        return f
-
-    return add
-
-
-def rounded(df, digits: int = 6):
-    """Doubles rounded, negative zero made zero."""
-    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c).cast("bigint").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
-
-
-def obs(spark, sf_dir):
-    return observations.dedupe(fx.observations(spark, sf_dir))
-
-
-@query(RECURSIVE + NIGHTS + " SELECT obj, segment::BIGINT AS segment, round(arc, 6) AS arc, nights::BIGINT AS nights, n_obs::BIGINT AS n_obs FROM seg")
-def obs_segments(spark, sf_dir):
-    return rounded(observations.segments(obs(spark, sf_dir)))
-
-
-@query(RECURSIVE + NIGHTS + ", " + RUNS + """, s AS (SELECT obj, max(segment)::BIGINT AS opposition_count, sum(nights)::BIGINT AS nights_total, list_sort(list(nights), 'DESC') AS ns,
-  coalesce(max(arc) FILTER (arc > 0), 0) AS longest_opp_arc, coalesce(min(arc) FILTER (arc > 0), 0) AS shortest_opp_arc FROM seg GROUP BY obj),
- t AS (SELECT obj, max(t) - min(t) AS total_arc, coalesce(max(gap) FILTER (gap >= 180), 0) AS longest_opp_gap, coalesce(min(gap) FILTER (gap >= 180), 0) AS shortest_opp_gap FROM g GROUP BY obj),
- d AS (SELECT obj, max(total) FILTER (is_day) AS d, list_sort(list(total) FILTER (NOT is_day), 'DESC') AS gs FROM runs GROUP BY obj)
- SELECT obj, round(total_arc, 6) AS total_arc, round(longest_opp_gap, 6) AS longest_opp_gap, round(shortest_opp_gap, 6) AS shortest_opp_gap, opposition_count, nights_total,
-  ns[1]::BIGINT AS opp_with_most_nights, coalesce(ns[2], 0)::BIGINT AS opp_with_second_most_nights, round(longest_opp_arc, 6) AS longest_opp_arc, round(shortest_opp_arc, 6) AS shortest_opp_arc,
-  round(coalesce(d, 0), 6) AS longest_day_arc, round(coalesce(gs[1], 0), 6) AS longest_gap_arc, round(coalesce(gs[2], 0), 6) AS second_longest_gap_arc, round(coalesce(gs[-1], 0), 6) AS shortest_gap_arc,
-  (nights_total - ns[1])::BIGINT AS other_opps FROM t JOIN s USING (obj) LEFT JOIN d USING (obj)""")
-def obs_stats(spark, sf_dir):
-    return rounded(observations.stats(obs(spark, sf_dir)))
-
-
-@query("WITH " + GAPS + ", " + RUNS + " SELECT obj, run::BIGINT AS run, is_day, round(total, 6) AS total FROM runs")
-def obs_runs(spark, sf_dir):
-    return rounded(observations.runs(obs(spark, sf_dir)))
-
-
-@query("WITH " + DEDUPED + ", l AS (SELECT obj, list_sort(list(mag) FILTER (mag IS NOT NULL)) AS m, avg(mag) AS v FROM ded GROUP BY obj) SELECT obj, round(m[1], 6) AS v_min, round(m[2], 6) AS v_second_min, round(m[-1], 6) AS v_max, CASE WHEN len(m) > 1 THEN round(m[-2], 6) END AS v_second_max, round(v, 6) AS v_avg FROM l")
-def obs_mag_stats(spark, sf_dir):
-    return rounded(observations.magnitudes(obs(spark, sf_dir)))
-
-
-@query("WITH " + DEDUPED + " SELECT obj, station FROM (SELECT obj, station, count(*) AS n FROM ded WHERE trim(station) <> '' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY obj ORDER BY n DESC, station) = 1")
-def station_mode(spark, sf_dir):
-    return observations.majority_station(obs(spark, sf_dir))
-
-
-@query("WITH " + OBS + " SELECT line_no, round(mag + CASE band " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SHIFTS.items()) + " ELSE 0 END, 6) AS v_mag FROM obs")
-def band_correct(spark, sf_dir):
-    return rounded(observations.correct_bands(fx.observations(spark, sf_dir), SHIFTS).select("line_no", "v_mag"))
-
-
-@query("WITH " + OBS + " SELECT line_no, obj, round(mag, 3) AS mag, band FROM obs")
-def fixed_width_scan(spark, sf_dir):
-    rows = fx.observations(spark, sf_dir)
-    mag = F.coalesce(F.format_string("%.3f", "mag"), F.lit(""))
-    lines = rows.select(F.concat(F.lpad(F.col("line_no").cast("string"), 12, " "), F.lpad(F.col("obj").cast("string"), 12, " "), F.lpad(mag, 8, " "), "band").alias("value"))
-    return fixed_width(lines, [("line_no", 1, 12, "bigint"), ("obj", 13, 12, "bigint"), ("mag", 25, 8, "double"), ("band", 33, 1, "string")])
-
-
-E1 = "greatest(0, least(0.999, e))"
-M = lambda r, d: f"round(5*log10(greatest({r}, 0.001)*({d}))+h, 6)"
-MR = f"(a*(1+{E1}*{E1}/2))"
-
-
-@query(f"WITH {ORB} SELECT desig, {M(MR, f'greatest(sqrt(greatest(abs({MR}*{MR}-1), 0.001))-0.9, 0.001)')} AS vis_timeavg, {M(f'a*(1+{E1}/2)', f'greatest(a*(1+{E1}/2)-0.51, 0.001)')} AS vis_typ, {M(f'a*pow(1-{E1}*{E1}, 0.25)', '1')} AS vis_flux, {M(f'a*sqrt(1-{E1}*{E1})', '1')} AS vis_smin, {M(f'a*(1-{E1}/2)', '1')} AS vis_mid, {M(f'a*(1-{E1})', '0.8')} AS vis_q, {M(MR, f'sqrt(greatest({MR}*{MR}-2*{MR}*cos(radians(i))+1, 0.001))')} AS vis_inc_old FROM orb")
-def vis_closed(spark, sf_dir):
-    return rounded(fx.orbits(spark, sf_dir).select("desig", *[c.alias(n) for n, c in orbit.visibility().items()]))
-
-
-@query(f"WITH {ORB} SELECT desig, round(abs(pow(a, 1.5)-round_even(pow(a, 1.5), 0)), 6) AS orbital_period_sync, round(5.203/a+2*cos(radians(i))*sqrt(a/5.203*(1-e*e)), 6) AS tj, a > 5.0 AND a < 5.4 AND e < 0.3 AND i < 40 AS is_trojan, round((node+peri) % 360, 6) AS node_plus_peri, round(a*(1-e), 6) AS perihelion, round(a*(1+e), 6) AS aphelion, round(sqrt(greatest(3-1/a-2*sqrt(a*(1-e*e))*cos(radians(i)), 0)), 6) AS opik_u FROM orb")
-def dynamics(spark, sf_dir):
-    return rounded(fx.orbits(spark, sf_dir).select("desig", *[c.alias(n) for n, c in orbit.dynamics().items()]))
-
-
-@query(f"WITH {ORB}, v AS (SELECT desig, e, cos(radians(node))*cos(radians(peri))-sin(radians(node))*sin(radians(peri))*cos(radians(i)) AS x, sin(radians(node))*cos(radians(peri))+cos(radians(node))*sin(radians(peri))*cos(radians(i)) AS y, sin(radians(peri))*sin(radians(i)) AS z FROM orb) SELECT desig, round(x, 6)+0.0 AS peri_x, round(y, 6)+0.0 AS peri_y, round(z, 6)+0.0 AS peri_z, round(x*e, 6)+0.0 AS peri_x_e, round(y*e, 6)+0.0 AS peri_y_e, round(z*e, 6)+0.0 AS peri_z_e, round(degrees(asin(y*sin(radians(23.44))+z*cos(radians(23.44)))), 6)+0.0 AS dec_perihelion FROM v")
-def perihelion_vector(spark, sf_dir):
-    return rounded(fx.orbits(spark, sf_dir).select("desig", *[c.alias(n) for n, c in orbit.perihelion().items()]))
-
-
-@query(f"WITH {SCORED}, k AS (SELECT desig, num_opps - 1 AS k, expected - 1 AS m FROM scored) SELECT desig, round((SELECT sum(exp(-m) * pow(m, j) / factorial(j::INT)) FROM range(0, 13) r(j) WHERE j <= k), 6) AS poisson FROM k")
-def poisson_score(spark, sf_dir):
-    df = fx.scored(spark, sf_dir)
-    return rounded(df.select("desig", orbit.poisson_cdf(F.col("num_opps") - 1, F.col("expected") - 1).alias("poisson")))
-
-
-@query(f"WITH {ORB} SELECT desig, round(CASE WHEN h IS NOT NULL AND h_b IS NOT NULL AND h_c IS NOT NULL THEN list_sort([h, h_b, h_c])[2] ELSE greatest(h, h_b, h_c) END, 6) AS h_fused, round(greatest(coalesce(abs(h-h_b), 0.011), coalesce(abs(h-h_c), 0.012)), 6) AS h_diff_abs_max FROM orb")
-def h_fusion(spark, sf_dir):
-    return rounded(catalog.fuse_h(fx.orbits(spark, sf_dir)))
-
-
-@query(f"WITH {ORB}, v AS (SELECT desig, max(num_opps + desig % 5 - 2) AS n FROM orb WHERE desig % 41 = 0 GROUP BY desig) SELECT desig, greatest(num_opps, n)::BIGINT AS num_opps FROM orb LEFT JOIN v USING (desig)")
-def opposition_override(spark, sf_dir):
-    orb = fx.orbits(spark, sf_dir)
-    over = orb.filter("desig % 41 = 0").selectExpr("desig", "num_opps + desig % 5 - 2 as num_opps")
-    return catalog.raise_only(orb.select("desig", "num_opps"), over, "desig", "num_opps")
-
-
-@query(f"WITH {SCORED} SELECT desig FROM scored WHERE (arc_length >= 20 OR arc_length IS NULL OR a*(1-e) < 1.3) AND num_obs >= 16 AND (ext < 0.1 OR ext IS NULL OR a*(1-e) < 1.3) AND (u < 9 OR a*(1-e) < 1.3) AND desig % 53 <> 0")
-def training_filter(spark, sf_dir):
-    rows = fx.scored(spark, sf_dir)
-    known = fx.orbits(spark, sf_dir).filter("desig % 53 = 0").select("desig")
-    near = F.col("a") * (1 - F.col("e")) < 1.3
-    rows = rows.filter((F.col("arc_length") >= 20) | F.col("arc_length").isNull() | near).filter("num_obs >= 16")
-    rows = rows.filter((F.col("ext") < 0.1) | F.col("ext").isNull() | near).filter((F.col("u") < 9) | near)
-    return rows.join(known, "desig", "left_anti").select("desig")
-
-
-@query(f"WITH {SCORED}, u AS (SELECT desig, 1 AS source, 1.0 AS weight FROM scored WHERE prob > 0.9 UNION ALL SELECT desig, 2, 5.0 FROM scored WHERE arc_length < 30 UNION ALL SELECT desig, 3, 0.4 FROM scored WHERE u = 9) SELECT desig, source::BIGINT AS source, weight::DOUBLE AS weight FROM u QUALIFY row_number() OVER (PARTITION BY desig ORDER BY weight DESC, source) = 1")
-def label_positive(spark, sf_dir):
-    df = fx.scored(spark, sf_dir)
-    parts = [("prob > 0.9", 1, 1.0), ("arc_length < 30", 2, 5.0), ("u = 9", 3, 0.4)]
-    rules = F.array(*[F.when(F.expr(p), F.struct(F.lit(s).cast("bigint").alias("source"), F.lit(w).alias("weight"))) for p, s, w in parts])
-    rows = df.select("desig", F.explode(F.array_compact(rules)).alias("r")).select("desig", "r.*")  # one scan for all sources
-    return catalog.heaviest(rows, "desig", "weight", "source")
-
-
-@query(f"WITH {SCORED} SELECT CASE WHEN a < 2.5 THEN 'inner' WHEN a < 2.8 THEN 'middle' ELSE 'outer' END AS belt, floor(h)::BIGINT AS h_floor, count(*)::BIGINT AS n, round(avg(num_opps), 6) AS mean_opps, round(100*avg(CASE WHEN num_opps = 1 THEN 1.0 ELSE 0.0 END), 6) AS single_share FROM scored GROUP BY ALL")
-def belt_stats(spark, sf_dir):
-    belt = F.when(F.col("a") < 2.5, "inner").when(F.col("a") < 2.8, "middle").otherwise("outer")
-    single = (F.col("num_opps") == 1).cast("double")
-    return rounded(fx.scored(spark, sf_dir).groupBy(belt.alias("belt"), F.floor("h").alias("h_floor")).agg(F.count("*").alias("n"), F.avg("num_opps").alias("mean_opps"), (100 * F.avg(single)).alias("single_share")))
-
-
-@query(f"WITH {SCORED}, r AS (SELECT u, desig % 47 = 0 AS p, rank() OVER (PARTITION BY u ORDER BY prob) + (count(*) OVER (PARTITION BY u, prob) - 1) / 2.0 AS k FROM scored WHERE prob IS NOT NULL), s AS (SELECT u, sum(CASE WHEN p THEN k END) AS r, count(*) FILTER (p) AS pos, count(*) FILTER (NOT p) AS neg FROM r GROUP BY u) SELECT u, pos::BIGINT AS pos, neg::BIGINT AS neg, CASE WHEN pos > 0 AND neg > 0 THEN round((r - pos*(pos+1)/2.0)/(pos*neg), 6) END AS auc FROM s")
-def roc_auc(spark, sf_dir):
-    return rounded(catalog.auc(fx.scored(spark, sf_dir), "u", F.col("prob"), F.col("desig") % 47 == 0))
-
-
-@query(f"WITH {SCORED} SELECT floor(expected)::BIGINT AS bin, max(desig)::BIGINT AS latest FROM scored WHERE prob > 0.2 GROUP BY ALL")
-def latest_by_bin(spark, sf_dir):
-    return fx.scored(spark, sf_dir).filter("prob > 0.2").groupBy(F.floor("expected").alias("bin")).agg(F.max("desig").alias("latest"))
-
-
-@query(f"WITH {SCORED} SELECT (desig % 8)::BIGINT AS fold, count(*)::BIGINT AS n, round(sqrt(avg(pow(num_opps-expected, 2))), 6) AS rmse, round(2*avg(num_opps*ln(num_opps/greatest(expected, 0.001))-num_opps+greatest(expected, 0.001)), 6) AS deviance FROM scored GROUP BY ALL")
-def cv_metrics(spark, sf_dir):
-    y, m = F.col("num_opps"), F.greatest("expected", F.lit(1e-3))
-    return rounded(fx.scored(spark, sf_dir).groupBy((F.col("desig") % 8).alias("fold")).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.pow(y - F.col("expected"), F.lit(2)))).alias("rmse"), (2 * F.avg(y * F.ln(y / m) - y + m)).alias("deviance")))
-
-
-CELLS = f"""{ORB}, k AS (SELECT *, {E1} AS e1, unnest(range(32)) * (2*pi()/32) AS nu FROM orb), c AS (SELECT *, a*(1-e1*e1)/(1+e1*cos(nu)) AS r, radians(peri)+nu AS uu FROM k),
- x AS (SELECT *, r*(cos(radians(node))*cos(uu)-sin(radians(node))*sin(uu)*cos(radians(i))) AS x, r*(sin(radians(node))*cos(uu)+cos(radians(node))*sin(uu)*cos(radians(i))) AS y, r*sin(uu)*sin(radians(i)) AS z FROM c),
- d AS (SELECT *, greatest(sqrt(pow(sqrt(x*x+y*y)-1, 2)+z*z), 0.001) AS d FROM x), v AS (SELECT *, h+5*log10(greatest(r, 0.001)*d) AS v, abs(degrees(asin(z/d))) AS lat, r*r AS w FROM d)"""
-
-
-@query(f"WITH {CELLS} SELECT desig, round(sum(w*greatest(0, least(1, (22.9-v)/(22.9-21.1)))*greatest(0, least(1, (32.0-lat)/30.0)))/sum(w), 6) AS fraction, round(-2.5*log10(greatest(sum(w*pow(10.0, -0.4*v))/sum(w), 1e-30)), 6) AS vis_flux_opp FROM v WHERE h IS NOT NULL GROUP BY desig")
-def grid_discoverability(spark, sf_dir):
-    return rounded(grid.discoverability(fx.orbits(spark, sf_dir).filter("h is not null")))
-
-
-@query(f"WITH {CELLS}, s AS (SELECT desig, lim, sum(CASE WHEN v <= 22.5 AND lat <= lim THEN w ELSE 0 END)/sum(w) AS f FROM v, range(10, 36, 5) l(lim) WHERE h IS NOT NULL GROUP BY ALL) SELECT lim::BIGINT AS lim, count(*)::BIGINT AS n, round(avg(f), 6) AS mean_fraction FROM s GROUP BY lim")
-def sweep_latitude(spark, sf_dir):
-    """All cut-offs from one pass over the grid: each is a conditional sum, no cross join."""
-    rows = grid.cells(fx.orbits(spark, sf_dir).filter("h is not null")).withColumn("v", F.col("h") + 5 * F.log10(F.greatest("r", F.lit(1e-3)) * F.col("d")))
-    limits = range(10, 36, 5)
-    per = rows.groupBy("desig").agg(*[(F.sum(F.when((F.col("v") <= 22.5) & (F.abs("lat") <= x), F.col("w")).otherwise(0)) / F.sum("w")).alias(f"f{x}") for x in limits])
-    one = per.agg(F.count("*").alias("n"), *[F.avg(f"f{x}").alias(f"f{x}") for x in limits])
-    return rounded(one.select("n", F.explode(F.array(*[F.struct(F.lit(x).cast("bigint").alias("lim"), F.col(f"f{x}").alias("mean_fraction")) for x in limits])).alias("s")).select("s.lim", "n", "s.mean_fraction"))
-
-
-FINAL = f"{SCORED}, p AS (SELECT desig, (SELECT sum(exp(-(expected-1)) * pow(expected-1, j) / factorial(j::INT)) FROM range(0, 13) r(j) WHERE j <= num_opps-1) AS poisson FROM scored), final AS (SELECT scored.*, round(poisson, 9) AS poisson, quantile_opps-num_opps AS delta_q, a*(1-e) AS q, 5.203/a+2*cos(radians(i))*sqrt(a/5.203*(1-e*e)) AS tj, quantile_opps-num_opps-15.5*ext AS priority FROM scored JOIN p USING (desig))"
-
-
-def final(spark, sf_dir):
-    tj = orbit.dynamics()["tj"]
-    poisson = F.round(orbit.poisson_cdf(F.col("num_opps") - 1, F.col("expected") - 1), 9)
-    df = fx.scored(spark, sf_dir).withColumn("poisson", poisson).withColumn("delta_q", F.col("quantile_opps") - F.col("num_opps")).withColumn("q", F.col("a") * (1 - F.col("e"))).withColumn("tj", tj)
-    return df.withColumn("priority", F.col("delta_q") - 15.5 * F.col("ext"))
-
-
-def _list(name):
-    where, order, down = catalog.LISTS[name]
-    sql = f"WITH {FINAL} SELECT desig, round({order}, 6) AS {order} FROM final WHERE {where} ORDER BY final.{order} {'DESC' if down else 'ASC'} NULLS LAST, desig LIMIT 60"
-    query(sql, f"list_{name}")(lambda spark, sf_dir: rounded(catalog.ranked(final(spark, sf_dir), where, order, down).select("desig", order)))
-
-
-for _name in catalog.LISTS:
-    _list(_name)
+__all__ = ["QUERIES", "SQL"]

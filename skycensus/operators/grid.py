@@ -36,22 +36,29 @@ def cells(orb: DataFrame, samples: int = SAMPLES) -> DataFrame:
     return grid.withColumn("lon", F.atan2("y", "x"))
 
 
+def clip(x: Column, least: float, most: float) -> Column:
+    """x within bounds. A null x gives a bound: callers ask for null once, around the whole, so that nothing is worked out twice."""
+    return F.least(F.greatest(x, F.lit(least)), F.lit(most))
+
+
 def seen(rows: DataFrame, off: Column, to: str = "") -> DataFrame:
-    """Adds dx, dy, d and v seen from Earth at 1 AU, `off` radians ahead of the object's longitude."""
-    at = F.col("lon") + off
+    """Adds dx, dy, d and v seen from Earth at 1 AU, `off` radians ahead of the object's longitude; each step is a column of its own."""
+    at, n = F.col("lon") + off, lambda x: F.col(x + to)
     rows = rows.withColumns({f"dx{to}": F.col("x") - F.cos(at), f"dy{to}": F.col("y") - F.sin(at)})
-    rows = rows.withColumn(f"d{to}", F.sqrt(F.pow(f"dx{to}", F.lit(2)) + F.pow(f"dy{to}", F.lit(2)) + F.pow("z", F.lit(2))))
-    r, d = floor_at(F.col("r"), EPS), floor_at(F.col(f"d{to}"), EPS)
-    rows = rows.withColumn(f"alpha{to}", F.acos(held((F.col("w") + F.pow(f"d{to}", F.lit(2)) - 1) / (2 * r * d), -1.0, 1.0)))
-    return rows.withColumn(f"v{to}", F.col("h") + 5 * F.log10(r * d) - 2.5 * F.log10(phase(F.col(f"alpha{to}"))))
+    rows = rows.withColumn(f"d{to}", F.sqrt(n("dx") * n("dx") + n("dy") * n("dy") + F.col("z") * F.col("z")))
+    r, d = F.greatest("r", F.lit(EPS)), F.greatest(n("d"), F.lit(EPS))
+    rows = rows.withColumn(f"th{to}", F.tan(F.acos(clip((F.col("w") + n("d") * n("d") - 1) / (2 * r * d), -1.0, 1.0)) / 2))
+    (a1, b1), (a2, b2) = PHASE
+    lit = F.greatest(0.85 * F.exp(-a1 * F.pow(n("th"), F.lit(b1))) + 0.15 * F.exp(-a2 * F.pow(n("th"), F.lit(b2))), F.lit(1e-30))
+    return rows.withColumn(f"v{to}", F.when(n("d").isNotNull(), F.col("h") + 5 * F.log10(r * d) - 2.5 * F.log10(lit)))
 
 
 def opposition(orb: DataFrame) -> DataFrame:
     """Cells seen at opposition, with the geocentric ecliptic latitude beta and declination dec in degrees."""
     rows, tilt = seen(cells(orb), F.lit(0.0)), F.radians(F.lit(OBLIQUITY))
-    d = floor_at(F.col("d"), EPS)
-    beta, dec = held(F.col("z") / d, -1.0, 1.0), held((F.col("dy") * F.sin(tilt) + F.col("z") * F.cos(tilt)) / d, -1.0, 1.0)
-    return rows.withColumns({"beta": F.degrees(F.asin(beta)), "dec": F.degrees(F.asin(dec)), "flux": F.pow(F.lit(10.0), -0.4 * F.col("v"))})
+    d, known = F.greatest("d", F.lit(EPS)), F.col("d").isNotNull()
+    beta, dec = clip(F.col("z") / d, -1.0, 1.0), clip((F.col("dy") * F.sin(tilt) + F.col("z") * F.cos(tilt)) / d, -1.0, 1.0)
+    return rows.withColumns({"beta": F.when(known, F.degrees(F.asin(beta))), "dec": F.when(known, F.degrees(F.asin(dec))), "flux": F.pow(F.lit(10.0), -0.4 * F.col("v"))})
 
 
 def light(x: Column) -> Column:
@@ -61,8 +68,9 @@ def light(x: Column) -> Column:
 def discoverability(orb: DataFrame) -> DataFrame:
     """desig and the features of cells at opposition and of Earth 0, 30 and 60 degrees ahead."""
     rows = seen(seen(opposition(orb), F.radians(F.lit(30.0)), "30"), F.radians(F.lit(60.0)), "60")
-    three = F.col("flux") + F.pow(F.lit(10.0), -0.4 * F.col("v30")) + F.pow(F.lit(10.0), -0.4 * F.col("v60"))
-    lit, c = F.col("flux") * F.col("w"), F.col
+    c = F.col
+    rows = rows.withColumns({"three": c("flux") + F.pow(F.lit(10.0), -0.4 * c("v30")) + F.pow(F.lit(10.0), -0.4 * c("v60")), "lit": c("flux") * c("w")})
+    three, lit = c("three"), c("lit")
     per = rows.groupBy("desig").agg(
         F.sum("w").alias("w"), F.sum(c("w") * ramp(c("v"), 21.1, 22.9) * ramp(F.abs("beta"), 2.0, 32.0)).alias("s"), F.sum(lit).alias("f"),
         F.sum(c("dec") * lit).alias("fd"), F.min("dec").alias("low"), F.sum(F.when(c("dec") < -30, lit).when(lit.isNotNull(), 0.0)).alias("fs"),
@@ -80,8 +88,8 @@ def around(orb: DataFrame) -> DataFrame:
     rows = cells(orb).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(LONGITUDES - 1)))).withColumn("off", F.col("j") * (TURN / LONGITUDES))
     rows = seen(rows, F.col("off"))
     at = F.col("lon") + F.col("off")
-    cos = held((-F.cos(at) * F.col("dx") - F.sin(at) * F.col("dy")) / floor_at(F.col("d"), EPS), -1.0, 1.0)
-    return rows.withColumn("elong", F.degrees(F.acos(cos)))
+    cos = clip((-F.cos(at) * F.col("dx") - F.sin(at) * F.col("dy")) / F.greatest("d", F.lit(EPS)), -1.0, 1.0)
+    return rows.withColumn("elong", F.when(F.col("d").isNotNull(), F.degrees(F.acos(cos))))
 
 
 def gated(orb: DataFrame, gates: list[tuple[float, float]] = ((60.0, 150.0),), name: str = "vis_mag_multi") -> DataFrame:

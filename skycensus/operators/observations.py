@@ -14,15 +14,10 @@ BANDS = {
 }
 
 
-def by_object(obs: DataFrame) -> DataFrame:
-    """obs dealt by object once; all windows and groups by obj (and more) below go on from there."""
-    return obs.repartition("obj")
-
-
 def dedupe(obs: DataFrame) -> DataFrame:
-    """The first line of each (obj, t) stays."""
+    """The first line of each (obj, t) stays. Rows are dealt by object alone, so all windows and groups by obj that follow go on from there."""
     at = F.row_number().over(Window.partitionBy("obj", "t").orderBy("line_no"))
-    return obs.withColumn("_n", at).filter("_n = 1").drop("_n")
+    return obs.repartition("obj").withColumn("_n", at).filter("_n = 1").drop("_n")
 
 
 def gaps(obs: DataFrame, opposition: float = OPPOSITION_GAP) -> DataFrame:
@@ -43,7 +38,7 @@ def nights(times: Column, span: float = NIGHT) -> Column:
 
 def segments(obs: DataFrame) -> DataFrame:
     """obj, segment, arc, nights, n_obs."""
-    per = gaps(by_object(obs)).groupBy("obj", "segment").agg(F.sort_array(F.collect_list("t")).alias("ts"), (F.max("t") - F.min("t")).alias("arc"), F.count("*").alias("n_obs"))
+    per = gaps(obs).groupBy("obj", "segment").agg(F.sort_array(F.collect_list("t")).alias("ts"), (F.max("t") - F.min("t")).alias("arc"), F.count("*").alias("n_obs"))
     return per.select("obj", "segment", "arc", nights(F.col("ts")).alias("nights"), "n_obs")
 
 
@@ -57,7 +52,7 @@ def marked(obs: DataFrame, day: float = NIGHT) -> DataFrame:
 
 def runs(obs: DataFrame, day: float = NIGHT) -> DataFrame:
     """Runs of day gaps and of longer gaps with their sums; the last run of an object and empty runs are left out."""
-    per = marked(by_object(obs), day).filter("gap is not null").groupBy("obj", "run").agg(F.first("is_day").alias("is_day"), F.sum("gap").alias("total"))
+    per = marked(obs, day).filter("gap is not null").groupBy("obj", "run").agg(F.first("is_day").alias("is_day"), F.sum("gap").alias("total"))
     return per.withColumn("last", F.max("run").over(Window.partitionBy("obj"))).filter("run < last and total > 0").select("obj", "run", "is_day", "total")
 
 
@@ -68,7 +63,7 @@ def stats(obs: DataFrame) -> DataFrame:
     segment and of a run are then put together per object.
     """
     zero, c = lambda x: F.coalesce(x, F.lit(0.0)), F.col
-    parts = marked(by_object(obs)).groupBy("obj", "segment").agg(
+    parts = marked(obs).groupBy("obj", "segment").agg(
         F.sort_array(F.collect_list("t")).alias("ts"), F.min("t").alias("first"), F.max("t").alias("last"), F.max("gap").alias("gap"),
         F.max("run").alias("last_run"), F.collect_list(F.when(c("gap").isNotNull(), F.struct("run", "is_day", "gap"))).alias("gaps"),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skycensus.functions.orbit import EPS, MU, OBLIQUITY_2000, SUN, floor_at, held
-from skycensus.operators.grid import TURN, _phase
+from skycensus.operators.grid import TURN, _phase, dealt
 
 COUNT, ERA_COUNT, LOOKBACK = 17, 25, 20 * 365.25
 #: First years of survey eras and their limiting magnitudes; north galactic pole in degrees.
@@ -105,7 +105,7 @@ def table(orb: DataFrame, n: int = COUNT, era: bool = False) -> DataFrame:
                 rows = [pa.array(np.repeat(part["desig"].to_numpy(), n)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(a)))]
                 yield pa.RecordBatch.from_arrays([*rows, *(pa.array(got[x].ravel(), from_pandas=True) for x in cols), pa.array(valid.ravel())], names=["desig", "k", *cols, "valid"])
 
-    known = orb.select("desig", *[c(x).cast("double").alias(x) for x in names]).na.drop("any", subset=names[:-1])
+    known = dealt(orb).select("desig", *[c(x).cast("double").alias(x) for x in names]).na.drop("any", subset=names[:-1])
     return known.mapInArrow(run, "desig bigint, k int, " + ", ".join(f"{x} double" for x in cols) + ", valid boolean")
 
 

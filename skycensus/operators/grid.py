@@ -23,10 +23,15 @@ def ramp(x: Column, full: float, none: float) -> Column:
     return held((none - x) / (none - full), 0.0, 1.0) if none > full else F.when(x.isNotNull(), (x <= full).cast("double"))
 
 
+def dealt(orb: DataFrame) -> DataFrame:
+    """orb by object over all shuffle partitions, before each row becomes many; sums by object then need no other exchange."""
+    return orb.repartition(int(orb.sparkSession.conf.get("spark.sql.shuffle.partitions")), "desig")
+
+
 def cells(orb: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """orb with a row per true anomaly: k, nu, r, w (equal-time weight), x, y, z and the longitude lon."""
     a, i, _, e = elements()
-    grid = orb.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("nu", F.col("k") * (TURN / samples))
+    grid = dealt(orb).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("nu", F.col("k") * (TURN / samples))
     grid = grid.withColumn("r", a * (1 - e * e) / (1 + e * F.cos("nu")))
     n, u = F.radians("node"), F.radians("peri") + F.col("nu")
     grid = grid.withColumns({
@@ -198,7 +203,7 @@ def kernel(a, e, i, node, peri, h) -> dict[str, np.ndarray]:
 
 
 def features(orb: DataFrame) -> DataFrame:
-    """desig and all features by numpy, 4096 objects at once; no shuffle."""
+    """desig and all features by numpy, 4096 objects at once; nothing is shuffled but the narrow rows of objects, once."""
     names = ["a", "e", "i", "node", "peri", "h"]
 
     def run(batches):
@@ -210,4 +215,4 @@ def features(orb: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part["desig"], *(pa.array(got[c], from_pandas=True) for c in FEATURES)], names=["desig", *FEATURES])
 
     key = orb.schema["desig"].dataType.simpleString()
-    return orb.select("desig", *[F.col(c).cast("double").alias(c) for c in names]).mapInArrow(run, f"desig {key}, " + ", ".join(f"{c} double" for c in FEATURES))
+    return dealt(orb).select("desig", *[F.col(c).cast("double").alias(c) for c in names]).mapInArrow(run, f"desig {key}, " + ", ".join(f"{c} double" for c in FEATURES))

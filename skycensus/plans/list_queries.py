@@ -98,3 +98,21 @@ def list_named(spark, sf_dir):
     names = fx.final(spark, sf_dir).filter("desig % 29 = 0").select("name")
     rows = final(spark, sf_dir).join(names, "name", "left_semi")
     return rounded(lists.candidate_list(rows, lists.Spec([], limit=30)).select("desig", "delta_q"))
+
+
+@query(f"""WITH {READY} SELECT desig, CASE WHEN known THEN 'active' WHEN filtered_out THEN 'false positive' ELSE 'background' END AS label, tj < 3.05 AS cometary, round(delta_q, 6) + 0.0 AS dq,
+ round(ln(greatest(1e-15, least(1-1e-15, prob)) / (1 - greatest(1e-15, least(1-1e-15, prob)))), 6) + CASE WHEN prob IS NOT NULL THEN 0.0 END AS logit_prob FROM f WHERE {A7} AND a BETWEEN 1.15 AND 20 AND ext BETWEEN 0 AND 0.002 AND num_opps = 1""")
+def decision_space(spark, sf_dir):
+    """The population of the decision space with its label group and side of the Tisserand split."""
+    rows = lists.candidate_list(final(spark, sf_dir), lists.specs()["decision_space"])
+    label = F.when(F.col("known"), "active").when(F.col("filtered_out"), "false positive").otherwise("background")
+    return rounded(rows.select("desig", label.alias("label"), (F.col("tj") < 3.05).alias("cometary"), F.col("delta_q").alias("dq"), orbit.logit(F.col("prob")).alias("logit_prob")))
+
+
+@query(f"""WITH {FINAL}, pop AS (SELECT name FROM final WHERE {A7} AND a BETWEEN 1.15 AND 20 AND ext BETWEEN 0 AND 0.002 AND num_opps = 1) SELECT name, 'active' AS label, name IN (SELECT name FROM pop) AS present FROM final WHERE known UNION ALL SELECT name, 'false positive', name IN (SELECT name FROM pop) FROM final WHERE filtered_out AND NOT known""")
+def decision_space_labels(spark, sf_dir):
+    """Which labelled objects the population's filter lets through."""
+    every = fx.final(spark, sf_dir)
+    inside = lists.candidate_list(final(spark, sf_dir), lists.specs()["decision_space"]).select("name", F.lit(True).alias("_in"))
+    wanted = every.filter(F.col("known") | F.col("filtered_out")).select("name", F.when(F.col("known"), "active").otherwise("false positive").alias("label"))
+    return wanted.join(inside, "name", "left").select("name", "label", F.coalesce("_in", F.lit(False)).alias("present"))

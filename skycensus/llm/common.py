@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A table with at most this many narrow rows may be broadcast.
 BROADCAST_ROWS = 50_000
+#: Rows of a key beyond which its rows stay where they are and its one aggregate row is broadcast.
+HOT_ROWS = 100_000
 WORD = r"[ \t-\r]+"
 
 
@@ -49,6 +51,21 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def with_group(rows: DataFrame, key: str, *made: Column, hot: int | None = None) -> DataFrame:
+    """rows plus the aggregates `made` over all rows of their key (not null).
+
+    The aggregates are combined before the shuffle. Keys of more than `hot` rows and of more than one in BROADCAST_ROWS
+    of all are fewer than BROADCAST_ROWS: these are joined by broadcast, so no task gets a whole hot key.
+    """
+    per = cut(rows.groupBy(key).agg(*made, F.count("*").alias("__n")))
+    every, most = per.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.max("__n"), F.lit(0))).first()
+    least = max(HOT_ROWS if hot is None else hot, every // BROADCAST_ROWS)
+    if most <= least:
+        return rows.join(per.drop("__n"), key)
+    many, few = F.broadcast(per.filter(F.col("__n") > least).drop("__n")), per.filter(F.col("__n") <= least).drop("__n")
+    return rows.join(many, key).unionByName(rows.join(many, key, "left_anti").join(few, key))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text divides by 5; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -83,12 +100,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int) ->
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, hot: int | None = None) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the smallest node of the component.
 
-    Alternating large-star and small-star steps. Every step is a grouped minimum (combined before the
-    shuffle) and a join that Spark can split on a hot node; lineage is cut after each round. Rounds go on until
-    nothing changes.
+    Alternating large-star and small-star steps. Every step is a grouped minimum, brought back to the rows by
+    `with_group`, so that a hot node has many tasks; lineage is cut after each step. Rounds go on until nothing changes.
     """
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
     seen = None
@@ -98,11 +114,10 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = mark
         both = now.select(F.col("v").alias("k"), F.col("u").alias("n")).unionByName(now.select(F.col("u").alias("k"), F.col("v").alias("n")))
-        low = both.groupBy("k").agg(F.least(F.min("n"), F.first("k")).alias("m"))
-        big = both.filter("n > k").join(low, "k").select(F.col("n").alias("v"), F.col("m").alias("u")).filter("v <> u").distinct()
-        low = big.groupBy("v").agg(F.min("u").alias("m"))
-        joined = big.join(low, "v")
-        now = cut(joined.select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u").unionByName(low.select("v", F.col("m").alias("u"))).distinct())
+        large = with_group(both, "k", F.min(F.least("n", "k")).alias("m"), hot=hot).filter("n > k")
+        large = cut(large.select(F.col("n").alias("v"), F.col("m").alias("u")).distinct())
+        ends = F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))
+        now = cut(with_group(large, "v", F.min("u").alias("m"), hot=hot).select(F.inline(ends)).filter("v <> u").distinct())
     roots = now.groupBy("v").agg(F.min("u").alias("root"))
     tops = roots.select(F.col("root").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return roots.select(F.col("v").alias("node"), "root").unionByName(tops)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skycensus.llm.common import components, cut, runs, table, whole_groups
+from skycensus.llm.common import components, cut, runs, table, whole_groups, with_group
 from skycensus.llm.simhash import stars
 
 COSINE = 0.93
@@ -154,8 +154,7 @@ def near(df: DataFrame, cosine: float = COSINE, size: int = RUN) -> DataFrame:
     found = cut(found)
     linked = found.groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "id")
     of = classes.select("h", "id", "least", "n").join(linked, "id", "left").join(components(found.select("a", "b")).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    tops = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = of.join(tops, "root").select("h", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    of = with_group(cut(of), "root", F.min("least").alias("component_id")).select("h", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     out = named.select("vec_id", "h").join(of, "h", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

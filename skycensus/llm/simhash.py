@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skycensus.llm.common import components, cut, map_texts, runs, table, whole_groups
+from skycensus.llm.common import components, cut, map_texts, runs, table, whole_groups, with_group
 
 WORDS, BITS = 4, 4
 #: Fingerprints under one pattern that one task compares at once.
@@ -190,8 +190,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", bits: int = BITS) -> DataFr
     """id_col, fp and component_id (smallest id of the class) for each row of docs."""
     rows = cut(fingerprints(docs, [id_col]))
     found = rooted(cut(rows.groupBy("fp").agg(F.min(id_col).alias("least"))), bits)
-    tops = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(found.join(tops, "root").select("fp", "component_id"), "fp")
+    named = with_group(cut(found), "root", F.min("least").alias("component_id"))
+    return rows.join(named.select("fp", "component_id"), "fp")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -8,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 DIR = "/root/testdata/sf0.01"
 DOCS = [(1, "a b c\n\nA ▁ x", "en", "s", 3), (2, None, None, None, None), (3, "", "en", "s", 0), (4, "word " * 30_000, "en", "s", 1), (4, "word " * 30_000, "en", "s", 1), (None, "É\tno\u00a0break", "fr", None, 2)]
@@ -465,6 +467,23 @@ def brute_fp(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else 0
 
 
+@pytest.mark.parametrize("hot", [None, 3])
+def test_components_with_hot_nodes(spark, hot):
+    from skycensus.llm.common import components, with_group
+
+    draw = random.Random(3)
+    links = [(7, k) for k in range(100, 400)] + [(999, k) for k in range(400, 700)] + [(999, 5)]  # a low and a high hub
+    links += [(k, k + 1) for k in range(1000, 1040)] + [(draw.randrange(2000, 2400), draw.randrange(2000, 2400)) for _ in range(250)] + [(1, 1)]
+    draw.shuffle(links)
+    nodes = sorted({n for a, b in links if a != b for n in (a, b)})
+    got = components(spark.createDataFrame(links, "a long, b long"), hot=hot).collect()
+    assert len(got) == len(nodes) and {r.node: r.root for r in got} == brute_components(nodes, [x for x in links if x != (1, 1)])
+    rows = spark.createDataFrame([(k if k < 5 else 9, k) for k in range(50)], "key int, x long")
+    got = with_group(rows, "key", F.min("x").alias("least"), hot=hot).select("key", "x", "least").collect()
+    assert sorted(map(tuple, got)) == [(k if k < 5 else 9, k, min(k, 5)) for k in range(50)]
+    assert with_group(rows.limit(0), "key", F.min("x").alias("least"), hot=hot).count() == 0
+
+
 def test_simhash(spark, docs):
     from skycensus.llm.simhash import classes, links
 

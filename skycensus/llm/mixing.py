@@ -1,15 +1,12 @@
 """Mixing sources to target weights by nested hash-threshold histograms.
 
-A source's target is full copies of it plus a rest. The rest is met by a threshold on a hash of the document
-id: sizes are summed by source and leading hash bits, the bucket where the running sum passes the
-rest is refined by the next bits, and so on; documents under the threshold are taken once more. Nothing is
-sorted but histograms of at most 4096 buckets a source. A larger budget takes all that a smaller one took.
-Null texts and texts of blanks have size 0. Rows that repeat an id are taken alike. One row per source is
+A source's target is full copies of it plus a rest of whole words. The rest is met by a threshold on a hash of the
+document (id, source and text): sizes are summed by source and leading hash bits, the bucket where the running sum passes
+the rest is refined by the next bits, and so on; documents under the threshold are taken once more. What is then left
+of the rest goes on past the document that doesn't fit, to later ones that do, by the same histograms. Nothing is
+sorted but histograms of at most 4096 buckets a source.
+Null texts and texts of blanks have size 0. Rows alike in id, source and text are taken alike. One row per source is
 gathered for the targets. Empty input gives no rows.
-
-The query follows its SQL, that takes nothing behind the first document that doesn't fit. The pipeline fills up
-instead: the hash is of id, source and text, and what is left of the rest goes on past a document that doesn't fit, to
-all later ones that do (there a larger budget may drop what a smaller one took).
 """
 
 from __future__ import annotations
@@ -24,17 +21,16 @@ WEIGHTS, BUDGET, MOST = (3, 1, 2), 1.5, 2.0
 LEVELS, LEVEL_BITS = 4, 12
 
 
-def sizes(docs: DataFrame, by_text: bool = False) -> DataFrame:
-    """doc_id, source, size (words), key (48 hash bits of the id; by_text: of `row`, a hash of id, source and text)."""
-    keep, text = ["doc_id", "source"], F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    if by_text:
-        docs, keep, text = docs.withColumn("row", row_name()), [*keep, "row"], F.col("row")
-    rows = map_texts(docs, keep, "text", lambda ts: {"size": pa.array([len((t or "").encode().split()) for t in ts], pa.int64())}, "size bigint")
-    return rows.withColumn("key", F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long"))
+def sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, source, row (a name that rows alike in id, source and text share), size (words), key (48 bits of the name)."""
+    count = lambda texts: {"size": pa.array([len((t or "").encode().split()) for t in texts], pa.int64())}
+    rows = map_texts(docs.withColumn("row", row_name()), ["doc_id", "source", "row"], "text", count, "size bigint")
+    return rows.withColumn("key", F.conv(F.substring("row", 1, 12), 16, 10).cast("long"))
 
 
 def row_name() -> Column:
-    return F.md5(F.to_json(F.struct("doc_id", "source", F.md5(F.encode("text", "utf-8")).alias("text"))))
+    hashed = [F.coalesce(F.md5(F.encode(c, "utf-8")), F.lit("null")) for c in ("source", "text")]
+    return F.md5(F.encode(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), *hashed), "utf-8"))
 
 
 def targets(rows: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
@@ -81,24 +77,16 @@ def later(rows: DataFrame, state: DataFrame) -> DataFrame:
     return rows.join(limit, F.col("source").eqNullSafe(F.col("s")) & (F.col("key") > F.col("lead")) & (F.col("size") > 0) & (F.col("size") <= F.col("rest"))).select(*rows.columns)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, fill: bool = False) -> DataFrame:
-    """doc_id (fill: and row), source, size, source_size, target, copies (how often the mix takes the document)."""
-    rows = cut(sizes(docs, fill))
+def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
+    """doc_id, row, source, size, source_size, target, copies (how often the mix takes the document).
+
+    Beyond the full copies of its source, every document is taken that fits what is left, in hash order.
+    """
+    rows = cut(sizes(docs))
     goal = targets(rows, weights, budget, most)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    goal = cut(goal.withColumn("whole", full.cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
-    if fill:
-        return _filled(rows, goal, most)
-    state = refine(rows, goal)
-    limits = goal.join(state.select(F.col("source").alias("s"), "lead"), F.col("source").eqNullSafe(F.col("s")), "left")
-    limits = cut(limits.select(F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("lead", F.lit(0)).alias("lead")))
-    taken = rows.join(small(limits), F.col("source").eqNullSafe(F.col("s")))
-    copies = F.col("whole") + (F.col("key") < F.col("lead")).cast("long")
-    return taken.select("doc_id", "source", "size", "source_size", "target", F.least(copies, F.lit(int(most))).alias("copies"))
-
-
-def _filled(rows: DataFrame, goal: DataFrame, most: float) -> DataFrame:
-    """The mix that takes every document that fits what is left, in hash order, until none behind does."""
+    goal = goal.withColumn("whole", full.cast("long"))
+    goal = cut(goal.withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size") + F.lit(1e-6)).cast("double")))
     state = cut(goal.select("source", "rest", F.lit(-1).cast("long").alias("lead")))
     spans = None
     while True:  # a round takes one document at least and moves the lead on
@@ -125,10 +113,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
-#: The same mix: documents in hash order while their running size stays within the rest.
+#: The same mix, one key at a time: in hash order, documents enter that fit what is left of their source's rest.
 OP7_SQL = r"""
-WITH rows AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS key FROM documents),
+WITH RECURSIVE rows AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS size,
+    ('0x' || substr(md5(concat_ws('|', coalesce(doc_id::VARCHAR, 'null'), coalesce(md5(source), 'null'), coalesce(md5(text), 'null'))), 1, 12))::BIGINT AS key FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source::BLOB NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM per),
 o AS (SELECT *, 2.0::DOUBLE * source_size AS room, sum(source_size) OVER () * 1.5::DOUBLE AS budget FROM w),
@@ -137,16 +125,19 @@ l AS (SELECT *, (budget - coalesce(sum(room) OVER p, 0)) / (sum(weight) OVER ()
 s AS (SELECT *, (SELECT arg_min(level, room / weight) FROM l WHERE room > level * weight) AS stop FROM l),
 t AS (SELECT source, source_size, CASE WHEN room <= level * weight THEN room ELSE stop * weight END AS target FROM s),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
-r AS (SELECT rows.*, g.source_size, g.target, g.whole, sum(size) OVER (PARTITION BY rows.source ORDER BY key) AS past
-    FROM rows JOIN g ON rows.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, round(target, 3) AS target,
-    (size * least(whole + CASE WHEN past <= target - whole * source_size THEN 1 ELSE 0 END, 2))::BIGINT AS taken FROM r
+keys AS (SELECT source, key, sum(size)::BIGINT AS n FROM rows WHERE size > 0 GROUP BY source, key),
+entered AS (SELECT source, -1::BIGINT AS key, floor(target - whole * source_size + 1e-6)::BIGINT AS spare FROM g
+    UNION ALL
+    SELECT e.source, min(k.key), e.spare - arg_min(k.n, k.key)
+    FROM entered e JOIN keys k ON k.source IS NOT DISTINCT FROM e.source AND k.key > e.key AND k.n <= e.spare GROUP BY e.source, e.key, e.spare)
+SELECT doc_id, size, source_size, round(target, 3) AS target, (size * least(whole + CASE WHEN e.key IS NULL THEN 0 ELSE 1 END, 2))::BIGINT AS taken
+FROM rows r JOIN g ON r.source IS NOT DISTINCT FROM g.source LEFT JOIN entered e ON r.source IS NOT DISTINCT FROM e.source AND r.key = e.key
 """
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it (rows equal in id, source and text alike); documents without words stay once."""
-    many = mix(docs, fill=True).select("row", F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("copies"))
+    many = mix(docs).select("row", F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("copies"))
     many = many.groupBy("row").agg(F.max("copies").alias("copies"))
     got = docs.select("doc_id", "text", "lang", "source", "n_chars", row_name().alias("row")).join(many, "row")
     got = got.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))

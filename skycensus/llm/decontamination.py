@@ -72,7 +72,7 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     found = None
     rows = docs.filter(F.col("text").isNotNull()).select(F.sha2(F.col("text"), 256).alias("key"), words(F.col("text")).alias("w"))
     for t in sizes:
-        runs = rows.select("key", "w", winnow(F.col("w"), t).alias("runs")).select("key", "w", F.inline("runs"))
+        runs = rows.select("key", "w", winnow(F.col("w"), t).alias("runs")).select("key", "w", F.inline_outer("runs"))  # outer: no filter that works the runs out twice
         met = runs.join(marks.filter(F.col("size") == t).drop("size"), "fp")
         places = met.select("key", "fp", "w", F.explode(F.sequence("a", "b")).alias("i")).select("key", "fp", "i", F.lit(t).alias("size"), F.array_join(F.slice("w", F.col("i") + 1, F.lit(t)), " ").alias("win"))
         found = places if found is None else found.unionByName(places)

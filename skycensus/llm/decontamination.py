@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skycensus.llm.chat_format import let
-from skycensus.llm.common import cut, small, table
+from skycensus.llm.common import BROADCAST_ROWS, cut, small, table
 
 WINDOW = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,13 +68,16 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     `windows` as benchmark_windows returns them, already cut.
     """
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # at most WINDOW numbers
-    marks = small(cut(windows.select("size", "fp").distinct())) if sizes else None
+    marks = cut(windows.select("size", "fp").distinct())
+    few = marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     found = None
     rows = docs.filter(F.col("text").isNotNull()).select(F.sha2(F.col("text"), 256).alias("key"), words(F.col("text")).alias("w"))
     for t in sizes:
         runs = rows.select("key", "w", winnow(F.col("w"), t).alias("runs")).select("key", "w", F.inline_outer("runs"))  # outer: no filter that works the runs out twice
-        met = runs.join(marks.filter(F.col("size") == t).drop("size"), "fp")
-        places = met.select("key", "fp", "w", F.explode(F.sequence("a", "b")).alias("i")).select("key", "fp", "i", F.lit(t).alias("size"), F.array_join(F.slice("w", F.col("i") + 1, F.lit(t)), " ").alias("win"))
+        mark = marks.filter(F.col("size") == t).drop("size")
+        span = ["key", "fp", "a", "b", F.slice("w", F.col("a") + 1, F.col("b") - F.col("a") + t).alias("w")]  # the words of its windows
+        met = runs.join(F.broadcast(mark), "fp").select(*span) if few else runs.select(*span).join(mark, "fp")
+        places = met.select("key", "fp", "a", "w", F.explode(F.sequence("a", "b")).alias("i")).select("key", "fp", "i", F.lit(t).alias("size"), F.array_join(F.slice("w", F.col("i") - F.col("a") + 1, F.lit(t)), " ").alias("win"))
         found = places if found is None else found.unionByName(places)
     if found is None:
         return docs.sparkSession.createDataFrame([], "key string, n_hit bigint, items array<string>")

@@ -9,7 +9,7 @@ bucket or a part under the least count can't be frequent: what is left is a safe
 of BUCKETS bits (8 MB), whatever the input; with more phrases than buckets they let more candidates through, never fewer.
 4. The distinct phrases left are the candidates, a table. 5. They are cut by hash into tries of about TRIE_PHRASES, so a broadcast
 is bounded; for each trie the corpus is passed once: numpy moves the states of all text positions on, word by word, counts the
-accepting states of a task in one array, and Spark sums the arrays of the tasks. No count comes from the buckets.
+accepting states of a task in one array, and Spark deals the arrays by shards of COUNTS to be summed. No count comes from the buckets.
 
 Words are encoded by dictionary inside each slice of the texts, so no vocabulary is broadcast. Products in scores are decimals of
 38 digits. Null and empty texts have no words; repeated rows count as often as they occur; only lang and text are read, so other columns
@@ -34,6 +34,8 @@ BUCKETS = 1 << 26
 TRIE_PHRASES = 1 << 17
 #: A word's number in a trie is two digits to this base.
 DIGIT = 1024
+#: Counts of a trie that go to the sum in one row.
+COUNTS = 512
 #: Bytes of text that a task works on at once (a longer text: by itself).
 SLICE = 8 << 20
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -302,13 +304,33 @@ def phrase_counts(docs: DataFrame, wanted: DataFrame, bound: int = TRIE_PHRASES)
 
         def make(parts, known=known):
             trie = known.value
-            counts = np.zeros(len(trie.phrases), np.int64)
+            counts = np.zeros(-(-len(trie.phrases) // COUNTS) * COUNTS, np.int64)
             for s in parts:
                 trie.count(s, counts)
-            some = pa.array(np.flatnonzero(counts))
-            yield {"lang": trie.langs.take(some), "phrase": trie.phrases.take(some), "n": counts[counts > 0]}
-
-        one = cut(over_slices(docs, make, "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n")))
+            shards = counts.reshape(-1, COUNTS)
+            some = np.flatnonzero(shards.any(axis=1))
+            yield {"shard": some, "counts": pa.array([x.tobytes() for x in shards[some]], pa.binary())}
+
+        def add(batches, known=known):
+            """Sums of each shard over all tasks, as a stream of rows sorted by shard."""
+            trie, now, total = known.value, None, None
+
+            def found():
+                at = now * COUNTS + np.flatnonzero(total)
+                return pa.RecordBatch.from_arrays([trie.langs.take(pa.array(at)), trie.phrases.take(pa.array(at)), pa.array(total[total > 0])], names=["lang", "phrase", "n"])
+
+            for batch in batches:
+                for shard, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if shard != now:
+                        if now is not None:
+                            yield found()
+                        now, total = shard, np.zeros(COUNTS, np.int64)
+                    total += np.frombuffer(counts, np.int64)
+            if now is not None:
+                yield found()
+
+        shards = over_slices(docs, make, "shard bigint, counts binary").repartition("shard").sortWithinPartitions("shard")
+        one = cut(shards.mapInArrow(add, "lang string, phrase string, n bigint"))
         known.destroy()
         done = one if done is None else done.unionByName(one)
     return done if done is not None else spark.createDataFrame([], "lang string, phrase string, n bigint")

@@ -34,6 +34,8 @@ BUCKETS = 1 << 26
 TRIE_PHRASES = 1 << 17
 #: A word's number in a trie is two digits to this base.
 DIGIT = 1024
+#: Phrases that a task remembers to have sent.
+SENT = 1 << 20
 #: Counts of a trie that go to the sum in one row.
 COUNTS = 512
 #: Bytes of text that a task works on at once (a longer text: by itself).
@@ -181,20 +183,26 @@ def full_buckets(docs: DataFrame, sizes: range, bitmaps: list[bytes], least: int
 
 def candidates(docs: DataFrame, bitmaps: list[bytes]) -> DataFrame:
     """(lang, phrase), distinct: all that the bitmaps let through, so all frequent phrases among them."""
-    known = docs.sparkSession.sparkContext.broadcast(bitmaps)
+    context = docs.sparkSession.sparkContext
+    known = context.broadcast(bitmaps)
 
     def make(parts):
+        sent: set[tuple[str, str]] = set()
         for s in parts:
             w = Windows(s, known.value)
             code = s.ids
             for size in range(2, LONGEST + 1):
                 places = w.level(size, True)
                 _, first, back = np.unique(code[places] * (len(s.words) + 1) + s.ids[places + size - 1], return_index=True, return_inverse=True)
-                yield {"lang": pa.array([s.lang] * len(first), pa.string()), "phrase": s.phrases(places[first], size)}
+                new = [p for p in s.phrases(places[first], size).to_pylist() if (s.lang, p) not in sent]
+                sent = sent if len(sent) < SENT else set()
+                sent.update((s.lang, p) for p in new)
+                yield {"lang": pa.array([s.lang] * len(new), pa.string()), "phrase": pa.array(new, pa.string())}
                 code = np.zeros(len(s.ids), np.int64)  # of phrases by number, for the next level
                 code[places] = back
 
-    return over_slices(docs, make, "lang string, phrase string").distinct()
+    shards = docs.coalesce(max(1, context.defaultParallelism))  # a phrase leaves a task once: as few tasks as there are cores
+    return over_slices(shards, make, "lang string, phrase string").distinct()
 
 
 class Trie:

@@ -13,9 +13,13 @@ OBS, ORB, SCORED = f"obs AS ({fx.OBS_DUCK})", f"orb AS ({fx.ORB})", f"scored AS
 ORBX, FINAL = f"orb AS ({fx.ORBX})", f"final AS ({fx.FINAL})"
 
 
-def query(sql: str, name: str | None = None):
+def query(sql: str | None, name: str | None = None):
+    """Register a query with its SQL; None where SQL can't express it, and tests hold it against plain loops."""
+
     def add(f):
-        QUERIES[name or f.__name__], SQL[name or f.__name__] = f, sql
+        QUERIES[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
         return f
 
     return add

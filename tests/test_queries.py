@@ -21,7 +21,7 @@ def spark():
     return s
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", SQL)
 def test_query(spark, name):
     con = duckdb.connect()
     for t in ("orders", "customer"):

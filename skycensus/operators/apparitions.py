@@ -15,14 +15,16 @@ from skycensus.functions.orbit import EPS, MU, OBLIQUITY_2000, SUN, floor_at, he
 from skycensus.operators.grid import TURN, _phase, dealt
 
 COUNT, ERA_COUNT, LOOKBACK = 17, 25, 20 * 365.25
+#: Radians by which a solved passage may be off; radians a day that an object has to gain on Earth.
+CONVERGED, SLOWEST = 1e-6, 2.5e-4
 #: First years of survey eras and their limiting magnitudes; north galactic pole in degrees.
 ERAS, POLE = ((1998.0, 19.5), (2005.0, 20.5), (2012.0, 21.5), (2020.0, 22.0)), (192.85948, 27.12825)
 c = F.col
 
 
-def earth(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Longitude (not wrapped), x and y of Earth."""
-    s, cy = SUN, (t - 2451545.0) / 36525.0
+def earth(day: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Longitude (not wrapped), x and y of Earth on a day from 2451545."""
+    s, cy = SUN, day / 36525.0
     m = np.radians(s["m0"] + s["m1"] * cy)
     lon = np.radians(s["l0"] + s["l1"] * cy) + s["c1"] * np.sin(m) + s["c2"] * np.sin(2 * m) + np.pi
     r = s["r0"] - s["r1"] * np.cos(m) - s["r2"] * np.cos(2 * m)
@@ -34,44 +36,51 @@ def _wrap(x: np.ndarray) -> np.ndarray:
 
 
 class Orbits:
-    """Orbits as columns of one row each, to meet several times."""
+    """Orbits as columns of one row each, to meet several times. Times are days from the epoch: whole Julian days would cost five digits."""
 
     def __init__(self, a, e, i, node, peri, m, epoch, h):
         self.a, self.e = a[:, None], e[:, None]
         self.i, self.node, self.peri, self.m = (np.radians(x)[:, None] for x in (i, node, peri, m))
-        self.m, self.epoch, self.h = np.mod(self.m, TURN), epoch[:, None], h[:, None]
+        self.m, self.day, self.h = np.mod(self.m, TURN), epoch[:, None] - 2451545.0, h[:, None]
         self.rate = np.sqrt(MU) / np.maximum(self.a, EPS) ** 1.5
 
     def at(self, t: np.ndarray) -> tuple[np.ndarray, ...]:
         """x, y, z and r at times t."""
-        m = np.mod(self.m + self.rate * (t - self.epoch), TURN)
-        ecc = m + self.e * np.sin(m) * (1 + self.e * np.cos(m))
+        m = _wrap(self.m + self.rate * t)
+        near, e = np.abs(m), self.e
+        # never under the root, so that the steps come down to it, whatever e
+        ecc = np.minimum(np.minimum(near + e, np.pi), np.minimum(near / (1 - e), np.cbrt(12 * near / np.maximum(e, 1e-12))))
         for _ in range(12):
-            ecc = ecc - (ecc - self.e * np.sin(ecc) - m) / np.maximum(1 - self.e * np.cos(ecc), 1e-12)
+            ecc = ecc - (ecc - e * np.sin(ecc) - near) / np.maximum(1 - e * np.cos(ecc), 1e-12)
+        ecc = np.where(m < 0, -ecc, ecc)
         u = self.peri + 2 * np.arctan2(np.sqrt(1 + self.e) * np.sin(ecc / 2), np.sqrt(1 - self.e) * np.cos(ecc / 2))
         r, cu, su, cn, sn, ci = self.a * (1 - self.e * np.cos(ecc)), np.cos(u), np.sin(u), np.cos(self.node), np.sin(self.node), np.cos(self.i)
         return r * (cn * cu - sn * su * ci), r * (sn * cu + cn * su * ci), r * su * np.sin(self.i), r
 
-    def oppositions(self, n: int, era: bool) -> np.ndarray:
-        """Times of the n last passages at or before the epoch; era: guessed with the sidereal year, steps not held."""
+    def oppositions(self, n: int, era: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Times of the n last passages at or before the epoch, whether each is solved to CONVERGED, and whether Earth passes at all; era: guessed with the sidereal year, steps not held."""
         slow = self.rate - (TURN / 365.256 if era else np.radians(36000.76983 / 36525.0))
-        least = 1e-6 if era else 1e-12
-        slow = np.where(np.abs(slow) < least, np.where(era & (slow < -1e-12), -least, least), slow)
-        cycle, off = TURN / np.abs(slow), _wrap(self.node + self.peri + self.m - earth(self.epoch)[0])
-        last = self.epoch - off / slow
-        last = last - np.ceil((last - self.epoch) / cycle) * cycle if era else np.where(last > self.epoch, last - cycle, last)
+        passed = np.abs(slow) >= SLOWEST
+        slow = np.where(passed, slow, 1.0)
+        cycle, off = TURN / np.abs(slow), _wrap(self.node + self.peri + self.m - earth(self.day)[0])
+        last = -off / slow
+        last = last - np.ceil(last / cycle) * cycle if era else np.where(last > 0, last - cycle, last)
         guess = last - np.arange(n) * cycle
         t = guess
         for _ in range(4):
-            x, y, _, _ = self.at(t)
-            t = t - _wrap(np.arctan2(y, x) - earth(t)[0]) / slow
+            t = t - self.ahead(t) / slow
             if not era:
                 t = np.clip(t, guess - cycle / 2, guess + cycle / 2)
-        return t
+        return t, np.abs(self.ahead(t)) <= CONVERGED, passed
+
+    def ahead(self, t: np.ndarray) -> np.ndarray:
+        """Angle by which the object is ahead of Earth."""
+        x, y, _, _ = self.at(t)
+        return _wrap(np.arctan2(y, x) - earth(self.day + t)[0])
 
     def seen(self, t: np.ndarray) -> dict[str, np.ndarray]:
         x, y, z, r = self.at(t)
-        _, ex, ey = earth(t)
+        _, ex, ey = earth(self.day + t)
         dx, dy = x - ex, y - ey
         d = np.sqrt(dx * dx + dy * dy + z * z)
         alpha = np.arccos(np.clip((x * dx + y * dy + z * z) / (np.maximum(r, EPS) * np.maximum(d, EPS)), -1, 1))
@@ -84,9 +93,11 @@ class Orbits:
 
 
 def table(orb: DataFrame, n: int = COUNT, era: bool = False) -> DataFrame:
-    """desig, k (0: the last), t, v, dec, ra, gal_b, rate (degrees a day) and valid: n rows per object whose elements are all known.
+    """desig, k (0: the last), t, v, dec, ra, gal_b, rate (degrees a day), valid and converged: n rows per object whose elements are all known.
 
-    valid: not over 20 years before the epoch, and (era) not over a day after it. h may be null, and makes v null."""
+    valid: not over 20 years before the epoch, and (era) not over a day after it. h may be null, and makes v null. converged: Earth and
+    object agree in longitude to CONVERGED radians after the steps taken; other times are where the steps ended. An object of a period so
+    near a year that it gains less than SLOWEST on Earth has no determined passage: its rows are null, not valid and not converged."""
     names = ["a", "e", "i", "node", "peri", "m", "epoch", "h"]
     cols = ["t", "v", "dec", "ra", "gal_b", "rate"]
 
@@ -97,16 +108,17 @@ def table(orb: DataFrame, n: int = COUNT, era: bool = False) -> DataFrame:
                 a, e, *rest = (np.asarray(part[x].to_numpy(zero_copy_only=False), dtype=float) for x in names)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     orbits = Orbits(a, np.clip(e, 0, 0.999), *rest)
-                    t = orbits.oppositions(n, era)
+                    t, converged, passed = orbits.oppositions(n, era)
                     got = orbits.seen(t)
                     got["rate"] = np.degrees(np.arccos(np.clip((got["way"] * orbits.seen(t + 1)["way"]).sum(0), -1, 1)))
-                got["t"], age = t, orbits.epoch - t
-                valid = (age <= LOOKBACK) & ((age >= -1) | (not era))
+                got["t"], age = part["epoch"].to_numpy(zero_copy_only=False).astype(float)[:, None] + t, -t
+                got = {x: np.where(passed, got[x], np.nan) for x in cols}
+                valid = passed & (age <= LOOKBACK) & ((age >= -1) | (not era))
                 rows = [pa.array(np.repeat(part["desig"].to_numpy(), n)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(a)))]
-                yield pa.RecordBatch.from_arrays([*rows, *(pa.array(got[x].ravel(), from_pandas=True) for x in cols), pa.array(valid.ravel())], names=["desig", "k", *cols, "valid"])
+                yield pa.RecordBatch.from_arrays([*rows, *(pa.array(got[x].ravel(), from_pandas=True) for x in cols), pa.array(valid.ravel()), pa.array((converged & passed).ravel())], names=["desig", "k", *cols, "valid", "converged"])
 
     known = dealt(orb).select("desig", *[c(x).cast("double").alias(x) for x in names]).na.drop("any", subset=names[:-1])
-    return known.mapInArrow(run, "desig bigint, k int, " + ", ".join(f"{x} double" for x in cols) + ", valid boolean")
+    return known.mapInArrow(run, "desig bigint, k int, " + ", ".join(f"{x} double" for x in cols) + ", valid boolean, converged boolean")
 
 
 def features(rows: DataFrame, objects: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from skycensus.functions import orbit
 from skycensus.operators import apparitions, grid
 from skycensus.plans import fixtures as fx
+from skycensus.plans import grid_queries, orbit_queries  # noqa: F401  their SQL is used below
 from skycensus.plans.base import ORBX, SQL, query, rounded
 
 c = F.col
 TAU = "(2*pi())"
-LON = "(radians(280.46646+36000.76983*({t}-2451545.0)/36525.0) + 0.033416*sin(radians(357.52911+35999.05029*({t}-2451545.0)/36525.0)) + 0.000349*sin(2*radians(357.52911+35999.05029*({t}-2451545.0)/36525.0)) + pi())"
-DIST = "(1.00014061 - 0.01670861*cos(radians(357.52911+35999.05029*({t}-2451545.0)/36525.0)) - 0.00013957*cos(2*radians(357.52911+35999.05029*({t}-2451545.0)/36525.0)))"
+LON = "(radians(280.46646+36000.76983*{t}/36525.0) + 0.033416*sin(radians(357.52911+35999.05029*{t}/36525.0)) + 0.000349*sin(2*radians(357.52911+35999.05029*{t}/36525.0)) + pi())"
+DIST = "(1.00014061 - 0.01670861*cos(radians(357.52911+35999.05029*{t}/36525.0)) - 0.00013957*cos(2*radians(357.52911+35999.05029*{t}/36525.0)))"
 
 
 def mod(x: str) -> str:
@@ -25,48 +26,52 @@ def wrap(x: str) -> str:
 
 def _ways(src: str, to: str, t: str) -> str:
     """CTEs that solve the orbit of src at the time column t: <to> has x, y, z, r. Twelve Newton steps by recursion."""
-    u = "2*atan2(sqrt(1+e1)*sin(ee/2), sqrt(1-e1)*cos(ee/2)) + wr"
-    return f"""{to}0 AS (SELECT *, {mod(f'm0 + rate*({t} - epoch)')} AS mm FROM {src}), {to}k AS (SELECT *, mm + e1*sin(mm)*(1+e1*cos(mm)) AS ee, 0 AS it FROM {to}0 UNION ALL SELECT * REPLACE (ee - (ee - e1*sin(ee) - mm)/greatest(1 - e1*cos(ee), 1e-12) AS ee, it + 1 AS it) FROM {to}k WHERE it < 12),
- {to}u AS (SELECT * EXCLUDE (it), {u} AS uu, a*(1-e1*cos(ee)) AS r FROM {to}k WHERE it = 12), {to} AS (SELECT * EXCLUDE (uu, mm, ee), r*(cos(nr)*cos(uu)-sin(nr)*sin(uu)*cos(ir)) AS x, r*(sin(nr)*cos(uu)+cos(nr)*sin(uu)*cos(ir)) AS y, r*sin(uu)*sin(ir) AS z FROM {to}u)"""
+    u = "way*2*atan2(sqrt(1+e1)*sin(ee/2), sqrt(1-e1)*cos(ee/2)) + wr"
+    start = "least(mm + e1, pi(), mm/(1 - e1), cbrt(12*mm/greatest(e1, 1e-12)))"
+    return f"""{to}0 AS (SELECT *, abs({wrap(f'm0 + rate*{t}')}) AS mm, CASE WHEN {wrap(f'm0 + rate*{t}')} < 0 THEN -1 ELSE 1 END AS way FROM {src}),
+ {to}k AS (SELECT *, {start} AS ee, 0 AS it FROM {to}0 UNION ALL SELECT * REPLACE (ee - (ee - e1*sin(ee) - mm)/greatest(1 - e1*cos(ee), 1e-12) AS ee, it + 1 AS it) FROM {to}k WHERE it < 12),
+ {to}u AS (SELECT * EXCLUDE (it), {u} AS uu, a*(1-e1*cos(ee)) AS r FROM {to}k WHERE it = 12), {to} AS (SELECT * EXCLUDE (uu, mm, ee, way), r*(cos(nr)*cos(uu)-sin(nr)*sin(uu)*cos(ir)) AS x, r*(sin(nr)*cos(uu)+cos(nr)*sin(uu)*cos(ir)) AS y, r*sin(uu)*sin(ir) AS z FROM {to}u)"""
 
 
 def _table(n: int, era: bool) -> str:
     """CTE `seen`: desig, k, t, v, dec, ra, gal_b, rate, valid."""
     year = "radians(36000.76983/36525.0)" if not era else f"({TAU}/365.256)"
-    last = "CASE WHEN near > epoch THEN near - cycle ELSE near END" if not era else "near - ceil((near - epoch)/cycle)*cycle"
-    out = f"""{ORBX}, b0 AS (SELECT desig, a, epoch, h, greatest(0.0, least(0.999, e)) AS e1, radians(i) AS ir, radians(node) AS nr, radians(peri) AS wr, {mod('radians(m)')} AS m0, sqrt(0.0002959122082855911)/pow(greatest(a, 0.001), 1.5) AS rate FROM orb WHERE a IS NOT NULL AND e IS NOT NULL AND i IS NOT NULL AND m IS NOT NULL AND epoch IS NOT NULL AND abs(a - 1) > 0.01),
- b1 AS (SELECT *, rate - {year} AS slow, {wrap(f"nr + wr + m0 - {LON.format(t='epoch')}")} AS psi FROM b0), b2 AS (SELECT *, {TAU}/abs(slow) AS cycle, epoch - psi/slow AS near FROM b1), b3 AS (SELECT *, {last} AS last_t FROM b2),
+    last = "CASE WHEN near > 0 THEN near - cycle ELSE near END" if not era else "near - ceil(near/cycle)*cycle"
+    out = f"""{ORBX}, b0 AS (SELECT desig, a, epoch, epoch - 2451545.0 AS day, h, greatest(0.0, least(0.999, e)) AS e1, radians(i) AS ir, radians(node) AS nr, radians(peri) AS wr, {mod('radians(m)')} AS m0, sqrt(0.0002959122082855911)/pow(greatest(a, 0.001), 1.5) AS rate FROM orb WHERE a IS NOT NULL AND e IS NOT NULL AND i IS NOT NULL AND m IS NOT NULL AND epoch IS NOT NULL),
+ b1 AS (SELECT *, abs(rate - {year}) >= 2.5e-4 AS passed, CASE WHEN abs(rate - {year}) >= 2.5e-4 THEN rate - {year} ELSE 1.0 END AS slow, {wrap(f"nr + wr + m0 - {LON.format(t='day')}")} AS psi FROM b0),
+ b2 AS (SELECT *, {TAU}/abs(slow) AS cycle, -psi/slow AS near FROM b1), b3 AS (SELECT *, {last} AS last_t FROM b2),
  s0 AS (SELECT * EXCLUDE (psi, near, last_t), k, last_t - k*cycle AS guess, last_t - k*cycle AS t FROM b3, range({n}) r(k))"""
+    ahead = f"atan2(y, x) - {LON.format(t='(day + t)')}"
     for step in range(4):
-        moved = f"t - {wrap(f'atan2(y, x) - {LON.format(t=chr(116))}')}/slow"
+        moved = f"t - {wrap(ahead)}/slow"
         held = f"greatest(guess - cycle/2, least(guess + cycle/2, {moved}))" if not era else moved
         out += f", {_ways(f's{step}', f'w{step}', 't')}, s{step + 1} AS (SELECT * EXCLUDE (x, y, z, r) REPLACE ({held} AS t) FROM w{step})"
-    out += f""", {_ways('s4', 'w4', 't')}, d0 AS (SELECT *, x - {DIST.format(t='t')}*cos({LON.format(t='t')}) AS dx, y - {DIST.format(t='t')}*sin({LON.format(t='t')}) AS dy FROM w4), d1 AS (SELECT *, sqrt(dx*dx+dy*dy+z*z) AS d, t + 1 AS t1 FROM d0),
+    out += f""", {_ways('s4', 'w4', 't')}, d0 AS (SELECT *, x - {DIST.format(t='(day + t)')}*cos({LON.format(t='(day + t)')}) AS dx, y - {DIST.format(t='(day + t)')}*sin({LON.format(t='(day + t)')}) AS dy, abs({wrap(ahead)}) <= 1e-6 AS met FROM w4), d1 AS (SELECT *, sqrt(dx*dx+dy*dy+z*z) AS d, t + 1 AS t1 FROM d0),
  d2 AS (SELECT *, tan(acos(greatest(-1.0, least(1.0, (x*dx+y*dy+z*z)/(greatest(r, 0.001)*greatest(d, 0.001)))))/2) AS th, asin(greatest(-1.0, least(1.0, (dy*sin(radians(23.439291))+z*cos(radians(23.439291)))/d))) AS dec, atan2(dy*cos(radians(23.439291))-z*sin(radians(23.439291)), dx) AS ra, dx/d AS ux, dy/d AS uy, z/d AS uz FROM d1),
  d3 AS (SELECT * EXCLUDE (x, y, z, r, dx, dy, d), h + 5*log10(greatest(r, 0.001)*greatest(d, 0.001)) - 2.5*log10(greatest(0.85*exp(-3.33*pow(th, 0.63)) + 0.15*exp(-1.87*pow(th, 1.22)), 1e-30)) AS v FROM d2), {_ways('d3', 'w5', 't1')},
- e0 AS (SELECT *, x - {DIST.format(t='t1')}*cos({LON.format(t='t1')}) AS dx, y - {DIST.format(t='t1')}*sin({LON.format(t='t1')}) AS dy FROM w5),
- seen AS (SELECT desig, k, t, v, degrees(dec) AS dec, degrees(ra) - 360*floor(degrees(ra)/360) AS ra, degrees(asin(greatest(-1.0, least(1.0, sin(dec)*sin(radians(27.12825)) + cos(dec)*cos(radians(27.12825))*cos(ra - radians(192.85948)))))) AS gal_b,
-  degrees(acos(greatest(-1.0, least(1.0, (ux*dx+uy*dy+uz*z)/sqrt(dx*dx+dy*dy+z*z))))) AS rate, epoch - t <= 20*365.25{" AND epoch - t >= -1" if era else ""} AS valid, epoch FROM e0)"""
+ e0 AS (SELECT *, x - {DIST.format(t='(day + t1)')}*cos({LON.format(t='(day + t1)')}) AS dx, y - {DIST.format(t='(day + t1)')}*sin({LON.format(t='(day + t1)')}) AS dy FROM w5),
+ all_seen AS (SELECT desig, k, epoch + t AS t, v, degrees(dec) AS dec, degrees(ra) - 360*floor(degrees(ra)/360) AS ra, degrees(asin(greatest(-1.0, least(1.0, sin(dec)*sin(radians(27.12825)) + cos(dec)*cos(radians(27.12825))*cos(ra - radians(192.85948)))))) AS gal_b,
+  degrees(acos(greatest(-1.0, least(1.0, (ux*dx+uy*dy+uz*z)/sqrt(dx*dx+dy*dy+z*z))))) AS rate, passed AND -t <= 20*365.25{" AND -t >= -1" if era else ""} AS valid, passed AND met AS converged, passed, epoch FROM e0),
+ seen AS (SELECT desig, k, valid, converged, epoch, {", ".join(f"CASE WHEN passed THEN {x} END AS {x}" for x in ("t", "v", "dec", "ra", "gal_b", "rate"))} FROM all_seen)"""
     return out
 
 
 
 
 def orbits(spark, sf_dir):
-    """Objects of a period near a year never pass Earth in our time, and no two ways to add up give their times alike: left out here."""
-    return fx.orbits_with_edges(spark, sf_dir).filter("a is null or abs(a - 1) > 0.01")
+    return fx.orbits_with_edges(spark, sf_dir)
 
 
-@query(f"WITH RECURSIVE {_table(17, False)} SELECT desig, k::BIGINT AS k, valid, round(t, 3) AS t, round(v, 4) AS v, round(dec, 3) + 0.0 AS dec FROM seen")
+@query(f"WITH RECURSIVE {_table(17, False)} SELECT desig, k::BIGINT AS k, valid, converged, round(t, 3) AS t, round(v, 4) AS v, round(dec, 3) + 0.0 AS dec FROM seen")
 def apparition_table(spark, sf_dir):
     rows = apparitions.table(orbits(spark, sf_dir))
-    return rows.select("desig", c("k").cast("bigint").alias("k"), "valid", F.round("t", 3).alias("t"), F.round("v", 4).alias("v"), (F.round("dec", 3) + 0.0).alias("dec"))
+    return rows.select("desig", c("k").cast("bigint").alias("k"), "valid", "converged", F.round("t", 3).alias("t"), F.round("v", 4).alias("v"), (F.round("dec", 3) + 0.0).alias("dec"))
 
 
-@query(f"WITH RECURSIVE {_table(25, True)} SELECT desig, k::BIGINT AS k, valid, round(t, 3) AS t, round(v, 2) AS v, round(gal_b, 3) + 0.0 AS gal_b, round(rate, 4) AS rate FROM seen")
+@query(f"WITH RECURSIVE {_table(25, True)} SELECT desig, k::BIGINT AS k, valid, converged, round(t, 3) AS t, round(v, 2) AS v, round(gal_b, 3) + 0.0 AS gal_b, round(rate, 4) AS rate FROM seen")
 def era_table(spark, sf_dir):
     rows = apparitions.table(orbits(spark, sf_dir), apparitions.ERA_COUNT, True)
-    return rows.select("desig", c("k").cast("bigint").alias("k"), "valid", F.round("t", 3).alias("t"), F.round("v", 2).alias("v"), (F.round("gal_b", 3) + 0.0).alias("gal_b"), F.round("rate", 4).alias("rate"))
+    return rows.select("desig", c("k").cast("bigint").alias("k"), "valid", "converged", F.round("t", 3).alias("t"), F.round("v", 2).alias("v"), (F.round("gal_b", 3) + 0.0).alias("gal_b"), F.round("rate", 4).alias("rate"))
 
 
 OBJECTS = f"objects AS (SELECT m.desig, m.vis_mag_multi AS vis_orbit, d.fraction, p.vis_last_perihelion AS vis_last FROM ({SQL['grid_mag_multi']}) m JOIN ({SQL['grid_discoverability']}) d USING (desig) JOIN ({SQL['perihelion_passages']}) p USING (desig))"

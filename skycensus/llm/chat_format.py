@@ -2,7 +2,8 @@
 
 An event is (conv_id, message, seq, kind, role, text, at, cut). `delta` adds its text; `regenerate` discards what the
 message had and starts again from its own text; `edit` puts its text in place of the `cut` code points that come after the
-first `at` of what the message has by then (text streamed before it, so what is streamed later moves nothing). The log of a
+first `at` of what the message has by then; places past the end of that add at the end and cut nothing of what is streamed later.
+Runs of deltas between edits are joined as one. Negative and null places count as 0. The log of a
 conversation is dealt by message, so a hot conversation has many tasks, and folded by seq; its messages come in the order of
 their key. Null text or role: empty. Null conv_id: a conversation of its own. Events repeated with the same seq of a message count as
 often as they occur.
@@ -39,12 +40,19 @@ def unescape(text: Column) -> Column:
 def fold(events: DataFrame) -> DataFrame:
     """One row per message: conv_id, message, role, text, folded from its part of the conversation's log, by seq."""
     again = F.max(F.when(F.col("kind") == "regenerate", F.col("seq")))
-    part = F.struct("seq", (F.col("kind") == "edit").alias("edit"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("at", F.lit(0)).alias("at"), F.coalesce("cut", F.lit(0)).alias("cut"))
+    part = F.struct("seq", (F.col("kind") == "edit").alias("edit"), F.coalesce("text", F.lit("")).alias("text"), *[F.greatest(F.coalesce(x, F.lit(0)), F.lit(0)).alias(x) for x in ("at", "cut")])
     grouped = events.groupBy("conv_id", "message").agg(F.coalesce(again, F.min("seq")).alias("base"), F.max("role").alias("role"), F.sort_array(F.collect_list(part)).alias("parts"))
     live = F.filter("parts", lambda p: p["seq"] >= F.col("base"))
-    text = F.array_join(F.transform(F.filter(live, lambda p: ~p["edit"]), lambda p: p["text"]), "")
     splice = lambda t, p: F.concat(F.substr(t, F.lit(1), p["at"]), p["text"], F.substr(t, p["at"] + p["cut"] + 1, F.lit(2**31 - 1)))
-    return grouped.select("conv_id", "message", F.coalesce("role", F.lit("")).alias("role"), F.aggregate(F.filter(live, lambda p: p["edit"]), text, splice).alias("text"))
+    run = lambda parts, after, to: F.array_join(F.transform(F.slice(parts, after + 2, to - after - 1), lambda p: p["text"]), "")  # noqa: E731  deltas between two places
+
+    def replay(parts: Column) -> Column:
+        edits = F.filter(F.transform(parts, lambda p, k: F.when(p["edit"], k)), lambda k: k.isNotNull())
+        steps = let(edits, lambda e: F.transform(e, lambda k, j: F.struct(run(parts, F.coalesce(F.get(e, j - 1), F.lit(-1)), k).alias("run"), F.get(parts, k).alias("edit"))))
+        text = F.aggregate(steps, F.lit(""), lambda t, s: let(F.concat(t, s["run"]), lambda x: splice(x, s["edit"])))
+        return F.concat(text, run(parts, F.coalesce(F.array_max(edits), F.lit(-1)), F.size(parts)))
+
+    return grouped.select("conv_id", "message", F.coalesce("role", F.lit("")).alias("role"), let(live, replay).alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:

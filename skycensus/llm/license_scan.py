@@ -2,13 +2,14 @@
 
 A template's coverage is the share of its words that align, in order, with words of the text: anchors are
 the words unique to both sides, their longest increasing subsequence is kept, and the gaps between are
-aligned alike. Words are runs of ASCII letters and digits, lower-cased. A template is aligned only where the
-text has enough of its words for the coverage asked for (an exact upper bound), within windows of twice its
-length around them. One row per document and template found; texts that are null, empty or clean give none.
+aligned alike. Words are runs of ASCII letters and digits, lower-cased. A template is aligned with every stretch of the
+text of its length / DENSITY words (3.3 times its length; 1.7 times for a short line) that has enough of its words for the coverage asked for, an exact upper bound;
+words scattered over more of the text are prose, not a license. The whole text is searched. One row per document and template found; texts that are null, empty or clean give none.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -33,6 +34,8 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
 COVERAGE = 0.8
+#: Template words to a word of the stretch of text that is aligned with it; of templates under SHORT words, whose few words prose may hold, too.
+DENSITY, SHORT, SHORT_DENSITY = 0.3, 20, 0.6
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -73,30 +76,28 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def scan(words: list[str], template: list[str], least: float) -> tuple[float, int, int] | None:
+def scan(words: list[str], template: list[str], least: float, density: float | None = None) -> tuple[float, int, int] | None:
     """Best coverage with the first and last word aligned; the first of equal ones.
 
-    Stretches are stretches of the words that the template has, from twice its length, doubled up to the whole text and
-    stepped by half: others never align, and where a template occurs twice a stretch with one of them has the anchors.
+    All stretches of ceil(length / density) words of the text are aligned that begin with a word of the template, a quarter of a
+    stretch apart at least: within one, no fewer than least * density of the words are the template's.
     """
     need, size = least * len(template), Counter(template)
+    density = density or (DENSITY if len(template) >= SHORT else SHORT_DENSITY)
     spots = [k for k, w in enumerate(words) if w in size]
-    best, span = None, 2 * len(template)
-    while True:
-        for at in range(0, max(1, len(spots) - span // 2), span // 2):
-            some = spots[at : at + span]
-            found = Counter(words[k] for k in some)
-            most = sum(min(n, size[w]) for w, n in found.items())
-            if most < need or best and most <= best[0]:  # an upper bound of what aligns
-                continue
+    span, best, at = math.ceil(len(template) / density), None, 0
+    while at < len(spots):
+        some = spots[at : bisect_left(spots, spots[at] + span)]
+        found = Counter(words[k] for k in some)
+        most = sum(min(n, size[w]) for w, n in found.items())
+        if most >= need and (best is None or most > best[0]):  # an upper bound of what aligns
             got = align(template, [words[k] for k in some])
             if len(got) >= need and (best is None or len(got) > best[0]):
                 best = (len(got), some[got[0][1]], some[got[-1][1]])
                 if best[0] == len(template):
-                    return 1.0, *best[1:]
-        if span >= len(spots):
-            return best and (best[0] / len(template), *best[1:])
-        span *= 2
+                    break
+        at = max(at + 1, bisect_left(spots, spots[at] + span // 4))
+    return best and (best[0] / len(template), *best[1:])
 
 
 def scan_licenses(df: DataFrame, keep: list[str], templates: dict[str, str] | None = None, least: float = COVERAGE) -> DataFrame:

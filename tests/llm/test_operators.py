@@ -132,12 +132,14 @@ def test_chat_log_replay(spark):
             message, kind = int(rng.integers(0, 8)), str(rng.choice(["delta"] * 6 + ["edit", "edit", "regenerate"]))
             text = "é😀ab<"[: int(rng.integers(0, 6))] * int(rng.integers(1, 4))
             has = size.get((conv, message), 0)
-            at = int(rng.integers(0, has + 1)) if kind == "edit" else None
-            cut = int(rng.integers(0, has - at + 1)) if kind == "edit" else None
-            size[conv, message] = has + len(text) if kind == "delta" else len(text) if kind == "regenerate" else has - cut + len(text)
+            at = int(rng.integers(0, has + 9)) if kind == "edit" else None  # also past the end
+            cut = int(rng.integers(0, has + 9)) if kind == "edit" else None
+            size[conv, message] = has + len(text) if kind == "delta" else len(text) if kind == "regenerate" else len(("x" * has)[:at] + text + ("x" * has)[at + cut :])
             events.append((conv, message, seq, kind, text, at, cut))
     df = spark.createDataFrame(events, "conv_id long, message int, seq int, kind string, text string, at int, cut int").selectExpr("*", "'user' as role", "1 as base", "2 as parts")
     assert {(r.conv_id, r.message): r.text for r in fold(df.repartition(5)).collect()} == brute_fold(events)
+    late = spark.createDataFrame([(1, 0, 0, "delta", "abc", None, None), (1, 0, 1, "edit", "X", 0, 10), (1, 0, 2, "delta", "def", None, None)], "conv_id long, message int, seq int, kind string, text string, at int, cut int")
+    assert fold(late.withColumn("role", F.lit("user"))).first().text == "Xdef"
 
 
 def test_chat_very_long_text_and_no_python_in_the_plan(spark):
@@ -273,6 +275,18 @@ def test_license_scan_over_whole_texts(spark):
             assert found and found[0] <= table[-1, -1] / len(t) + 1e-9
 
 
+def test_license_scan_leaves_prose_alone(spark):
+    """Words of a license scattered over a long text, in order, are no license; a license among them is one."""
+    from skycensus.llm.license_scan import TEMPLATES, scan_licenses
+
+    fill = "and so the band of the town played in a park for all of the summer "
+    album = "The album was released in 1990. " + fill * 20 + "They were under contract. " + fill * 20 + "He works in the city. " + fill * 5 + "She has a driver license. "
+    mit = TEMPLATES["MIT"].split()
+    spread = " ".join(f"{w} {fill}" for w in mit)
+    df = spark.createDataFrame([(1, album), (2, spread), (3, fill * 2000), (4, album + TEMPLATES["MIT-line"] + album), (5, spread + TEMPLATES["MIT"] + spread)], "doc_id long, text string")
+    assert {(r.doc_id, r.license, r.coverage) for r in scan_licenses(df, ["doc_id"]).collect()} == {(4, "MIT-line", 1.0), (5, "MIT", 1.0)}
+
+
 def brute_components(ids, links):
     low = {i: i for i in ids}
 
@@ -369,6 +383,21 @@ def test_mixing_stage_meets_each_target(spark):
         assert 0 <= want[s] - got[s] < min(left, default=1), (s, want[s], got[s])
 
 
+def test_mixing_of_equal_rows(spark):
+    """Rows alike in all columns: as many are taken as their source's target holds, in query and stage alike, also where the threshold lies on them."""
+    from skycensus.llm.mixing import cut, mix, sizes, stage
+
+    data = [(1, "w " * 10, "en", "c", 1)] * 400 + [(k, f"t{k} " * 7, "en", "a", 1) for k in range(50)] + [(k, f"u{k} " * 30, "en", "b", 1) for k in range(100)] + [(None, None, None, None, None)] * 5
+    df = cut(spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").repartition(7))
+    got = mix(df).groupBy("source", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("copies").alias("most"), F.max("size").alias("size"), F.count("*").alias("n")).collect()
+    per = {r.source: r for r in got}
+    assert per["c"].n == 400 and all(0 <= r.target - r.taken <= r.size and r.most <= 2 for r in got)
+    again = {r.source: r.taken for r in mix(df).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()}
+    assert again == {s: r.taken for s, r in per.items()}
+    mixed = {r.source: r.n for r in stage(spark, df, DIR).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert mixed["c"] == per["c"].taken // 10 and mixed[None] == 5 and sizes(df).count() == len(data)
+
+
 def test_sharding(spark, docs):
     from skycensus.llm.sharding import Tree, pack, shard
 

@@ -209,12 +209,12 @@ def logit(p: Column) -> Column:
 
 
 def poisson_cdf(k: Column, mean: Column) -> Column:
-    """P(X <= k) by a running term; 0 for k under 0, null for a mean under 0."""
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    """P(X <= k) by a running term, in logs so that no mean is too large; 0 for k under 0, null for a mean under 0."""
+    start = F.struct((-mean).alias("log"), F.exp(-mean).alias("sum"))
 
     def step(acc, j):
-        term = acc["term"] * mean / j
-        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+        log = acc["log"] + F.ln(mean / j)
+        return F.struct(log.alias("log"), (acc["sum"] + F.exp(log)).alias("sum"))
 
     upto = F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.expr("cast(array() as array<bigint>)"))
-    return F.when(mean < 0, None).when(k < 0, 0.0).otherwise(F.exp(-mean) * F.aggregate(upto, start, step, lambda acc: acc["sum"]))
+    return F.when(mean.isNull() | k.isNull() | (mean < 0), None).when(k < 0, 0.0).when(mean == 0, 1.0).otherwise(F.least(F.aggregate(upto, start, step, lambda acc: acc["sum"]), F.lit(1.0)))

@@ -59,7 +59,7 @@ def specs() -> dict[str, Spec]:
         "tightest_ext": Spec([arc7, wide, _in("ext", 0, 0.0005)], limit=30),
         "by_ext": Spec([arc7, wide, c("delta_q") > 0.3 * c("quantile_opps"), c("q") > 1.1, _in("delta_q", 3.5, 1000)], "ext", False, 25),
         "by_ext_all": Spec([arc7, wide, _in("delta_q", 3.5, 1000)], "ext", False, 30),
-        "by_ext_certain": Spec([arc7, wide, c("u") != 9, _in("delta_q", 3.6, 1000), c("delta_q") > 0.4 * c("quantile_opps")], "ext", False, 30),
+        "by_ext_certain": Spec([arc7, wide, ~c("u").eqNullSafe(9), _in("delta_q", 3.6, 1000), c("delta_q") > 0.4 * c("quantile_opps")], "ext", False, 30),
         "comets_by_ext": Spec([arc7, wide, ~_in("a", 4.9, 5.5), c("tj") < 3.05, c("num_opps") <= 13, _in("prob", 0.85, 1000), _in("delta_q", 2.8, 1000)], "ext", False, 30),
         "comets_by_ext_strict": Spec([arc7, wide, ~_in("a", 4.9, 5.5), c("tj") < 3.03, c("num_opps") <= 13, _in("prob", 0.85, 1000), _in("delta_q", 2.8, 1000)], "ext", False, 30),
         "asteroid_single": Spec([c("arc_length") > 11, obs7, c("prob") > 0.98, c("tj") > 3.05, c("ext") < 0.07, short]),
@@ -71,7 +71,7 @@ def specs() -> dict[str, Spec]:
         "transition": Spec([arc11, obs7, c("ext") < 0.5, _in("a", 4.05, 5.05), c("tj") < 3.05, c("prob") > 0.8, short], "poisson", False, 10),
         "faint_deficit": Spec([arc7, wide, _in("ext", 0, 0.65), c("prob") > 0.999, dim < 3, _in("delta_q", 3, 1000)], "v_avg", False, 30),
         "faint_single": Spec([arc3, wide, _in("num_opps", 1, 1), _in("ext", 0, 0.9), c("prob") > 0.99, dim < 2.5, _year() > 1992, _in("delta_q", 1, 1000)], "v_avg", False, 30),
-        "faint_certain": Spec([arc3, wide, _in("num_opps", 1, 1), _in("ext", 0, 0.6), c("prob") > 0.9998, dim < 2.5, c("u") != 9, _year() > 1992, _in("delta_q", 1, 1000)], "v_avg", False, 30),
+        "faint_certain": Spec([arc3, wide, _in("num_opps", 1, 1), _in("ext", 0, 0.6), c("prob") > 0.9998, dim < 2.5, ~c("u").eqNullSafe(9), _year() > 1992, _in("delta_q", 1, 1000)], "v_avg", False, 30),
         "faint_comets": Spec([arc7, _in("a", 1.05, 8), _in("q", 1.05, 20), _in("tj", 2, 3.03), _in("num_opps", 0, 1.5), _in("prob", 0.75, 1), _in("ext", 0, 0.6), dim < 3, _in("delta_q", 0.9, 1000)], "v_avg", False, 30),
         "four_nighters": Spec([c("arc_length") > 7, obs7, c("prob") > 0.9988, c("a") > 1.1, c("ext") > 0.15, c("nights") > 3, short]),
         "high_ext": Spec([c("arc_length") > 7, obs7, c("prob") > 0.9999, c("ext") > 0.15, c("ext") < 0.6, short], "ext", False),
@@ -94,7 +94,7 @@ def specs() -> dict[str, Spec]:
         ("sample_mislinked", [c("ext") > 0.8, c("prob") > 0.999, c("u") < 9, c("num_opps") > 1]), ("sample_uncertain", [c("ext") > 0.8, c("prob") > 0.999, c("arc_length") < 6]),
         ("sample_long_arc", [c("ext") > 0.8, c("prob") > 0.999, c("arc_length") > 25]), ("sample_secure", [c("ext") < 0.001, c("prob") > 0.998, single]),
     ):
-        out[name] = Spec([*where, clear], "draw", False, 5)
+        out[name] = Spec([*where, clear], "draw", False, 1_000_000_000 if name == "sample_long_arc" else 5)  # this one is shown whole
     return out
 
 

@@ -183,23 +183,23 @@ def comet_elements(spark, sf_dir):
     return rounded(rows.select("desig", "a", F.sqrt(F.pow("a", F.lit(3))).alias("period"), F.coalesce("_mag", "mag").alias("h"), orbit.julian_day(c("y"), c("mo"), c("d")).alias("tp"), "num_opps"))
 
 
-@query(f"""WITH {FINAL}, n AS (SELECT desig AS note, CASE WHEN desig % 2 = 0 THEN (desig % 400)::VARCHAR || 'P/' || name ELSE name END AS wanted, CASE WHEN desig % 3 = 0 THEN 'asteroidal' ELSE 'cometary' END AS kind, desig % 4 = 0 AS dagger FROM final WHERE desig % 17 = 0 UNION ALL SELECT -1, 'no such', 'cometary', false),
+@query(f"""WITH {FINAL}, n AS (SELECT desig AS note, CASE WHEN desig % 2 = 0 THEN (desig % 400)::VARCHAR || 'P/' || name ELSE name END AS wanted, CASE WHEN desig % 3 = 0 THEN 'asteroidal' WHEN desig % 5 = 0 THEN 'other' ELSE 'cometary' END AS kind, desig % 4 = 0 AS dagger FROM final WHERE desig % 17 = 0 UNION ALL SELECT -1, 'no such', 'cometary', false),
  j AS (SELECT n.*, f.prob, CASE WHEN dagger AND f.desig IS NOT NULL THEN 1 ELSE f.num_opps END AS num_opps, CASE WHEN dagger THEN f.quantile_opps - 1 ELSE f.quantile_opps - f.num_opps END AS delta_q,
   CASE WHEN f.desig IS NOT NULL THEN (SELECT sum(exp(-(f.expected-1)) * pow(f.expected-1, j) / factorial(j::INT)) FROM range(0, 13) r(j) WHERE j <= CASE WHEN n.dagger THEN 0 ELSE f.num_opps - 1 END) END AS s_ev FROM n LEFT JOIN final f ON f.name = wanted OR f.name = regexp_replace(wanted, '^[0-9]+[PDAI]/', ''))
- SELECT note, CASE WHEN kind = 'asteroidal' THEN 'asteroidal' WHEN num_opps > 1 THEN 'comets of many' ELSE 'comets of one' END AS section, num_opps, {r6(delta_q='delta_q', s_ev='s_ev')},
-  row_number() OVER (PARTITION BY CASE WHEN kind = 'asteroidal' THEN 'asteroidal' WHEN num_opps > 1 THEN 'comets of many' ELSE 'comets of one' END ORDER BY CASE WHEN kind <> 'asteroidal' AND num_opps > 1 THEN round(s_ev, 9) END NULLS LAST, CASE WHEN kind = 'asteroidal' OR num_opps IS NULL OR num_opps <= 1 THEN prob END DESC NULLS LAST, note) AS place FROM j""")
+ SELECT note, CASE WHEN kind <> 'cometary' THEN 'asteroidal' WHEN num_opps > 1 THEN 'comets of many' ELSE 'comets of one' END AS section, num_opps, {r6(delta_q='delta_q', s_ev='s_ev')},
+  row_number() OVER (PARTITION BY CASE WHEN kind <> 'cometary' THEN 'asteroidal' WHEN num_opps > 1 THEN 'comets of many' ELSE 'comets of one' END ORDER BY CASE WHEN kind = 'cometary' AND num_opps > 1 THEN round(s_ev, 9) END NULLS LAST, CASE WHEN kind <> 'cometary' OR num_opps IS NULL OR num_opps <= 1 THEN prob END DESC NULLS LAST, note) AS place FROM j""")
 def results_report(spark, sf_dir):
-    """Rows of the results table: notes looked up by name, with or without a comet's number; daggered ones as if of one opposition; three sections in order."""
+    """Rows of the results table: notes looked up by name, with or without a comet's number; daggered ones as if of one opposition; three sections in order, unknown kinds in the asteroidal one."""
     from pyspark.sql import Window
 
     k, final = c("desig"), fx.final(spark, sf_dir)
-    notes = final.filter("desig % 17 = 0").select(k.alias("note"), F.when(k % 2 == 0, F.concat((k % 400).cast("string"), F.lit("P/"), "name")).otherwise(c("name")).alias("name"), F.when(k % 3 == 0, "asteroidal").otherwise("cometary").alias("kind"), (k % 4 == 0).alias("dagger"))
+    notes = final.filter("desig % 17 = 0").select(k.alias("note"), F.when(k % 2 == 0, F.concat((k % 400).cast("string"), F.lit("P/"), "name")).otherwise(c("name")).alias("name"), F.when(k % 3 == 0, "asteroidal").when(k % 5 == 0, "other").otherwise("cometary").alias("kind"), (k % 4 == 0).alias("dagger"))
     notes = notes.unionByName(spark.sql("SELECT -1L AS note, 'no such' AS name, 'cometary' AS kind, false AS dagger"))
     data = final.select("name", "prob", "num_opps", "quantile_opps", "expected", k.alias("line_no"), k.alias("found"))
     rows = catalog.looked_up(notes, data)
     n = F.when(c("dagger") & c("found").isNotNull(), 1).otherwise(c("num_opps"))
     rows = rows.withColumn("num_opps", n).withColumns({"delta_q": c("quantile_opps") - c("num_opps"), "s_ev": orbit.poisson_cdf(c("num_opps") - 1, c("expected") - 1)})
-    rows = rows.withColumn("section", F.when(c("kind") == "asteroidal", "asteroidal").when(c("num_opps") > 1, "comets of many").otherwise("comets of one"))
+    rows = rows.withColumn("section", F.when(c("kind") != "cometary", "asteroidal").when(c("num_opps") > 1, "comets of many").otherwise("comets of one"))
     many = c("section") == "comets of many"
     order = Window.partitionBy("section").orderBy(F.when(many, F.round("s_ev", 9)).asc_nulls_last(), F.when(~many, c("prob")).desc_nulls_last(), "note")
     return rounded(rows.withColumn("place", F.row_number().over(order)).select("note", "section", "num_opps", "delta_q", "s_ev", "place"))

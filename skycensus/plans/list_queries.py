@@ -31,7 +31,7 @@ WHERE = {
     "tightest_ext": (f"{A7} AND a BETWEEN 1.05 AND 20 AND ext BETWEEN 0 AND 0.0005", "delta_q", "DESC", 30),
     "by_ext": (f"{A7} AND a BETWEEN 1.05 AND 20 AND delta_q > 0.3*quantile_opps AND q > 1.1 AND delta_q BETWEEN 3.5 AND 1000", "ext", "ASC", 25),
     "by_ext_all": (f"{A7} AND a BETWEEN 1.05 AND 20 AND delta_q BETWEEN 3.5 AND 1000", "ext", "ASC", 30),
-    "by_ext_certain": (f"{A7} AND a BETWEEN 1.05 AND 20 AND u <> 9 AND delta_q BETWEEN 3.6 AND 1000 AND delta_q > 0.4*quantile_opps", "ext", "ASC", 30),
+    "by_ext_certain": (f"{A7} AND a BETWEEN 1.05 AND 20 AND u IS DISTINCT FROM 9 AND delta_q BETWEEN 3.6 AND 1000 AND delta_q > 0.4*quantile_opps", "ext", "ASC", 30),
     "comets_by_ext": (f"{A7} AND a BETWEEN 1.05 AND 20 AND NOT a BETWEEN 4.9 AND 5.5 AND tj < 3.05 AND num_opps <= 13 AND prob BETWEEN 0.85 AND 1000 AND delta_q BETWEEN 2.8 AND 1000", "ext", "ASC", 30),
     "comets_by_ext_strict": (f"{A7} AND a BETWEEN 1.05 AND 20 AND NOT a BETWEEN 4.9 AND 5.5 AND tj < 3.03 AND num_opps <= 13 AND prob BETWEEN 0.85 AND 1000 AND delta_q BETWEEN 2.8 AND 1000", "ext", "ASC", 30),
     "asteroid_single": ("arc_length > 11 AND num_obs > 7 AND prob > 0.98 AND tj > 3.05 AND ext < 0.07 AND period < 20", "delta_q", "DESC", 20),
@@ -43,7 +43,7 @@ WHERE = {
     "transition": ("(arc_length > 11 OR arc_length IS NULL) AND num_obs > 7 AND ext < 0.5 AND a BETWEEN 4.05 AND 5.05 AND tj < 3.05 AND prob > 0.8 AND period < 20", "poisson", "ASC", 10),
     "faint_deficit": (f"{A7} AND a BETWEEN 1.05 AND 20 AND ext BETWEEN 0 AND 0.65 AND prob > 0.999 AND v_avg - v_min < 3 AND delta_q BETWEEN 3 AND 1000", "v_avg", "ASC", 30),
     "faint_single": ("(arc_length >= 3 OR arc_length IS NULL) AND a BETWEEN 1.05 AND 20 AND num_opps = 1 AND ext BETWEEN 0 AND 0.9 AND prob > 0.99 AND v_avg - v_min < 2.5 AND yr > 1992 AND delta_q BETWEEN 1 AND 1000", "v_avg", "ASC", 30),
-    "faint_certain": ("(arc_length >= 3 OR arc_length IS NULL) AND a BETWEEN 1.05 AND 20 AND num_opps = 1 AND ext BETWEEN 0 AND 0.6 AND prob > 0.9998 AND v_avg - v_min < 2.5 AND u <> 9 AND yr > 1992 AND delta_q BETWEEN 1 AND 1000", "v_avg", "ASC", 30),
+    "faint_certain": ("(arc_length >= 3 OR arc_length IS NULL) AND a BETWEEN 1.05 AND 20 AND num_opps = 1 AND ext BETWEEN 0 AND 0.6 AND prob > 0.9998 AND v_avg - v_min < 2.5 AND u IS DISTINCT FROM 9 AND yr > 1992 AND delta_q BETWEEN 1 AND 1000", "v_avg", "ASC", 30),
     "faint_comets": (f"{A7} AND a BETWEEN 1.05 AND 8 AND q BETWEEN 1.05 AND 20 AND tj BETWEEN 2 AND 3.03 AND num_opps BETWEEN 0 AND 1.5 AND prob BETWEEN 0.75 AND 1 AND ext BETWEEN 0 AND 0.6 AND v_avg - v_min < 3 AND delta_q BETWEEN 0.9 AND 1000", "v_avg", "ASC", 30),
     "four_nighters": ("arc_length > 7 AND num_obs > 7 AND prob > 0.9988 AND a > 1.1 AND ext > 0.15 AND nights > 3 AND period < 20", "delta_q", "DESC", 20),
     "high_ext": ("arc_length > 7 AND num_obs > 7 AND prob > 0.9999 AND ext > 0.15 AND ext < 0.6 AND period < 20", "ext", "ASC", 20),
@@ -62,7 +62,7 @@ WHERE = {
     "decision_space": (f"{A7} AND a BETWEEN 1.15 AND 20 AND ext BETWEEN 0 AND 0.002 AND num_opps = 1", "delta_q", "DESC", None),
     "sample_mislinked": ("ext > 0.8 AND prob > 0.999 AND u < 9 AND num_opps > 1 AND NOT starts_with(name, '2010')", "draw", "ASC", 5),
     "sample_uncertain": ("ext > 0.8 AND prob > 0.999 AND arc_length < 6 AND NOT starts_with(name, '2010')", "draw", "ASC", 5),
-    "sample_long_arc": ("ext > 0.8 AND prob > 0.999 AND arc_length > 25 AND NOT starts_with(name, '2010')", "draw", "ASC", 5),
+    "sample_long_arc": ("ext > 0.8 AND prob > 0.999 AND arc_length > 25 AND NOT starts_with(name, '2010')", "draw", "ASC", 1_000_000_000),
     "sample_secure": ("ext < 0.001 AND prob > 0.998 AND num_opps = 1 AND NOT starts_with(name, '2010')", "draw", "ASC", 5),
 }
 

@@ -42,7 +42,10 @@ def metrics(df: DataFrame, names: dict[str, bool]) -> DataFrame:
 
 def separability(rows: DataFrame) -> DataFrame:
     """Per metric of metrics(): how far down the worst positive lies and what is above it. Ties go by desig."""
-    ordered = rows.withColumn("r", F.row_number().over(Window.partitionBy("metric").orderBy(c("s").desc(), "desig")))
+    rows = rows.withColumn("_down", -c("s"))
+    above = ranked(rows.groupBy("metric", "_down").agg(F.count("*").alias("m")), "metric", "_down", "m").select("metric", "_down", "before")
+    among = F.row_number().over(Window.partitionBy("metric", "_down").orderBy("desig"))  # rows of one score only
+    ordered = rows.join(above, ["metric", "_down"]).withColumn("r", c("before") + among).drop("before", "_down")
     worst = ordered.groupBy("metric").agg(F.sum(c("label").cast("long")).alias("n_positives"), F.max(F.when(c("label"), c("r"))).alias("rank_of_worst"))
     rows = ordered.join(worst, "metric").filter("n_positives > 0")
     top = c("r") <= c("n_positives")

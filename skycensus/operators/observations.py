@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +16,11 @@ BANDS = {
 }
 
 
-def dedupe(obs: DataFrame) -> DataFrame:
-    """The first line of each (obj, t) stays. Rows are dealt by object alone, so all windows and groups by obj that follow go on from there."""
+def dedupe(obs: DataFrame, dealt: bool = False) -> DataFrame:
+    """The first line of each (obj, t) stays. Rows are dealt by object alone, if they aren't `dealt` so, and all windows and groups by obj that follow go on from there."""
     at = F.row_number().over(Window.partitionBy("obj", "t").orderBy("line_no"))
-    return obs.repartition("obj").withColumn("_n", at).filter("_n = 1").drop("_n")
+    rows = obs if dealt else obs.repartition("obj")
+    return rows.withColumn("_n", at).filter("_n = 1").drop("_n")
 
 
 def gaps(obs: DataFrame, opposition: float = OPPOSITION_GAP) -> DataFrame:
@@ -56,9 +59,38 @@ def runs(obs: DataFrame, day: float = NIGHT) -> DataFrame:
     return per.withColumn("last", F.max("run").over(Window.partitionBy("obj"))).filter("run < last and total > 0").select("obj", "run", "is_day", "total")
 
 
-def stats(obs: DataFrame) -> DataFrame:
+#: What magnitudes() and majority_station() give, under the names that reduced() has.
+PHOTOMETRY = ("v_min", "v_second_min", "v_max", "v_second_max", "v_avg", "majority_station")
+
+
+def _photometry_of_segment() -> list[Column]:
+    """Two least and two greatest v_mag of a segment, their sum and number, and rows per station."""
+    mags, stations = F.sort_array(F.collect_list("v_mag")), F.collect_list(F.when(F.trim("station") != "", F.trim("station")))
+    return [F.slice(mags, 1, 2).alias("low"), F.slice(F.reverse(mags), 1, 2).alias("high"), F.sum("v_mag").alias("v_sum"), F.count("v_mag").alias("v_n"), stations.alias("stations")]
+
+
+def _photometry_of_object() -> list[Column]:
+    every = lambda name: F.flatten(F.collect_list(name))
+    return [F.sort_array(every("low")).alias("low"), F.sort_array(every("high"), asc=False).alias("high"), (F.sum("v_sum") / F.nullif(F.sum("v_n"), F.lit(0))).alias("v_avg"), every("stations").alias("stations")]
+
+
+def _photometry() -> list[Column]:
+    c, first = F.col, lambda name, k: F.get(name, F.lit(k))
+    rows = F.aggregate("stations", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("string").alias("station")), lambda best, r: F.when((r["n"] > best["n"]) | ((r["n"] == best["n"]) & (r["station"] < best["station"])), r).otherwise(best))
+    return [first("low", 0).alias("v_min"), first("low", 1).alias("v_second_min"), first("high", 0).alias("v_max"), first("high", 1).alias("v_second_max"), c("v_avg"), rows["station"].alias("majority_station")]
+
+
+def _counted(stations: Column | str, n: Callable[[Column], Column], name: Callable[[Column], Column]) -> Column:
+    """(n, station) of each station once, from an array whose items stand for n rows of a station."""
+    names = F.array_distinct(F.transform(stations, name))
+    return F.transform(names, lambda x: F.struct(F.aggregate(F.filter(stations, lambda r: name(r) == x), F.lit(0).cast("bigint"), lambda s, r: s + n(r)).alias("n"), x.alias("station")))
+
+
+def stats(obs: DataFrame, photometry: bool = False) -> DataFrame:
     """Oppositions, nights, arcs and gaps of each object; a missing arc or gap is 0. One exchange, by object.
 
+    With photometry (v_mag and station needed) also PHOTOMETRY, from the same grouping.
+
     Rows are summed up by (obj, segment, run) first, so that a night count sees one segment's times at most; the parts of a
     segment and of a run are then put together per object.
     """
@@ -66,15 +98,23 @@ def stats(obs: DataFrame) -> DataFrame:
     parts = marked(obs).groupBy("obj", "segment").agg(
         F.sort_array(F.collect_list("t")).alias("ts"), F.min("t").alias("first"), F.max("t").alias("last"), F.max("gap").alias("gap"),
         F.max("run").alias("last_run"), F.collect_list(F.when(c("gap").isNotNull(), F.struct("run", "is_day", "gap"))).alias("gaps"),
+        *(_photometry_of_segment() if photometry else []),
     )
+    more = []
+    if photometry:
+        parts = parts.withColumn("stations", _counted("stations", lambda r: F.lit(1).cast("bigint"), lambda r: r))
+        more = ["low", "high", "v_sum", "v_n", "stations"]
     # a segment begins at its opposition gap, the greatest it has; runs of a segment are summed before segments meet
     sums = F.transform(F.array_distinct(F.transform("gaps", lambda g: g["run"])), lambda r: F.struct(r.alias("run"), F.aggregate(F.filter("gaps", lambda g: g["run"] == r), F.struct(F.lit(False).alias("is_day"), F.lit(0.0).alias("total")), lambda s, g: F.struct(g["is_day"].alias("is_day"), (s["total"] + g["gap"]).alias("total"))).alias("s")))
-    seg = parts.select("obj", "segment", "first", "last", "last_run", (c("last") - c("first")).alias("arc"), nights(c("ts")).alias("nights"), F.when(c("gap") >= OPPOSITION_GAP, c("gap")).alias("gap"), sums.alias("runs"))
+    seg = parts.select("obj", "segment", "first", "last", "last_run", (c("last") - c("first")).alias("arc"), nights(c("ts")).alias("nights"), F.when(c("gap") >= OPPOSITION_GAP, c("gap")).alias("gap"), sums.alias("runs"), *more)
     whole = seg.groupBy("obj").agg(
         (F.max("last") - F.min("first")).alias("total_arc"), zero(F.max("gap")).alias("longest_opp_gap"), zero(F.min("gap")).alias("shortest_opp_gap"), F.max("segment").alias("opposition_count"), F.sum("nights").alias("nights_total"),
         F.sort_array(F.collect_list("nights"), asc=False).alias("tops"), zero(F.max(F.when(c("arc") > 0, c("arc")))).alias("longest_opp_arc"), zero(F.min(F.when(c("arc") > 0, c("arc")))).alias("shortest_opp_arc"),
         F.max("last_run").alias("end"), F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"),
+        *(_photometry_of_object() if photometry else []),
     )
+    if photometry:
+        whole = whole.withColumn("stations", _counted("stations", lambda r: r["n"], lambda r: r["station"]))
     # only a run of gaps can go on over segments: parts of one run are neighbours in order of the run
     start = F.struct(F.lit(-1).cast("bigint").alias("run"), F.lit(0.0).alias("sum"), F.lit(False).alias("day"), F.lit(0.0).alias("d"), F.lit(0.0).alias("g1"), F.lit(0.0).alias("g2"), F.lit(None).cast("double").alias("g0"))
 
@@ -94,6 +134,7 @@ def stats(obs: DataFrame) -> DataFrame:
     return out.select(
         "obj", "total_arc", "longest_opp_gap", "shortest_opp_gap", "opposition_count", "nights_total", F.get("tops", F.lit(0)).alias("opp_with_most_nights"), F.coalesce(F.get("tops", F.lit(1)), F.lit(0)).alias("opp_with_second_most_nights"),
         "longest_opp_arc", "shortest_opp_arc", c("f.d").alias("longest_day_arc"), c("f.g1").alias("longest_gap_arc"), c("f.g2").alias("second_longest_gap_arc"), zero(c("f.g0")).alias("shortest_gap_arc"), (c("nights_total") - F.get("tops", F.lit(0))).alias("other_opps"),
+        *(_photometry() if photometry else []),
     )
 
 
@@ -117,11 +158,11 @@ def correct_bands(obs: DataFrame, shifts: dict[str, float] | None = None) -> Dat
     return obs.withColumn("v_mag", F.col("mag") + F.coalesce(F.try_element_at(pairs, F.col("band")), F.lit(0.0)))
 
 
-def reduced(obs: DataFrame) -> DataFrame:
-    """All statistics of an object: arcs and nights, magnitudes in V and the majority station, from (line_no, obj, t, mag, band, station)."""
-    rows = dedupe(obs)
-    station = majority_station(rows).withColumnRenamed("station", "majority_station")
-    return stats(rows).join(magnitudes(correct_bands(rows)), "obj", "left").join(station, "obj", "left")
+def reduced(obs: DataFrame, dealt: bool = False) -> DataFrame:
+    """All statistics of an object: arcs and nights, magnitudes in V and the majority station, from (line_no, obj, t, mag, band, station).
+
+    One exchange of the rows, by object; none if they are `dealt` by object already, as lines() gives them."""
+    return stats(correct_bands(dedupe(obs, dealt)), photometry=True)
 
 
 #: First places and lengths of the fields of an 80-column line.
@@ -132,10 +173,10 @@ def lines(text: DataFrame, value: str = "value") -> DataFrame:
     """line_no, obj, t (days from 1970-01-01), mag, band, station of 80-column lines (line_no, value).
 
     Of lines alike in object and time text the first stays, before dates are read; a line without a date or fraction of a
-    day is then left out, one under 71 characters or with a bad magnitude has none.
+    day is then left out, one under 71 characters or with a bad magnitude has none. Rows come dealt by object.
     """
     part = lambda name: F.substring(value, *LINE[name])
-    rows = text.select("line_no", *[part(k).alias(k) for k in LINE], F.length(value).alias("n"))
+    rows = text.select("line_no", *[part(k).alias(k) for k in LINE], F.length(value).alias("n")).repartition("obj")
     at = F.row_number().over(Window.partitionBy("obj", "date", "part").orderBy("line_no"))
     rows = rows.withColumn("_n", at).filter("_n = 1")
     day = F.when(F.col("date").rlike("^[0-9]{4} [0-9 ][0-9] [0-9 ][0-9]$"), F.try_to_date(F.concat_ws("-", F.substring("date", 1, 4), *[F.replace(F.substring("date", k, 2), F.lit(" "), F.lit("0")) for k in (6, 9)]), "yyyy-MM-dd"))

@@ -132,10 +132,10 @@ def alias_rewrite(spark, sf_dir):
     return observations.renamed(rows, [observations.aliases(ids), observations.aliases(nums, 6)]).select("line_no", "obj")
 
 
-@query(f"WITH {LINES}, v AS (SELECT obj, mag + {SHIFT} AS mag, station FROM obs), l AS (SELECT obj, list_sort(list(mag) FILTER (mag IS NOT NULL)) AS m, avg(mag) AS v FROM v GROUP BY obj), st AS (SELECT obj, station FROM (SELECT obj, station, count(*) AS n FROM v WHERE station <> '' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY obj ORDER BY n DESC, station) = 1), a AS (SELECT obj, max(t) - min(t) AS total_arc FROM obs GROUP BY obj) SELECT obj, round(total_arc, 6) AS total_arc, round(m[1], 6) AS v_min, CASE WHEN len(m) > 1 THEN round(m[-2], 6) END AS v_second_max, round(v, 6) AS v_avg, station AS majority_station FROM a LEFT JOIN l USING (obj) LEFT JOIN st USING (obj)")
+@query(f"WITH {LINES}, v AS (SELECT obj, mag + {SHIFT} AS mag, station FROM obs), l AS (SELECT obj, list_sort(list(mag) FILTER (mag IS NOT NULL)) AS m, avg(mag) AS v FROM v GROUP BY obj), st AS (SELECT obj, station FROM (SELECT obj, station, count(*) AS n FROM v WHERE station <> '' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY obj ORDER BY n DESC, station) = 1), a AS (SELECT obj, max(t) - min(t) AS total_arc FROM obs GROUP BY obj) SELECT obj, round(total_arc, 6) AS total_arc, round(m[1], 6) AS v_min, round(m[2], 6) AS v_second_min, round(m[-1], 6) AS v_max, CASE WHEN len(m) > 1 THEN round(m[-2], 6) END AS v_second_max, round(v, 6) AS v_avg, station AS majority_station FROM a LEFT JOIN l USING (obj) LEFT JOIN st USING (obj)")
 def obs_reduced(spark, sf_dir):
     """The whole reduction from 80-column lines to one row per object."""
-    return rounded(observations.reduced(observations.lines(obs_text(spark, sf_dir))).select("obj", "total_arc", "v_min", "v_second_max", "v_avg", "majority_station"))
+    return rounded(observations.reduced(observations.lines(obs_text(spark, sf_dir)), dealt=True).select("obj", "total_arc", "v_min", "v_second_min", "v_max", "v_second_max", "v_avg", "majority_station"))
 
 
 @query("WITH p AS (SELECT DISTINCT o_orderkey % 20000 AS k FROM orders), q AS (SELECT k, 1800 + (k * 7) % 250 AS y, substring('ABCDEFGHJKLMNOPQRSTUVWXY', (k % 24)::INT + 1, 1) AS half, substring('ABCDEFGHJKLMNOPQRSTUVWXYZ', (k % 25)::INT + 1, 1) AS second, (k * 13) % 620 AS n FROM p) SELECT k, CASE k % 4 WHEN 3 THEN (1000 + k % 9000)::VARCHAR || ' ' || ['P-L', 'T-1', 'T-2', 'T-3'][(k % 16 // 4)::INT + 1] ELSE y::VARCHAR || ' ' || half || second || CASE WHEN n > 0 THEN n::VARCHAR ELSE '' END END AS name FROM q WHERE k % 4 <> 2 UNION ALL SELECT k, (k * 31 % 620000)::VARCHAR FROM q WHERE k % 4 = 2")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skycensus.operators.observations import unpacked
+
 c = F.col
 
 
@@ -25,6 +27,24 @@ def flagged(orb: DataFrame, always: DataFrame, unless: DataFrame) -> DataFrame:
     return rows.withColumn("filtered_out", F.coalesce("_a", F.lit(False)) | F.coalesce("_u", F.lit(False))).drop("_a", "_u")
 
 
+def with_observations(orb: DataFrame, stats: DataFrame) -> DataFrame:
+    """orb with the statistics of its objects' observations, null where there are none; stats' obj is a packed name, or the name itself.
+
+    Of several rows that read as one name that of the most nights, then of the longest arc, counts; orb keeps its rows and its
+    own columns where names clash.
+    """
+    rest = [n for n in stats.columns if n not in orb.columns and n != "obj"]
+    named = stats.withColumn("_name", F.coalesce(unpacked(F.trim("obj")), F.trim("obj")))
+    one = named.groupBy("_name").agg(F.max_by(F.struct(*rest), F.struct("nights_total", "total_arc")).alias("_s"))
+    rows = orb.join(one, c("desig") == c("_name"), "left")
+    return rows.select(*[c(n) for n in orb.columns], *[c(f"_s.{n}").alias(n) for n in rest])
+
+
+def with_scores(orb: DataFrame, scores: DataFrame) -> DataFrame:
+    """orb with ext of an earlier run (desig, ext), null where it has none; of several the greatest counts."""
+    return orb.drop("ext").join(scores.groupBy("desig").agg(F.max("ext").alias("ext")), "desig", "left")
+
+
 def external_elements(other: DataFrame) -> DataFrame:
     """Mean motion, perihelion, aphelion, epoch and a readable name of an external catalog (name, epoch_mjd, a, e)."""
     name = F.replace("name", F.lit("'"), F.lit(""))

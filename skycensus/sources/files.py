@@ -87,6 +87,17 @@ def stats_json(spark: SparkSession, path: str, schema: str, key: str = "desig")
     return keyed_json(spark.read.text(path, wholetext=True), schema, key)
 
 
+def write_stats(df: DataFrame, path: str, key: str = "desig") -> None:
+    """Statistics as text, a JSON object {key: {statistics}} a line; nulls are left out. Each task writes its rows."""
+    rest = F.struct(*[c for c in df.columns if c != key])
+    df.select(F.to_json(F.create_map(F.col(key).cast("string"), rest)).alias("value")).write.mode("overwrite").text(path)
+
+
+def stats_lines(spark: SparkSession, path: str, schema: str, key: str = "desig") -> DataFrame:
+    """What write_stats() wrote, read line by line."""
+    return keyed_json(spark.read.text(path), schema, key)
+
+
 def snapshot(df: DataFrame, path: str) -> DataFrame:
     """Write df as zstd parquet and read it again."""
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)

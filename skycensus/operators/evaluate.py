@@ -174,6 +174,51 @@ def neutrality(solved: DataFrame, sigma: float = 0.45) -> DataFrame:
     return solved.withColumns({"h_neutral": c("h") + c("delta"), "z_h": c("delta") / sigma})
 
 
+def solve_by(df: DataFrame, score: Callable[[Column], Column], target: str, most: float = 15.0, rounds: int = 12) -> DataFrame:
+    """As solve(), of a score that is an expression of h: all rounds in one expression, so that the plan doesn't grow with them."""
+    over = lambda h: F.coalesce(score(h) > c(target), F.lit(False))
+    middle = lambda s: (s["lo"] + s["hi"]) / 2
+    pair = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    def halved(s, _):
+        high = over(c("h") + middle(s))
+        return pair(F.when(high, middle(s)).otherwise(s["lo"]), F.when(high, s["hi"]).otherwise(middle(s)))
+
+    rows = df.withColumn("score_at_h", score(c("h")))
+    invalid, high = F.isnull("score_at_h") | F.isnull(target), F.coalesce(c("score_at_h") > c(target), F.lit(False))
+    rows = rows.withColumns({"invalid": invalid, "already_neutral": ~high & ~invalid, "censored": high & over(c("h") + most)})
+    least = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), pair(F.lit(0.0), F.lit(most)), halved, lambda s: s["hi"])
+    return rows.withColumn("delta", F.when(c("invalid"), None).when(c("already_neutral"), 0.0).when(c("censored"), most).otherwise(least))
+
+
+def neutrality_table(df: DataFrame, solves: dict[str, Callable[[DataFrame], DataFrame]], sigma: Column | float = 0.45) -> DataFrame:
+    """df with, for each name in solves, full_<name>, dh_<name>, censored_<name> and invalid_<name>; h_neutral and z_h by the primary one.
+
+    A solve takes rows and gives them with what solve() or solve_by() adds; its score works out all that hangs on h anew, the
+    scores that it rests on included. The primary shift is that of 'q' where it is asked for, else that of the first name. A null h,
+    score or target gives null shifts and invalid. `sigma`: deviation of h, one or by row.
+    """
+    rows = df
+    for name, f in solves.items():
+        rows = f(rows).select(*rows.columns, c("score_at_h").alias(f"full_{name}"), c("delta").alias(f"dh_{name}"), c("censored").alias(f"censored_{name}"), c("invalid").alias(f"invalid_{name}"))
+    primary = c("dh_q" if "q" in solves else f"dh_{next(iter(solves))}")
+    return rows.withColumns({"h_neutral": c("h") + primary, "z_h": primary / sigma})
+
+
+def neutral_candidates(final: DataFrame, score_fn: Callable[[DataFrame], DataFrame], prob: float = 0.998, ext: float = 0.5, most: int = 250) -> DataFrame:
+    """place, desig and what h_grid() finds for the objects of high prob and low ext, the first `most` of them by priority.
+
+    Priority: quantile_opps less num_opps less 15.5 ext, ties by desig. In the table those within tolerance come first, then the
+    greatest brightening, then the highest priority.
+    """
+    priority = c("quantile_opps") - c("num_opps") - 15.5 * c("ext")
+    some = final.filter((c("prob") >= prob) & (c("ext") <= ext) & c("num_opps").isNotNull() & c("h").isNotNull()).withColumn("priority", priority)
+    some = some.orderBy(c("priority").desc_nulls_last(), "desig").limit(most)
+    got = h_grid(some, score_fn, "num_opps").join(some.select("desig", "h", "num_opps", "ext", "prob", "priority"), "desig")
+    order = Window.orderBy(F.desc("within"), F.desc("h_change"), F.desc("priority"), "desig")  # at most `most` rows
+    return got.withColumn("place", F.row_number().over(order))
+
+
 def archival(table: DataFrame, limits: DataFrame) -> DataFrame:
     """Margin of an archival limit (desig, h_limit; the faintest counts) over h_neutral, and whether it supports the shift."""
     best = limits.groupBy("desig").agg(F.max("h_limit").alias("h_limit"))

@@ -168,6 +168,42 @@ def dh_solve(spark, sf_dir):
     return rounded(got.select("desig", "invalid", "already_neutral", "censored", "delta", "h_neutral", "z_h"), 12)  # halves of halves end in ties at fewer places
 
 
+def _bright(h):
+    """brightness() as an expression of h."""
+    least = lambda x: F.greatest(x, F.lit(0.001))
+    return 1 + 14 / (1 + F.exp(5 * F.log10(least(c("a")) * least(c("a") - 1)) + h - 21.0))
+
+
+#: Three scores of the same brightness, as a mean, a low quantile and odds come from three models, and their targets.
+SCORES = {"e": (_bright, "num_opps"), "q": (lambda h: _bright(h) * 0.6, "num_opps"), "p": (lambda h: 1 / (1 + F.exp(4 - _bright(h))), "even")}
+
+
+def _solved_sql(name: str, score: str, target: str) -> str:
+    at = lambda x: score.format(_SCORE.format(x))
+    return f""" z{name} AS (SELECT desig, h, a, {target} AS target, {at('h')} AS s_h, {at('h + 15.0')} AS s_end, 0.0::DOUBLE AS lo, 15.0::DOUBLE AS hi, 0 AS k FROM final),
+ y{name} AS (SELECT * FROM z{name} UNION ALL SELECT * REPLACE (CASE WHEN {at('h + (lo+hi)/2')} > target THEN (lo+hi)/2 ELSE lo END AS lo, CASE WHEN {at('h + (lo+hi)/2')} > target THEN hi ELSE (lo+hi)/2 END AS hi, k + 1 AS k) FROM y{name} WHERE k < 12),
+ x{name} AS (SELECT desig, h, s_h, s_h IS NULL AS invalid, coalesce(s_h > target AND s_end > target, false) AS censored, CASE WHEN s_h IS NULL THEN NULL WHEN s_h <= target THEN 0.0 WHEN s_end > target THEN 15.0 ELSE hi END::DOUBLE AS dh FROM y{name} WHERE k = 12)"""
+
+
+@query(f"WITH RECURSIVE {FINAL}," + ",".join([_solved_sql("e", "{}", "num_opps"), _solved_sql("q", "({} * 0.6)", "num_opps"), _solved_sql("p", "(1/(1 + exp(4 - {})))", "0.5")]) + """ SELECT xe.desig, round(xe.s_h, 6) AS full_e, round(xe.dh, 12) AS dh_e, xe.censored AS censored_e, xe.invalid AS invalid_e, round(xq.s_h, 6) AS full_q, round(xq.dh, 12) AS dh_q, xq.censored AS censored_q, xq.invalid AS invalid_q,
+ round(xp.s_h, 6) AS full_p, round(xp.dh, 12) AS dh_p, xp.censored AS censored_p, xp.invalid AS invalid_p, round(xe.h + xq.dh, 12) AS h_neutral, round(xq.dh / 0.45, 12) AS z_h FROM xe JOIN xq USING (desig) JOIN xp USING (desig)""")
+def neutrality_table(spark, sf_dir):
+    """Shifts of h by all three scores; z_h and h_neutral by that of the low quantile."""
+    rows = fx.final(spark, sf_dir).withColumn("even", F.lit(0.5))
+    got = evaluate.neutrality_table(rows, {k: lambda df, f=f, to=to: evaluate.solve_by(df, f, to) for k, (f, to) in SCORES.items()})
+    fine = {k: F.round(k, 12) for k in (*[f"dh_{k}" for k in SCORES], "h_neutral", "z_h")}  # halves of halves end in ties at fewer places
+    coarse = {f"full_{k}": F.round(f"full_{k}", 6) for k in SCORES}
+    return got.withColumns(fine | coarse).select("desig", *[f"{x}_{k}" for k in SCORES for x in ("full", "dh", "censored", "invalid")], "h_neutral", "z_h")
+
+
+@query(f"""WITH {FINAL}, pick AS (SELECT *, quantile_opps - num_opps - 15.5*ext AS priority FROM final WHERE prob >= 0.998 AND ext <= 0.5 AND h IS NOT NULL ORDER BY priority DESC, desig LIMIT 250),
+ g AS (SELECT *, unnest(range(501)) AS k FROM pick), s AS (SELECT *, 5.0::DOUBLE + k*0.05::DOUBLE AS gh, abs({_SCORE.format('(5.0::DOUBLE + k*0.05::DOUBLE)')} - num_opps) AS residual FROM g),
+ r AS (SELECT *, row_number() OVER (PARTITION BY desig ORDER BY residual > 0.5, CASE WHEN residual <= 0.5 THEN abs(gh - h) ELSE residual END, k) AS rn FROM s)
+ SELECT row_number() OVER (ORDER BY residual <= 0.5 DESC, gh - h DESC, priority DESC, desig) AS place, desig, {r6(h='h', h_neutral='gh', h_change='gh - h', residual='residual', ext='ext', prob='prob', priority='priority')}, residual <= 0.5 AS within, num_opps::BIGINT AS num_opps FROM r WHERE rn = 1""")
+def neutral_candidates(spark, sf_dir):
+    return rounded(evaluate.neutral_candidates(fx.final(spark, sf_dir), brightness))
+
+
 @query(f"WITH RECURSIVE {SOLVE}, l AS (SELECT desig, max(h + 3.0) AS h_limit FROM final WHERE desig % 4 = 0 GROUP BY desig) SELECT desig, round(h_limit - (h + delta::DOUBLE), 12) + 0.0 AS margin, coalesce(h_limit - (h + delta::DOUBLE) >= 0, false) AS supported FROM sol LEFT JOIN l USING (desig)")
 def archival_consistency(spark, sf_dir):
     final = fx.final(spark, sf_dir)

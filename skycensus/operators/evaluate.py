@@ -196,13 +196,13 @@ def neutrality_table(df: DataFrame, solves: dict[str, Callable[[DataFrame], Data
 
     A solve takes rows and gives them with what solve() or solve_by() adds; its score works out all that hangs on h anew, the
     scores that it rests on included. The primary shift is that of 'q' where it is asked for, else that of the first name. A null h,
-    score or target gives null shifts and invalid. `sigma`: deviation of h, one or by row.
+    score or target gives null shifts and invalid. `sigma`: deviation of h, one or by row; 0 gives no z_h.
     """
     rows = df
     for name, f in solves.items():
         rows = f(rows).select(*rows.columns, c("score_at_h").alias(f"full_{name}"), c("delta").alias(f"dh_{name}"), c("censored").alias(f"censored_{name}"), c("invalid").alias(f"invalid_{name}"))
     primary = c("dh_q" if "q" in solves else f"dh_{next(iter(solves))}")
-    return rows.withColumns({"h_neutral": c("h") + primary, "z_h": primary / sigma})
+    return rows.withColumns({"h_neutral": c("h") + primary, "z_h": primary / F.nullif(F.lit(sigma), F.lit(0.0))})
 
 
 def neutral_candidates(final: DataFrame, score_fn: Callable[[DataFrame], DataFrame], prob: float = 0.998, ext: float = 0.5, most: int = 250) -> DataFrame:

@@ -316,3 +316,69 @@ def count_expected(fits: DataFrame, most: int) -> DataFrame:
     logs = F.aggregate(F.sequence(F.lit(0), y), F.lit(0.0), lambda s, j: s + F.when(j > 1, F.ln(j)).otherwise(0.0))
     f = F.when(t > 0, F.exp(y * F.ln("mu") + (y - 1) * F.ln(t) - y * F.ln(up) - logs - c("mu") * t / up)).when(t <= 0, 0.0)
     return rows.withColumn("expected", c("n") * ((1 - c("inflation")) * f + F.when(y == 0, c("inflation")).otherwise(0.0)))
+
+
+# search over slots
+
+State = tuple[tuple[str, float], ...]
+
+
+def drawn(rng: np.random.Generator, families: list[str], low: float, high: float, slots: tuple[int, int]) -> State:
+    """A state of random slots (family, shift)."""
+    return tuple((families[rng.integers(len(families))], float(rng.uniform(low, high))) for _ in range(rng.integers(slots[0], slots[1] + 1)))
+
+
+def moved(rng: np.random.Generator, state: State, families: list[str], low: float, high: float, slots: tuple[int, int], spread: float) -> tuple[str, State]:
+    """(move, state): up to three slots shifted, one added, one removed, or one of another family in its place; a move that the bounds forbid is not drawn."""
+    moves = {"mutate": 0.55, "add": 0.15 * (len(state) < slots[1]), "remove": 0.15 * (len(state) > slots[0]), "swap": 0.15 * (len(families) > 1)}
+    move = str(rng.choice(list(moves), p=np.array(list(moves.values())) / sum(moves.values())))
+    out, at = list(state), int(rng.integers(len(state)))
+    if move == "mutate":
+        for k in rng.choice(len(out), rng.integers(1, min(3, len(out)) + 1), replace=False):
+            out[k] = (out[k][0], float(np.clip(out[k][1] + rng.normal(0, spread), low, high)))
+    elif move == "add":
+        out += drawn(rng, families, low, high, (1, 1))
+    elif move == "remove":
+        del out[at]
+    else:
+        others = [f for f in families if f != out[at][0]]
+        out[at] = (others[rng.integers(len(others))], float(rng.uniform(low, high)))
+    return move, tuple(out)
+
+
+def scored_states(df: DataFrame, states: list[State], predict: Callable[[State], Column], y: Column) -> list[tuple[float, float, float]]:
+    """(rmse, mean Poisson deviance, r2) of each state's prediction, not under 1e-3, from one pass for all; rows whose y or prediction is null don't count."""
+    made = df.withColumns({"_y": y.cast("double"), **{f"_m{k}": predict(s) for k, s in enumerate(states)}})
+    named = made.withColumns({f"_m{k}": F.when(c(f"_m{k}") > 1e-3, c(f"_m{k}")).when(c(f"_m{k}").isNotNull(), 1e-3) for k in range(len(states))})
+    sums = []
+    for k in range(len(states)):
+        m, use = c(f"_m{k}"), c("_y").isNotNull() & c(f"_m{k}").isNotNull()
+        error = F.when(use, (c("_y") - m) * (c("_y") - m))
+        dev = F.when(use, 2 * (F.when(c("_y") > 0, c("_y") * F.ln(c("_y") / m)).otherwise(0.0) - c("_y") + m))
+        sums += [F.avg(error).alias(f"e{k}"), F.avg(dev).alias(f"d{k}"), F.var_pop(F.when(use, c("_y"))).alias(f"v{k}")]
+    r = named.agg(*sums).first()
+    none = float("nan")
+    return [(r[f"e{k}"] ** 0.5, r[f"d{k}"], 1 - r[f"e{k}"] / r[f"v{k}"] if r[f"v{k}"] else none) if r[f"e{k}"] is not None else (none, none, none) for k in range(len(states))]
+
+
+def slot_search(df: DataFrame, predict: Callable[[State], Column], y: Column, families: list[str], low: float, high: float, slots: tuple[int, int] = (1, 4), rounds: int = 6, batch: int = 8, segments: int = 2, spread: float = 0.3, seed: int = 0) -> list[dict]:
+    """The history of a seeded search: from a random state of each segment, `batch` moves a round, all scored in one pass over the rows.
+
+    A trial is accepted if it beats the state at the round's start on two of rmse, deviance and r2; the accepted one of the least
+    deviance (of equals the first) is where the next round starts. What reaches the driver are three numbers a trial.
+    """
+    rng, out = np.random.default_rng(seed), []
+    for segment in range(segments):
+        state = drawn(rng, families, low, high, slots)
+        (now,) = scored_states(df, [state], predict, y)
+        out.append({"segment": segment, "round": 0, "trial": 0, "move": "start", "state": state, "rmse": now[0], "deviance": now[1], "r2": now[2], "accepted": True})
+        for k in range(1, rounds + 1):
+            trials = [moved(rng, state, families, low, high, slots, spread) for _ in range(batch)]
+            scores, kept = scored_states(df, [s for _, s in trials], predict, y), None
+            for t, ((move, s), x) in enumerate(zip(trials, scores, strict=True)):
+                good = (x[0] < now[0]) + (x[1] < now[1]) + (x[2] > now[2]) >= 2
+                out.append({"segment": segment, "round": k, "trial": t, "move": move, "state": s, "rmse": x[0], "deviance": x[1], "r2": x[2], "accepted": good})
+                if good and (kept is None or x[1] < kept[1][1]):
+                    kept = (s, x)
+            state, now = kept or (state, now)
+    return out

@@ -134,3 +134,34 @@ def count_law_against_observed(spark, sf_dir):
 
 def _counts(spark, sf_dir) -> DataFrame:
     return fx.final(spark, sf_dir).select((c("desig") % 3).alias("grp"), (c("num_opps") - 1).cast("long").alias("y"))
+
+
+FAMILIES = {"mean": lambda: c("a"), "near": lambda: c("q"), "far": lambda: c("aphelion")}
+
+
+def _slots(state: search.State) -> Column:
+    """Counts that a survey expects of the mean of soft limits at the distances of the slots, each shifted."""
+    least = lambda x: F.greatest(x, F.lit(0.01))
+    seen = [8 / (1 + F.exp(c("h") + 5 * F.log10(least(FAMILIES[f]()) * least(FAMILIES[f]() - 1)) + d - 20)) for f, d in state]
+    return 0.5 + sum(seen[1:], seen[0]) / len(seen)
+
+
+def _history(spark, sf_dir) -> DataFrame:
+    rows = search.slot_search(fx.final(spark, sf_dir), _slots, c("num_opps") - 1, list(FAMILIES), -2.0, 2.0)
+    text = lambda s: ", ".join(f"{f}@{d:+.3f}" for f, d in s)
+    return spark.createDataFrame([(*[r[k] for k in ("segment", "round", "trial", "move")], text(r["state"]), *[r[k] for k in ("rmse", "deviance", "r2", "accepted")]) for r in rows], "segment bigint, round bigint, trial bigint, move string, state string, rmse double, deviance double, r2 double, accepted boolean")
+
+
+@query(None)
+def slot_search(spark, sf_dir):
+    return rounded(_history(spark, sf_dir))
+
+
+@query(None)
+def slot_search_history(spark, sf_dir):
+    """Tries, acceptances and the best deviance of each move and of each segment, with the segment's best state."""
+    rows = _history(spark, sf_dir)
+    best = rows.filter("accepted").groupBy("segment").agg(F.min_by("state", F.struct("deviance", "round", "trial")).alias("state"))
+    moves = evaluate.history(rows, "move").select(c("move").alias("part"), "tries", "accepts", "best", F.lit(None).cast("string").alias("state"))
+    parts = evaluate.history(rows, "segment").join(best, "segment").select(F.concat(F.lit("segment "), c("segment").cast("string")).alias("part"), "tries", "accepts", "best", "state")
+    return rounded(moves.unionByName(parts))

@@ -170,3 +170,47 @@ def test_count_fit_is_a_maximum(spark):
     fits = search.count_fit(spark.createDataFrame(rows, "grp string, y int"), "grp", "y")
     sums = {r.grp: r.s for r in search.count_expected(fits, 60).groupBy("grp").agg(F.sum("expected").alias("s")).collect()}
     assert all(sums[g] == pytest.approx(4000, abs=1) for g in draws)
+
+
+def test_slot_search_equals_plain_code(spark):
+    from skycensus.operators import search
+
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=200), rng.poisson(4, 200).astype(float)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)] + [(None, 1.0), (0.5, None)], "x double, y double").repartition(4)
+    predict = lambda s: F.exp(sum((d * (c("x") if f == "x" else c("x") * c("x")) for f, d in s), F.lit(1.0)) / len(s))
+    got = search.slot_search(df, predict, c("y"), ["x", "square"], -1.0, 1.0, slots=(1, 3), rounds=4, batch=5, segments=2, seed=11)
+    assert len(got) == 2 * (1 + 4 * 5) and got == search.slot_search(df, predict, c("y"), ["x", "square"], -1.0, 1.0, slots=(1, 3), rounds=4, batch=5, segments=2, seed=11)
+
+    def plain(s):
+        m = np.maximum(np.exp((1 + sum(d * (x if f == "x" else x * x) for f, d in s)) / len(s)), 1e-3)
+        dev = 2 * np.mean(np.where(y > 0, y * np.log(np.where(y > 0, y, 1) / m), 0) - y + m)
+        return tuple(map(float, (np.sqrt(np.mean((y - m) ** 2)), dev, 1 - np.mean((y - m) ** 2) / np.var(y))))
+
+    now = None
+    for segment in range(2):
+        for k in range(5):
+            rows = [r for r in got if (r["segment"], r["round"]) == (segment, k)]
+            for r in rows:
+                want = plain(r["state"])
+                assert (r["rmse"], r["deviance"], r["r2"]) == pytest.approx(want, abs=1e-9)
+                assert r["accepted"] == (k == 0 or (want[0] < now[0]) + (want[1] < now[1]) + (want[2] > now[2]) >= 2)
+                assert 1 <= len(r["state"]) <= 3 and all(-1 <= d <= 1 for _, d in r["state"])
+            good = [r for r in rows if r["accepted"]]
+            now = plain(min(good, key=lambda r: r["deviance"])["state"]) if good else now
+    assert {r["move"] for r in got} == {"start", "mutate", "add", "remove", "swap"}
+    none = search.scored_states(df.filter("x > 99"), [(("x", 0.1),)], predict, c("y"))
+    assert all(math.isnan(v) for v in none[0])
+
+
+def test_solve_by_equals_solve(spark):
+    from skycensus.operators import evaluate
+
+    df = spark.createDataFrame([(k, 10.0 + k / 3, float(k % 9)) for k in range(60)] + [(60, None, 1.0), (61, 12.0, None)], "desig long, h double, t double")
+    score = lambda h: 8 / (1 + F.exp(h - 20))
+    names = ["desig", "score_at_h", "delta", "censored", "already_neutral", "invalid"]
+    one = evaluate.solve_by(df, score, "t").select(*names).orderBy("desig").collect()
+    two = evaluate.solve(df, lambda rows: rows.withColumn("score", score(c("h"))), "t").select(*names).orderBy("desig").collect()
+    assert one == two and any(r.censored for r in one) and any(r.invalid for r in one)
+    both = evaluate.neutrality_table(df, {"e": lambda rows: evaluate.solve_by(rows, score, "t")}, c("t"))
+    assert [(r.dh_e, r.h_neutral) for r in both.orderBy("desig").collect()] == [(r.delta, None if r.delta is None or h is None else h + r.delta) for r, h in zip(one, [10.0 + k / 3 for k in range(60)] + [None, 12.0], strict=True)]

@@ -89,3 +89,21 @@ def spark():
     s = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     return s
+
+
+def test_statistics_and_scores_join_the_catalog(spark, tmp_path):
+    """Packed and plain names, two rows of one name, names that clash, objects without either, empty sides."""
+    from skycensus.operators import catalog
+
+    orb = spark.createDataFrame([("2020 AA1", 5.0, 0.5), ("433", 6.0, None), ("2021 BB", None, 0.1), (None, 1.0, 0.2)], "desig string, total_arc double, ext double")
+    stats = spark.createDataFrame([("K20A01A", 3, 10.0, 1.5), ("2020 AA1", 5, 2.0, 2.5), ("00433", 7, 1.0, None), ("K99Z99Z", 1, 1.0, 1.0), (None, 9, 9.0, 9.0)], "obj string, nights_total long, total_arc double, v_min double")
+    files.write_stats(stats.filter("obj is not null"), str(tmp_path / "stats"), "obj")
+    read = files.stats_lines(spark, str(tmp_path / "stats"), "nights_total bigint, total_arc double, v_min double", "obj")
+    assert sorted(map(tuple, read.select(*stats.columns).collect())) == sorted(map(tuple, stats.filter("obj is not null").collect()))
+    got = catalog.with_observations(orb, stats)
+    assert got.columns == ["desig", "total_arc", "ext", "nights_total", "v_min"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("2020 AA1", 5.0, 0.5, 5, 2.5), ("433", 6.0, None, 7, None), ("2021 BB", None, 0.1, None, None), (None, 1.0, 0.2, None, None)], key=str)
+    assert catalog.with_observations(orb, stats.filter("obj = 'none'")).filter("nights_total is null").count() == 4
+    scores = spark.createDataFrame([("433", 0.25), ("433", 0.75), ("no such", 0.5), ("2021 BB", None)], "desig string, ext double")
+    assert sorted([(r.desig, r.ext) for r in catalog.with_scores(orb, scores).collect()], key=str) == sorted([("2020 AA1", None), ("433", 0.75), ("2021 BB", None), (None, None)], key=str)
+    assert catalog.with_scores(orb.filter("desig = 'x'"), scores).count() == 0

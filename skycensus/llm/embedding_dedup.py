@@ -1,12 +1,12 @@
 """Embedding near-duplicates by collision counting over many one-dimensional projections.
 
 Rows are compared only under equal labels (of any type) and equal dimensions. Equal vectors become one class first, and
-a class is dealt with its vector once for each pair of runs, nothing else but ids and counts moves. Each class is
-projected on many seeded lines. Runs are stretches of the order along the first line; runs farther apart there than a
-link can reach are not compared. In a pair of runs each query meets its slice of that sorted order, and collisions of
-its windows on the other lines are counted; a pair whose count falls under what a pair at the threshold reaches but
-with a chance of MISS is left out, the others are verified by cosine in double precision. A label's cost grows with the
-square of its rows, by blocks of bounded size, as the count looks at each pair of one slice. Vectors that are null, empty, zero or
+a class is dealt with its vector once for each pair of runs, nothing else but ids and counts moves. Runs are stretches of
+the order along a first line; runs farther apart there than a link can reach are not compared. In a pair of runs the rows
+are sorted along each of 48 seeded lines, a window around each query is cut out of every sorted line, and the windows that
+a pair shares are counted. A pair at the threshold falls short of the count with a chance of MISS; the pairs that reach it are
+verified by cosine in double precision. A label's cost grows with the square of its rows, by blocks of bounded size, at a bit a
+line and pair. Vectors that are null, empty, zero or
 hold null or non-finite parts, and rows with a null label or id, link with nothing and are their own component. Rows
 that repeat a vec_id are rows of their own. Lengths are taken after scaling by the largest part, so neither large nor small ones overflow.
 """
@@ -20,17 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skycensus.llm.common import components, cut, runs, table, whole_groups, with_group
+from skycensus.llm.common import BROADCAST_ROWS, HOT_ROWS, components, cut, runs, table, whole_groups, with_group
 from skycensus.llm.simhash import stars
 
 COSINE = 0.93
-LINES, STEP, MISS = 48, 8, 1e-8
+LINES, MISS = 48, 1e-8
 RUN = 4096
 QUERIES = 256
 
 
 class Plan:
-    """Seeded lines, window and the counts that a pair at the threshold reaches after each step of lines."""
+    """Seeded lines, window and the count that a pair at the threshold reaches."""
 
     def __init__(self, dims: int, cosine: float = COSINE, seed: int = 11):
         make = np.random.default_rng(seed)
@@ -41,39 +41,41 @@ class Plan:
         self.far = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6
         self.reach = 1.8 * self.far
         p = math.erf(1.8 / math.sqrt(2))  # a pair at the threshold falls into one window
-        self.least = []
-        for n in range(STEP, LINES + 1, STEP):
-            total, k = 0.0, 0
-            while (total := total + math.comb(n, k) * p**k * (1 - p) ** (n - k)) <= MISS:
-                k += 1
-            self.least.append(k)
+        self.least, total = 0, 0.0
+        while (total := total + math.comb(LINES, self.least) * p**self.least * (1 - p) ** (LINES - self.least)) <= MISS:
+            self.least += 1
 
     def pairs(self, a: np.ndarray, b: np.ndarray, same: bool):
-        """Blocks of places (i, j) of rows of a and b (length one) whose windows collide often enough; same: b is a, i < j in its order."""
-        pa_, pb = (a @ self.lines).astype(np.float32), (b @ self.lines).astype(np.float32)
-        at_a, at_b = a @ self.first, b @ self.first
-        by_a, by_b = np.argsort(at_a, kind="stable"), np.argsort(at_b, kind="stable")
-        sorted_b, lines_b = at_b[by_b], pb[by_b]
-        for k in range(0, len(a), QUERIES):
-            some = by_a[k : k + QUERIES]
-            lo, hi = np.searchsorted(sorted_b, at_a[some[0]] - self.far), np.searchsorted(sorted_b, at_a[some[-1]] + self.far, "right")
-            lo = max(lo, k) if same else lo
-            if lo >= hi:
-                continue
-            dense = np.zeros((len(some), hi - lo), np.uint8)
-            for line in range(3 * STEP):
-                dense += np.abs(pa_[some, line][:, None] - lines_b[None, lo:hi, line]) <= self.reach
-            i, j = np.nonzero(dense >= self.least[2])
-            counts = dense[i, j]
-            if same:
-                up = i + k < j + lo
-                i, j, counts = i[up], j[up], counts[up]
-            for step in range(3, LINES // STEP):
-                for line in range(step * STEP, step * STEP + STEP):
-                    counts += np.abs(pa_[some[i], line] - lines_b[j + lo, line]) <= self.reach
-                ok = counts >= self.least[step]
-                i, j, counts = i[ok], j[ok], counts[ok]
-            yield some[i], by_b[j + lo]
+        """Blocks of places (i, j) of rows of a and b (length one) that share at least `least` windows; same: b is a, i < j.
+
+        Each line is sorted. `before[r]` marks, a bit a row, the rows of b under rank r, so the window of a query is one exclusive
+        or of two of its rows, and counts of 64 pairs at once are kept as bits of equal weight over words."""
+        words = -(-len(b) // 64)
+        counts = np.zeros((LINES.bit_length(), len(a), words), np.uint64)
+        at, bit = np.arange(len(b)) // 64, np.uint64(1) << (np.arange(len(b)) % 64).astype(np.uint64)
+        on_a, on_b = (a @ self.lines).T, (b @ self.lines).T
+        for line in range(LINES):
+            order = np.argsort(on_b[line], kind="stable")
+            placed = on_b[line][order]
+            before = np.zeros((len(b) + 1, words), np.uint64)
+            before[np.arange(1, len(b) + 1), at[order]] = bit[order]
+            np.bitwise_xor.accumulate(before, axis=0, out=before)
+            low, high = np.searchsorted(placed, on_a[line] - self.reach), np.searchsorted(placed, on_a[line] + self.reach, "right")
+            carry = before[high] ^ before[low]
+            for plane in counts[: (line + 1).bit_length()]:
+                both = plane & carry
+                plane ^= carry
+                carry = both
+        enough = np.full((len(a), words), ~np.uint64(0))
+        for k, plane in enumerate(counts):
+            enough = plane & enough if self.least >> k & 1 else plane | enough
+        for start in range(0, len(a), QUERIES):
+            some = enough[start : start + QUERIES]
+            i, w = np.nonzero(some)
+            x, y = np.nonzero(np.unpackbits(some[i, w].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            i, j = i[x] + start, w[x] * 64 + y
+            up = i < j if same else slice(None)
+            yield i[up], j[up]
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -154,9 +156,14 @@ def near(df: DataFrame, cosine: float = COSINE, size: int = RUN) -> DataFrame:
     found = cut(found)
     linked = found.groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "id")
     of = classes.select("h", "id", "least", "n").join(linked, "id", "left").join(components(found.select("a", "b")).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    of = with_group(cut(of), "root", F.min("least").alias("component_id")).select("h", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    out = named.select("vec_id", "h").join(of, "h", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    of = with_group(cut(of), "root", F.min("least").alias("component_id")).select("h", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    # rows of vectors that are repeated most are joined by broadcast; unusable ones, all without h, take no part
+    every = classes.agg(F.sum("n")).first()[0] or 0
+    of, usable = cut(of), named.filter("ok").select("vec_id", "h")
+    many = F.col("n") > max(HOT_ROWS, every // BROADCAST_ROWS)
+    hot = F.broadcast(of.filter(many).drop("n"))
+    out = usable.join(hot, "h").unionByName(usable.join(hot, "h", "left_anti").join(of.filter(~many).drop("n"), "h")).drop("h")
+    out = out.unionByName(named.filter(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -342,6 +342,32 @@ def test_embeddings_edges(spark):
     assert got == sorted(want, key=str)
 
 
+def test_embedding_collisions_are_counted_exactly():
+    """Pairs from the sorted lines against windows compared one by one; sizes around a word of 64 bits, ties, one row."""
+    from skycensus.llm.embedding_dedup import LINES, Plan, unit
+
+    rng, plan = np.random.default_rng(3), Plan(16)
+    for n, m in ((130, 200), (64, 64), (1, 65), (300, 1)):
+        hearts = rng.normal(size=(9, 16))
+        a, b = (unit(hearts[rng.integers(0, 9, k)] + rng.normal(size=(k, 16)) * 0.25) for k in (n, m))
+        b[: m // 4] = b[0]
+        for other, same in ((b, False), (a, True)):
+            count = sum((np.abs((a @ plan.lines)[:, None, k] - (other @ plan.lines)[None, :, k]) <= plan.reach).astype(int) for k in range(LINES))
+            want = {(i, j) for i, j in zip(*np.nonzero(count >= plan.least), strict=True) if not same or i < j}
+            got = [(i, j) for block in plan.pairs(a, other, same) for i, j in zip(*block, strict=True)]
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_embeddings_repeated_most(spark, monkeypatch):
+    """A vector over the bound of hot rows is joined by broadcast; all its rows come back, unusable ones too."""
+    from skycensus.llm import embedding_dedup
+
+    monkeypatch.setattr(embedding_dedup, "HOT_ROWS", 10)
+    data = [(k, [1.0, 0.0], 1) for k in range(30)] + [(100, [0.0, 1.0], 1), (101, [0.001, 1.0], 1), (102, None, 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == brute_embeddings(data) and got[7] == (29, 0) and got[101] == (1, 100)
+
+
 def test_embeddings_over_many_runs(spark):
     from skycensus.llm.embedding_dedup import near
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from skycensus.operators.lineage import cut
 
 BINS, CUT = 32, 5
+SCORES = ["exp_num_opps", "quantile_opps", "prob"]
 c = F.col
 
 
@@ -44,6 +45,9 @@ class Loss:
             return w * (y - p), w * p * (1 - p)
         return w * (self.level - (y < m)), w + 0 * m
 
+    def response(self, m: np.ndarray) -> np.ndarray:
+        return np.exp(m) if self.name == "poisson" else 1 / (1 + np.exp(-m)) if self.name == "logistic" else m
+
     def leaf(self, g: float, h: float) -> float:
         """What a leaf adds to the margin; the quantile's leaves come from sketches instead."""
         if self.name == "poisson":
@@ -74,6 +78,11 @@ class Model:
             out += self.rate * values(tree, bins)
         return out
 
+    def unseen(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Mean of the responses of the fold models, for rows that none of them was trained on; without folds that of the one model."""
+        made = self.loss.response(self.margins(self.bins(batch)))
+        return (made[:, :-1] if made.shape[1] > 1 else made).mean(axis=1)
+
 
 def leaves(feature: np.ndarray, cuts: np.ndarray, bins: np.ndarray, depth: int) -> np.ndarray:
     """Place of each row at this depth, from 0, by model."""
@@ -258,8 +267,35 @@ def out_of_fold(df: DataFrame, model: Model, key: str, fold: Column, trained: Co
     return rows.select(key, response(model.loss, own).alias(name))
 
 
-def cascade(df: DataFrame, features: list[str], key: str, fold: Column, count: Column, past: Column, level: float = 0.006, **grow) -> DataFrame:
-    """key, exp_num_opps, quantile_opps, prob: count less one by its mean and low quantile, then whether it is past the threshold.
+@dataclass(frozen=True)
+class Cascade:
+    """The three models in a row: each sees what those before it say."""
+
+    mean: Model
+    low: Model
+    odds: Model
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """df with exp_num_opps, quantile_opps and prob of rows that stood in no training, in one pass; columns of these names are replaced.
+
+        Features are read by name and may be null; all three scores are the means of the fold models."""
+        keep = [x for x in df.columns if x not in SCORES]
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
+
+        def run(batches):
+            for batch in batches:
+                mean = self.mean.unseen(batch) + 1
+                batch = batch.append_column("_feature_exp_num_opps", pa.array(mean))
+                low = self.low.unseen(batch) + 1
+                batch = batch.append_column("_feature_quantile_opps", pa.array(low))
+                made = [pa.array(x) for x in (mean, low, self.odds.unseen(batch))]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], *made], names=[*keep, *SCORES])
+
+        return df.select(*keep, *plain(self.mean.features)).mapInArrow(run, f"{fields}, " + ", ".join(f"{x} double" for x in SCORES))
+
+
+def fitted_cascade(df: DataFrame, features: list[str], key: str, fold: Column, count: Column, past: Column, level: float = 0.006, **grow) -> tuple[Cascade, DataFrame]:
+    """The models, and key, exp_num_opps, quantile_opps, prob: count less one by its mean and low quantile, then whether it is past the threshold.
 
     Each model sees the out-of-fold output of those before it, with the same folds. Rows whose count is null are predicted only."""
     had, y = count.isNotNull(), count - 1
@@ -270,7 +306,12 @@ def cascade(df: DataFrame, features: list[str], key: str, fold: Column, count: C
     rows = rows.join(out_of_fold(rows, low, key, fold, had, "quantile_opps").withColumn("quantile_opps", c("quantile_opps") + 1), key)
     odds = train(rows, [*features, "exp_num_opps", "quantile_opps"], F.when(had, past.cast("int")), fold, Loss("logistic"), **grow)
     got = out_of_fold(rows, odds, key, fold, had, "prob")
-    return rows.select(key, "exp_num_opps", "quantile_opps").join(got, key)
+    return Cascade(mean, low, odds), rows.select(key, "exp_num_opps", "quantile_opps").join(got, key)
+
+
+def cascade(df: DataFrame, features: list[str], key: str, fold: Column, count: Column, past: Column, level: float = 0.006, **grow) -> DataFrame:
+    """The scores of fitted_cascade() alone."""
+    return fitted_cascade(df, features, key, fold, count, past, level, **grow)[1]
 
 
 def pruned(rows: DataFrame, features: list[str], bounds: tuple[tuple[float, float], ...] = ((0.15, 0.88), (0.04, 2.0)), **grow) -> tuple[Model, DataFrame]:

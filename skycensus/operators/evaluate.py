@@ -205,6 +205,24 @@ def neutrality_table(df: DataFrame, solves: dict[str, Callable[[DataFrame], Data
     return rows.withColumns({"h_neutral": c("h") + primary, "z_h": primary / F.nullif(F.lit(sigma), F.lit(0.0))})
 
 
+def solve_many(df: DataFrame, score_fn: Callable[[DataFrame], DataFrame], targets: dict[str, tuple[str, Column]], key: str, cut: Callable[[DataFrame], DataFrame] | None = None, **limits) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """Solves for neutrality_table(), one for each name in targets (its score's column, its target), found in the same passes.
+
+    score_fn adds all score columns, under names that df doesn't have, to a frame whose h has been shifted. A row stands once for each target and
+    all are bisected together, so the passes are those of one solve however many targets there are."""
+    ends = F.array(*[F.struct(F.lit(name).alias("name"), target.cast("double").alias("target")) for name, (_, target) in targets.items()])
+    long = df.withColumn("_end", F.explode(ends)).withColumns({"_name": c("_end.name"), "_target": c("_end.target")}).drop("_end")
+
+    def own(rows: DataFrame) -> DataFrame:
+        pick = F.coalesce(*[F.when(c("_name") == name, c(score)) for name, (score, _) in targets.items()])
+        return score_fn(rows).withColumn("score", F.nanvl(pick.cast("double"), F.lit(None).cast("double")))
+
+    made = ["score_at_h", "invalid", "already_neutral", "censored", "delta"]
+    solved = solve(long, own, "_target", cut=cut, **limits).select(key, "_name", *made)
+    solved = cut(solved) if cut else solved
+    return {name: lambda rows, name=name: rows.join(solved.filter(c("_name") == name).drop("_name"), key) for name in targets}
+
+
 def neutral_candidates(final: DataFrame, score_fn: Callable[[DataFrame], DataFrame], prob: float = 0.998, ext: float = 0.5, most: int = 250) -> DataFrame:
     """place, desig and what h_grid() finds for the objects of high prob and low ext, the first `most` of them by priority.
 

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skycensus.operators.boosting import Model, plain
+from skycensus.operators.boosting import Loss, Model, out_of_fold, plain, train
+from skycensus.operators.evaluate import fold_metrics
 
 c = F.col
 
@@ -199,6 +200,18 @@ def selected(products: Gram, least: int, most: int, fixed: tuple[str, ...] = (),
 # refinement of one parameter
 
 
+def compared_fits(df: DataFrame, sets: dict[str, list[str]], key: str, y: Column, fold: Column, loss: Loss, **grow) -> DataFrame:
+    """(columns, size, n, rmse, deviance, r2) of a boosted fit on each set of features, means over the folds held out; a training per set, the same folds."""
+    out = None
+    for name, features in sets.items():
+        model = train(df, features, y, fold, loss, **grow)
+        got = out_of_fold(df, model, key, fold, y.isNotNull(), "m").join(df.select(key, y.alias("y"), fold.alias("fold")).filter("y is not null"), key)
+        one = fold_metrics(got, "fold", "y", ["m"]).agg(F.sum("n").alias("n"), *[F.avg(x).alias(x) for x in ("rmse", "deviance", "r2")])
+        one = one.select(F.lit(name).alias("columns"), F.lit(len(features)).alias("size"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def refined(df: DataFrame, loss: Callable[[float], Column], low: float, high: float, points: int = 9, steps: int = 12, ahead: int = 4) -> list[dict]:
     """The least mean loss on a grid of points over low .. high, then golden-section steps in the bracket around it.
 

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skycensus.functions import orbit
-from skycensus.operators import boosting, evaluate
+from skycensus.operators import boosting, evaluate, observations, search
+from skycensus.operators.lineage import cut
 from skycensus.plans import fixtures as fx
 from skycensus.plans.base import ORB, query, rounded
+from skycensus.plans.catalog_queries import comet_elements, label_union
+from skycensus.sources.text import fixed_width
 
 c = F.col
 FOLDS, LEVEL = 8, 0.006
@@ -18,10 +21,15 @@ GROW = {"rounds": 6, "depth": 3, "least": 20}
 EXT, EXT_SIMPLE = ["u", "longest_opp_arc", "second_nights", "nights", "num_opps", "num_obs", "arc_length"], ["u", "num_opps", "num_obs", "arc_length"]
 
 
+def described(rows: DataFrame) -> DataFrame:
+    """rows with the features that are worked out from elements and h."""
+    seen = orbit.visibility()
+    return rows.withColumns({"q": c("a") * (1 - c("e")), "vis_timeavg": seen["vis_timeavg"], "vis_q": seen["vis_q"]})
+
+
 def frame(spark, sf_dir) -> DataFrame:
     """desig, FEATURES, fold and num_opps, a count that falls with magnitude and distance and scatters by desig; null: not in training."""
-    seen = orbit.visibility()
-    rows = fx.orbits(spark, sf_dir).withColumns({"q": c("a") * (1 - c("e")), "vis_timeavg": seen["vis_timeavg"], "vis_q": seen["vis_q"], "fold": c("desig") % FOLDS})
+    rows = described(fx.orbits(spark, sf_dir)).withColumn("fold", c("desig") % FOLDS)
     mean = F.exp(1.9 - 0.15 * (c("h") - 16) - 0.3 * (c("a") - 3) + 0.5 * c("e"))
     count = 1 + F.floor(mean * (0.25 + (c("desig") * 7877 % 1000) / 660.0))
     return rows.select("desig", "fold", *FEATURES, F.when(c("desig") % 10 != 3, count).alias("num_opps"))
@@ -95,8 +103,6 @@ def cascade_checks(spark, sf_dir):
 
 def labelled(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(frame of all objects, labelled rows with EXT columns)."""
-    from skycensus.plans.catalog_queries import label_union
-
     every = fx.final(spark, sf_dir)
     labels = label_union(spark, sf_dir).select("desig", c("label").cast("int").alias("label"), "weight")
     return every, labels.join(every.select("desig", *EXT), "desig")
@@ -128,3 +134,71 @@ def quantile_sweep(spark, sf_dir):
 def permutation_importance(spark, sf_dir):
     rows = frame(spark, sf_dir)
     return boosting.importance(rows, trained(rows), c("num_opps") - 1, c("fold"))
+
+
+def cascade_of(rows: DataFrame) -> boosting.Cascade:
+    return boosting.fitted_cascade(rows, FEATURES, "desig", c("fold"), c("num_opps"), c("num_opps") >= 4, LEVEL, folds=FOLDS, **GROW)[0]
+
+
+#: Fields of a line of variant orbits: name, first place, width, kind.
+VARIANT = [("desig", 1, 9, "bigint"), ("variant", 10, 3, "int"), ("h", 13, 10, "double"), ("epoch", 23, 8, "string"), ("a", 31, 13, "double"), ("e", 44, 11, "double"), ("i", 55, 11, "double"), ("node", 66, 11, "double")]
+
+
+def variants(spark, sf_dir) -> DataFrame:
+    """Each orbit and two beside it, through lines of fixed width with packed epochs, read and described."""
+    by, day = c("variant").cast("double"), F.date_from_unix_date(F.floor(c("epoch") - 2440587.5).cast("int"))
+    digit = lambda x: F.substr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUV"), x.cast("int") + 1, F.lit(1))
+    packed = F.concat(digit(F.floor(F.year(day) / 100)), F.lpad((F.year(day) % 100).cast("string"), 2, "0"), digit(F.month(day)), digit(F.day(day)), F.lit("5"))
+    rows = fx.orbits(spark, sf_dir).withColumn("variant", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
+    numbers = [F.when(c("h").isNotNull(), F.format_string("%10.4f", c("h"))).otherwise(F.lit(" " * 10)), F.rpad(packed, 8, " "), *[F.format_string(f, x) for f, x in (("%13.7f", c("a") * (1 + by / 512)), ("%11.7f", F.greatest(c("e") + by / 1024, F.lit(0.0))), ("%11.5f", c("i")), ("%11.5f", c("node")))]]
+    text = rows.select(F.concat(F.format_string("%9d%3d", c("desig"), c("variant")), *numbers).alias("value"))
+    return described(fixed_width(text, VARIANT).withColumn("epoch", observations.packed_day(F.trim("epoch"))))
+
+
+@query(None)
+def variant_scores(spark, sf_dir):
+    """Scores of variants of each orbit by the fitted models, and what the variant moves against the orbit itself."""
+    return rounded(cascade_of(frame(spark, sf_dir)).score(variants(spark, sf_dir)).select("desig", "variant", "epoch", "a", "e", *boosting.SCORES, orbit.logit(c("prob")).alias("logit")))
+
+
+@query(f"WITH {ORB} SELECT desig, v.variant::BIGINT AS variant, floor(epoch - 0.5) + 1.0 AS epoch, round(a * (1 + v.variant / 512.0), 7) AS a, true AS in_range, true AS as_the_orbit FROM orb, (VALUES (-1), (0), (1)) v(variant)")
+def variant_checks(spark, sf_dir):
+    """Variants as read; whether their scores are counts and odds, and whether the one that moves nothing scores as its orbit does."""
+    rows = frame(spark, sf_dir)
+    models = cascade_of(rows)
+    own = models.score(rows).select("desig", *[c(x).alias(f"own_{x}") for x in boosting.SCORES])
+    got = models.score(variants(spark, sf_dir)).join(own, "desig")
+    fine = (c("exp_num_opps") >= 1) & c("prob").between(0, 1) & c("quantile_opps").isNotNull() & ~F.isnan("quantile_opps")
+    alike = [F.abs(c(x) - c(f"own_{x}")) < 1e-12 for x in boosting.SCORES]
+    return got.select("desig", c("variant").cast("bigint").alias("variant"), "epoch", F.round("a", 7).alias("a"), fine.alias("in_range"), ((c("variant") != 0) | (alike[0] & alike[1] & alike[2])).alias("as_the_orbit"))
+
+
+@query(None)
+def comet_scores(spark, sf_dir):
+    """Scores of comets by models of the catalog: elements and magnitudes joined, oppositions null but for those listed; such rows have deficits too."""
+    shape = fx.final(spark, sf_dir).select("desig", "e", "i", "node")
+    comets = described(comet_elements(spark, sf_dir).join(shape, "desig"))
+    got = cascade_of(frame(spark, sf_dir)).score(comets)
+    low, poisson = c("quantile_opps") - c("num_opps"), orbit.poisson_cdf(c("num_opps") - 1, c("exp_num_opps") - 1)
+    return rounded(got.select("desig", "a", "period", "tp", "h", "num_opps", *boosting.SCORES, poisson.alias("poisson"), low.alias("delta_q")))
+
+
+def solved_by_fit(rows: DataFrame, models: boosting.Cascade) -> DataFrame:
+    """The table of shifts of h at which each of the three scores comes down to its target, features and models worked out anew at each trial."""
+    targets = {"e": ("exp_num_opps", c("num_opps")), "q": ("quantile_opps", c("num_opps")), "p": ("prob", F.lit(0.5))}
+    some = rows.select("desig", "a", "e", "i", "node", "h", "num_opps")
+    return evaluate.neutrality_table(some, evaluate.solve_many(some, lambda df: models.score(described(df)), targets, "desig", cut))
+
+
+@query(None)
+def neutrality_of_fit(spark, sf_dir):
+    rows = frame(spark, sf_dir)
+    return rounded(solved_by_fit(rows, cascade_of(rows)).drop("a", "e", "i", "node"), 12)
+
+
+@query(None)
+def feature_sets_of_fits(spark, sf_dir):
+    """Three sets of features by boosted fits on the same folds."""
+    rows = frame(spark, sf_dir).filter("h is not null")
+    sets = {"all": FEATURES, "elements": ["a", "e", "i", "h"], "incumbent": ["a", "h"]}
+    return rounded(search.compared_fits(rows, sets, "desig", c("num_opps") - 1, c("fold"), boosting.Loss("poisson"), folds=FOLDS, **GROW))

@@ -141,3 +141,78 @@ def test_extension_difficulty(spark):
 
     rows = model_queries.extension_difficulty(spark, DIR).collect()
     assert len(rows) == 1500 and all(0 <= r.ext <= 1 and r.ext == round(r.ext, 6) for r in rows)
+
+
+def cascade_frame(spark, n=400):
+    x, y, fold, _ = data(n, 8)
+    rows = [(k, *[None if math.isnan(v) else float(v) for v in r], 20.0 - float(r[0]), None if k % 9 == 0 else int(y[k]) + 1, int(fold[k])) for k, r in enumerate(x)]
+    return spark.createDataFrame(rows, "id long, x0 double, x1 double, x2 double, h double, num_opps long, f int").repartition(4)
+
+
+def test_scores_of_unseen_rows_chain_the_fold_means(spark):
+    """Against the models asked one after the other, each by all folds, summed up in plain Python; columns of the scores' names are replaced."""
+    from skycensus.operators import boosting
+
+    df, names = cascade_frame(spark), ["x0", "x1", "x2"]
+    models, _ = boosting.fitted_cascade(df, names, "id", c("f"), c("num_opps"), c("num_opps") >= 4, 0.05, folds=4, rounds=3, depth=2, least=10)
+    new = df.select((c("id") + 1000).alias("id"), "x0", F.lit(None).cast("double").alias("x1"), (c("x2") * 3).alias("x2"), F.lit("old").alias("prob"), F.array("f").alias("more"))
+    got = {r.id: r for r in models.score(new).collect()}
+    rows, said = new.drop("prob"), {}
+    for model, name, back, more in ((models.mean, "exp_num_opps", math.exp, 1), (models.low, "quantile_opps", float, 1), (models.odds, "prob", lambda m: 1 / (1 + math.exp(-m)), 0)):
+        said = {r.id: sum(back(m) for m in r.margins[:4]) / 4 + more for r in boosting.predict(rows, model, ["id"]).collect()}
+        assert len(said) == 400 and all(getattr(got[k], name) == pytest.approx(v, abs=1e-12) for k, v in said.items())
+        rows = rows.join(spark.createDataFrame(list(said.items()), f"id long, {name} double"), "id")
+    assert got[1001].more == [df.filter("id = 1").first().f] and set(models.score(new).columns) == {*new.columns, *boosting.SCORES}
+    assert models.score(new.limit(0)).count() == 0
+
+
+def test_joint_solve_equals_solves_one_by_one(spark):
+    from skycensus.operators import evaluate
+    from skycensus.operators.lineage import cut
+
+    rows = spark.createDataFrame([(k, None if k == 5 else 12.0 + k / 3, float("nan") if k == 6 else 3.0 + k / 20, None if k == 7 else k % 8) for k in range(40)], "id long, h double, a double, n long")
+    both = lambda df: df.withColumns({"s1": 1 + 14 / (1 + F.exp(c("h") + c("a") - 21)), "s2": 1 / (1 + F.exp(c("h") - c("a") - 14))})
+    targets = {"e": ("s1", c("n")), "p": ("s2", F.lit(0.5))}
+    table = evaluate.neutrality_table(rows, evaluate.solve_many(rows, both, targets, "id", cut))
+    got = {r.id: r for r in table.collect()}
+    for name, (score, target) in targets.items():
+        finite = lambda df, score=score: both(df).withColumn("score", F.nanvl(c(score), F.lit(None).cast("double"))).drop("s1", "s2")
+        for r in evaluate.solve(rows.withColumn("t", target), finite, "t").collect():
+            assert (got[r.id][f"dh_{name}"], got[r.id][f"censored_{name}"], got[r.id][f"invalid_{name}"]) == (r.delta, r.censored, r.invalid)
+    assert got[5].invalid_e and got[6].invalid_p and got[7].invalid_e and not got[7].invalid_p and got[6].dh_e is None
+    assert len(got) == 40 and any(r.censored_e for r in got.values()) and sum(0 < (r.dh_p or 0) < 15 for r in got.values()) > 5
+
+
+def test_shifts_of_fitted_scores_end_at_their_targets(spark):
+    """The score is over its target one step before the shift and not over it at the shift, where there is one."""
+    from skycensus.plans import model_queries
+
+    rows = model_queries.frame(spark, DIR)
+    models = model_queries.cascade_of(rows)
+    table = model_queries.solved_by_fit(rows, models).toPandas()
+    assert len(table) == 1500 and table.invalid_e.sum() > 0
+    for name, score, target in (("e", "exp_num_opps", table.num_opps), ("p", "prob", 0.5)):
+        inside = (table[f"dh_{name}"] > 0) & (table[f"dh_{name}"] < 15)
+        some = table.assign(to=target)[inside]
+        assert len(some) > 50
+        for shift, over in ((0.0, False), (-15 / 4096, True)):
+            moved = spark.createDataFrame(some.assign(h=some.h + some[f"dh_{name}"] + shift)[["desig", "a", "e", "i", "node", "h", "to"]])
+            at = models.score(model_queries.described(moved)).toPandas()
+            assert ((at[score] > at.to) == over).all()
+
+
+def test_compared_sets_equal_plain_loops(spark):
+    from skycensus.operators import boosting, search
+
+    x, y, fold, _ = data()
+    rows = [(k, *[None if math.isnan(v) else float(v) for v in r], float(y[k]), int(fold[k])) for k, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, x0 double, x1 double, x2 double, y double, f int").repartition(3)
+    got = {r.columns: r for r in search.compared_fits(df, {"one": ["x0"], "two": ["x0", "x1"]}, "id", c("y"), c("f"), boosting.Loss("poisson"), folds=4, rounds=4, depth=2, least=10).collect()}
+    for name, names in (("one", ["x0"]), ("two", ["x0", "x1"])):
+        edges, each = boosting.bin_edges(df, names), []
+        for k in range(4):
+            m = plain_boost(x[:, : len(names)], y, fold, np.ones(len(y)), k, edges, "poisson", 4, 2, 0.3, 10)
+            mine = np.flatnonzero(fold == k)
+            each.append(np.sqrt(np.mean((y[mine] - np.exp(np.array(m)[mine])) ** 2)))
+        assert got[name].rmse == pytest.approx(np.mean(each), abs=1e-9) and (got[name].size, got[name].n) == (len(names), 500)
+    assert got["two"].deviance < got["one"].deviance

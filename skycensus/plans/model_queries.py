@@ -150,7 +150,7 @@ def variants(spark, sf_dir) -> DataFrame:
     digit = lambda x: F.substr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUV"), x.cast("int") + 1, F.lit(1))
     packed = F.concat(digit(F.floor(F.year(day) / 100)), F.lpad((F.year(day) % 100).cast("string"), 2, "0"), digit(F.month(day)), digit(F.day(day)), F.lit("5"))
     rows = fx.orbits(spark, sf_dir).withColumn("variant", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    numbers = [F.when(c("h").isNotNull(), F.format_string("%10.4f", c("h"))).otherwise(F.lit(" " * 10)), F.rpad(packed, 8, " "), *[F.format_string(f, x) for f, x in (("%13.7f", c("a") * (1 + by / 512)), ("%11.7f", F.greatest(c("e") + by / 1024, F.lit(0.0))), ("%11.5f", c("i")), ("%11.5f", c("node")))]]
+    numbers = [F.when(c("h").isNotNull(), F.format_string("%10.4f", c("h"))).otherwise(F.lit(" " * 10)), F.rpad(packed, 8, " "), *[F.format_string(f, x) for f, x in (("%13.7f", c("a") * (1 + by / 500)), ("%11.7f", F.greatest(c("e") + by / 1000, F.lit(0.0))), ("%11.5f", c("i")), ("%11.5f", c("node")))]]
     text = rows.select(F.concat(F.format_string("%9d%3d", c("desig"), c("variant")), *numbers).alias("value"))
     return described(fixed_width(text, VARIANT).withColumn("epoch", observations.packed_day(F.trim("epoch"))))
 
@@ -161,12 +161,14 @@ def variant_scores(spark, sf_dir):
     return rounded(cascade_of(frame(spark, sf_dir)).score(variants(spark, sf_dir)).select("desig", "variant", "epoch", "a", "e", *boosting.SCORES, orbit.logit(c("prob")).alias("logit")))
 
 
-@query(f"WITH {ORB} SELECT desig, v.variant::BIGINT AS variant, floor(epoch - 0.5) + 1.0 AS epoch, round(a * (1 + v.variant / 512.0), 7) AS a, true AS in_range, true AS as_the_orbit FROM orb, (VALUES (-1), (0), (1)) v(variant)")
+@query(f"WITH {ORB} SELECT desig, v.variant::BIGINT AS variant, floor(epoch - 0.5) + 1.0 AS epoch, round(a * (1 + v.variant / 500.0), 7) AS a, true AS in_range, true AS as_the_orbit FROM orb, (VALUES (-1), (0), (1)) v(variant)")
 def variant_checks(spark, sf_dir):
     """Variants as read; whether their scores are counts and odds, and whether the one that moves nothing scores as its orbit does."""
     rows = frame(spark, sf_dir)
     models = cascade_of(rows)
-    own = models.score(rows).select("desig", *[c(x).alias(f"own_{x}") for x in boosting.SCORES])
+    places = {"a": 7, "e": 7, "i": 5, "node": 5, "h": 4}  # those of the lines, as a last bit may decide at the edge of a bin
+    plain = described(rows.select("desig", *[F.round(x, n).alias(x) for x, n in places.items()]))
+    own = models.score(plain).select("desig", *[c(x).alias(f"own_{x}") for x in boosting.SCORES])
     got = models.score(variants(spark, sf_dir)).join(own, "desig")
     fine = (c("exp_num_opps") >= 1) & c("prob").between(0, 1) & c("quantile_opps").isNotNull() & ~F.isnan("quantile_opps")
     alike = [F.abs(c(x) - c(f"own_{x}")) < 1e-12 for x in boosting.SCORES]

@@ -9,7 +9,7 @@ from skycensus.operators import catalog, observations
 from skycensus.operators.lineage import fresh
 from skycensus.plans import fixtures as fx
 from skycensus.plans.base import FINAL, OBS, ORB, query, rounded
-from skycensus.plans.observation_queries import LINES, NIGHTS, RECURSIVE, obs_text
+from skycensus.plans.observation_queries import LINES, NIGHTS, PACKED, RECURSIVE, obs_text
 from skycensus.sources import files
 
 c = F.col
@@ -17,20 +17,30 @@ STATS = "total_arc double, nights_total bigint, opposition_count bigint, opp_wit
 
 
 def packed_text(spark, sf_dir) -> DataFrame:
-    """obs_text() with packed provisional names: 20yy AB and a cycle from the number of the object."""
-    k = F.substring("value", 7, 6).cast("int")
-    tens = F.substr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), F.floor(k % 600 / 10).cast("int") + 1, F.lit(1))
-    name = F.concat(F.lit("K"), F.lpad(F.floor(k / 600).cast("string"), 2, "0"), F.lit("A"), tens, (k % 10).cast("string"), F.lit("B"))
-    return obs_text(spark, sf_dir).withColumn("value", F.concat(F.substring("value", 1, 5), name, F.substring("value", 13, 100)))
+    """obs_text() with packed provisional names: the year, half and second letter and the cycle of named()."""
 
+    def name(k):
+        tens = F.substr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), F.floor(k % 600 / 10).cast("int") + 1, F.lit(1))
+        year, half, second = named(k)
+        return F.concat(F.lit("K"), year, half, tens, (k % 10).cast("string"), second)
 
-NAMED = "'20' || lpad((k // 600)::VARCHAR, 2, '0') || ' AB' || CASE WHEN k % 600 > 0 THEN (k % 600)::VARCHAR ELSE '' END"
+    return obs_text(spark, sf_dir, name)
+
+
+def named(k):
+    """Two digits of the year, half and second letter of the name of object k: 600 cycles a year, 100 years a pair of letters, AB before BB."""
+    block = F.floor(k / 60_000)
+    letter = lambda x, n: F.substr(F.lit("ABCDEFGHJKLMNOPQRSTUVWXYZ"), (x % n + 1).cast("int"), F.lit(1))
+    return F.lpad(F.floor(k / 600 % 100).cast("string"), 2, "0"), letter(block, 24), letter(F.floor(block / 24) + 1, 25)
+
+
+NAMED = "'20' || lpad((k // 600 % 100)::VARCHAR, 2, '0') || ' ' || substring('ABCDEFGHJKLMNOPQRSTUVWXY', (k // 60000 % 24)::INT + 1, 1) || substring('ABCDEFGHJKLMNOPQRSTUVWXYZ', ((k // 1440000 + 1) % 25)::INT + 1, 1) || CASE WHEN k % 600 > 0 THEN (k % 600)::VARCHAR ELSE '' END"
 
 
 @query(RECURSIVE + NIGHTS.replace(OBS, LINES) + f""", per AS (SELECT obj, max(segment)::BIGINT AS opposition_count, sum(nights)::BIGINT AS nights_total, max(nights)::BIGINT AS most, coalesce(max(arc) FILTER (arc > 0), 0) AS opp_arc FROM seg GROUP BY obj),
  arcs AS (SELECT obj, max(t) - min(t) AS total_arc FROM g GROUP BY obj), base AS (SELECT c_custkey::BIGINT AS k, (c_custkey % 60)::DOUBLE AS arc_length FROM customer)
  SELECT {NAMED} AS desig, arc_length, round(total_arc, 6) AS total_arc, nights_total, opposition_count, most AS opp_with_most_nights, nights_total - most AS other_opps, round(opp_arc, 6) AS longest_opp_arc,
-  CASE WHEN k % 7 <> 0 THEN round((k * 97) % 1000 / 1000.0, 6)::DOUBLE END AS ext, k % 59 = 0 OR k % 62 = 0 AS filtered_out FROM base LEFT JOIN arcs ON arcs.obj = 'K' || lpad(k::VARCHAR, 6, '0') LEFT JOIN per ON per.obj = arcs.obj""")
+  CASE WHEN k % 7 <> 0 THEN round((k * 97) % 1000 / 1000.0, 6)::DOUBLE END AS ext, k % 59 = 0 OR k % 62 = 0 AS filtered_out FROM base LEFT JOIN arcs ON arcs.obj = {PACKED.format("'K'", 'k')} LEFT JOIN per ON per.obj = arcs.obj""")
 def catalog_from_lines(spark, sf_dir):
     """From two files of 80-column lines to flagged catalog rows: reduced, statistics and earlier scores written and read, joined, kept as a snapshot."""
     text, at = packed_text(spark, sf_dir), fresh(spark, "catalog")
@@ -39,7 +49,7 @@ def catalog_from_lines(spark, sf_dir):
     seen = observations.reduced(observations.lines(files.observation_lines(spark, f"{at}/one", f"{at}/two")), dealt=True)
     files.write_stats(seen, f"{at}/stats", "obj")
     k = c("c_custkey").cast("bigint")
-    name = F.concat(F.lit("20"), F.lpad(F.floor(k / 600).cast("string"), 2, "0"), F.lit(" AB"), F.when(k % 600 > 0, (k % 600).cast("string")).otherwise(""))
+    name = F.concat(F.lit("20"), named(k)[0], F.lit(" "), *named(k)[1:], F.when(k % 600 > 0, (k % 600).cast("string")).otherwise(""))
     keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("k"), name.alias("desig"), (k % 60).cast("double").alias("arc_length"))
     files.scores(keys.filter("k % 7 <> 0").withColumn("ext", c("k") * 97 % 1000 / 1000), f"{at}/scores")
     orb = catalog.with_observations(keys.drop("k"), files.stats_lines(spark, f"{at}/stats", STATS, "obj"))

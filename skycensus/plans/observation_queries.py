@@ -86,16 +86,23 @@ def fixed_width_scan(spark, sf_dir):
     return fixed_width(lines, [("line_no", 1, 12, "bigint"), ("obj", 13, 12, "bigint"), ("mag", 25, 8, "double"), ("band", 33, 1, "string")])
 
 
+#: Seven places for a number: a letter from the given one on for the millions, then six digits.
+PACKED = "chr((ord({0}) + ({1}) // 1000000)::INT) || lpad((({1}) % 1000000)::VARCHAR, 6, '0')"
 #: Lines of orders: some twice with other fields, some with a bad date, some cut off before the band.
-LINES = """src AS (SELECT o_orderkey AS line_no, o_custkey::BIGINT AS k, o_orderdate::DATE AS day, o_orderkey % 97 AS part, 14.0 + (o_orderkey % 800) / 100.0 AS mag, substring('VRgrowicGyzBx', (o_orderkey % 13)::INT + 1, 1) AS band, 'S' || (o_orderkey % 7) AS station FROM orders),
+LINES = f"""src AS (SELECT o_orderkey AS line_no, o_custkey::BIGINT AS k, o_orderdate::DATE AS day, o_orderkey % 97 AS part, 14.0 + (o_orderkey % 800) / 100.0 AS mag, substring('VRgrowicGyzBx', (o_orderkey % 13)::INT + 1, 1) AS band, 'S' || (o_orderkey % 7) AS station FROM orders),
  good AS (SELECT * FROM src WHERE line_no % 53 <> 0), one AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY k, day, part ORDER BY line_no) = 1),
- obs AS (SELECT line_no, 'K' || lpad(k::VARCHAR, 6, '0') AS obj, date_diff('day', DATE '1970-01-01', day) + part / 100.0 AS t, CASE WHEN line_no % 59 <> 0 AND line_no % 61 <> 0 THEN mag END AS mag, CASE WHEN line_no % 59 = 0 THEN '' ELSE band END AS band, CASE WHEN line_no % 59 = 0 THEN '' ELSE station END AS station FROM one)"""
+ obs AS (SELECT line_no, {PACKED.format("'K'", 'k')} AS obj, date_diff('day', DATE '1970-01-01', day) + part / 100.0 AS t, CASE WHEN line_no % 59 <> 0 AND line_no % 61 <> 0 THEN mag END AS mag, CASE WHEN line_no % 59 = 0 THEN '' ELSE band END AS band, CASE WHEN line_no % 59 = 0 THEN '' ELSE station END AS station FROM one)"""
 
 
-def obs_text(spark, sf_dir):
-    """80-column lines (line_no, value) of the orders."""
+def packed(head, k):
+    """PACKED as a column."""
+    return F.concat(F.char(F.ascii(F.lit(head)) + F.floor(k / 1_000_000)), F.lpad((k % 1_000_000).cast("string"), 6, "0"))
+
+
+def obs_text(spark, sf_dir, name=lambda k: packed("K", k)):
+    """80-column lines (line_no, value) of the orders; name: that of an object in seven places."""
     key = F.col("o_orderkey")
-    src = spark.read.parquet(f"{sf_dir}/orders.parquet").select(key.alias("line_no"), F.concat(F.lit("K"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")).alias("obj"), F.date_format("o_orderdate", "yyyy MM dd").alias("day"), (key % 97).alias("part"), (14 + (key % 800) / 100).alias("mag"), F.substr(F.lit("VRgrowicGyzBx"), (key % 13 + 1).cast("int"), F.lit(1)).alias("band"), F.concat(F.lit("S"), (key % 7).cast("string")).alias("station"))
+    src = spark.read.parquet(f"{sf_dir}/orders.parquet").select(key.alias("line_no"), name(F.col("o_custkey").cast("bigint")).alias("obj"), F.date_format("o_orderdate", "yyyy MM dd").alias("day"), (key % 97).alias("part"), (14 + (key % 800) / 100).alias("mag"), F.substr(F.lit("VRgrowicGyzBx"), (key % 13 + 1).cast("int"), F.lit(1)).alias("band"), F.concat(F.lit("S"), (key % 7).cast("string")).alias("station"))
     bad, dim = F.col("line_no") % 53 == 0, F.col("line_no") % 61 == 0
     day = F.when(bad, "2020 13 45").otherwise(F.col("day"))
     line = lambda mag, station: F.concat(F.lit("     "), "obj", F.lit("  C"), day, F.lit("."), F.rpad(F.lpad(F.col("part").cast("string"), 2, "0"), 6, " "), F.repeat(F.lit(" "), F.lit(33)), F.lpad(F.when(dim, "  ?").otherwise(F.format_string("%.2f", mag)), 5, " "), "band", F.repeat(F.lit(" "), F.lit(6)), F.rpad(station, 3, " "))
@@ -110,18 +117,17 @@ def obs_lines(spark, sf_dir):
     return rounded(observations.lines(obs_text(spark, sf_dir)))
 
 
-ALIAS = """ids AS (SELECT 'K' || lpad(k::VARCHAR, 6, '0') AS alias, 'K' || lpad((k - k % 20)::VARCHAR, 6, '0') AS primary_name FROM (SELECT DISTINCT o_custkey::BIGINT AS k FROM orders) d WHERE k % 20 IN (1, 3)),
- nums AS (SELECT 'K' || lpad(k::VARCHAR, 6, '0') AS alias, 'N' || lpad((k / 3)::INT::VARCHAR, 6, '0') AS primary_name FROM (SELECT DISTINCT o_custkey::BIGINT AS k FROM orders) d WHERE k % 60 = 3)"""
+ALIAS = f"""ids AS (SELECT {PACKED.format("'K'", 'k')} AS alias, {PACKED.format("'K'", 'k - k % 20')} AS primary_name FROM (SELECT DISTINCT o_custkey::BIGINT AS k FROM orders) d WHERE k % 20 IN (1, 3)),
+ nums AS (SELECT {PACKED.format("'K'", 'k')} AS alias, {PACKED.format("'N'", 'k // 3')} AS primary_name FROM (SELECT DISTINCT o_custkey::BIGINT AS k FROM orders) d WHERE k % 60 = 3)"""
 
 
 def alias_text(spark, sf_dir):
     """Two alias files as (line_no, value): a primary and two aliases a line; a 6-character head, then a primary and one alias."""
     k = F.col("k")
     keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("k")).distinct()
-    name = lambda head, x: F.concat(F.lit(head), F.lpad(x.cast("string"), 6, "0"))
     heads = keys.filter("k % 20 in (1, 3)").select((k - k % 20).alias("k")).distinct()
-    ids = heads.select(k.alias("line_no"), F.concat(name("K", k), name("K", k + 1), name("K", k + 3)).alias("value"))
-    nums = keys.filter("k % 60 = 3").select(k.alias("line_no"), F.concat(F.lpad(k.cast("string"), 6, " "), name("N", (k / 3).cast("int")), name("K", k)).alias("value"))
+    ids = heads.select(k.alias("line_no"), F.concat(packed("K", k), packed("K", k + 1), packed("K", k + 3)).alias("value"))
+    nums = keys.filter("k % 60 = 3").select(k.alias("line_no"), F.concat(F.lpad(k.cast("string"), 6, " "), packed("N", F.floor(k / 3)), packed("K", k)).alias("value"))
     return ids, nums
 
 

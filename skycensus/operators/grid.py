@@ -16,6 +16,8 @@ from skycensus.functions.orbit import EPS, OBLIQUITY, PHASE, elements, floor_at,
 
 SAMPLES, LONGITUDES, NEO_SAMPLES = 32, 24, 96
 TURN = 2 * 3.141592653589793
+#: Half of all weight, less what the rounding of a sum of some hundred weights may take.
+HALF = 0.5 - 1e-9
 
 
 def ramp(x: Column, full: float, none: float) -> Column:
@@ -142,9 +144,9 @@ def near_earth(orb: DataFrame, close: float = 0.3) -> DataFrame:
         F.sum(F.when(c("d") < close, c("w")).when(c("d").isNotNull(), 0.0)).alias("near"), F.sort_array(F.collect_list(F.when(c("d").isNotNull(), F.struct("d", "w")))).alias("all"),
     )
     m, w = c("m"), floor_at(c("w"), EPS)
-    # the first distance at which the running weight is half of all
+    # the first distance at which the running weight is half of all; on a circle that is half of equal weights, which sums reach but for a last bit
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("d"))
-    half = F.aggregate("all", start, lambda s, x: F.struct((s["sum"] + x["w"]).alias("sum"), F.when(s["d"].isNotNull(), s["d"]).when((s["sum"] + x["w"]) / w >= 0.5, x["d"]).alias("d")), lambda s: s["d"])
+    half = F.aggregate("all", start, lambda s, x: F.struct((s["sum"] + x["w"]).alias("sum"), F.when(s["d"].isNotNull(), s["d"]).when((s["sum"] + x["w"]) / w >= HALF, x["d"]).alias("d")), lambda s: s["d"])
     d, r = floor_at(m["d"], EPS), floor_at(m["r"], EPS)
     alpha = F.acos(held((m["r"] * m["r"] - m["rho"]) / (r * d), -1.0, 1.0))
     return per.select(

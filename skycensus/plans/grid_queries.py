@@ -64,7 +64,7 @@ def grid_trial_features(spark, sf_dir):
 
 @query(f"""WITH {_cells(96)}, n0 AS (SELECT *, sqrt(x*x+y*y) AS rho, CASE WHEN r IS NOT NULL AND ir IS NOT NULL THEN sqrt(greatest(3-1/greatest(a, 0.001)-2*sqrt(a*(1-e1*e1))*cos(ir), 0)) END AS speed FROM x), n1 AS (SELECT *, CASE WHEN rho IS NOT NULL THEN sqrt(greatest(w+1-2*rho, 0.001)) END AS d FROM n0),
  n2 AS (SELECT *, sum(w) OVER (PARTITION BY desig ORDER BY d, w, k ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY desig) AS total, row_number() OVER (PARTITION BY desig ORDER BY d, k) AS rn FROM n1),
- med AS (SELECT desig, min(d) AS half FROM n2 WHERE upto/greatest(total, 0.001) >= 0.5 GROUP BY desig),
+ med AS (SELECT desig, min(d) AS half FROM n2 WHERE upto/greatest(total, 0.001) >= 0.5 - 1e-9 GROUP BY desig),
  ns AS (SELECT desig, sum(CASE WHEN r < 1 THEN w ELSE w*0 END)/greatest(sum(w), 0.001) AS inside, sum(CASE WHEN d < 0.3 THEN w ELSE w*0 END)/greatest(sum(w), 0.001) AS near FROM n1 GROUP BY desig),
  m AS (SELECT *, CASE WHEN d IS NOT NULL THEN acos(greatest(-1.0, least(1.0, (r*r-rho)/(greatest(r, 0.001)*greatest(d, 0.001))))) END AS alpha FROM n2 WHERE rn = 1)
  SELECT m.desig, {r6(earth_moid="d", geo_dist_opp_typ="half", phase_at_moid="degrees(alpha)", vis_at_moid="h + 5*log10(greatest(r, 0.001)*d) - 2.5*log10(greatest(0.85*exp(-3.33*pow(tan(alpha/2), 0.63)) + 0.15*exp(-1.87*pow(tan(alpha/2), 1.22)), 1e-30))",

@@ -43,7 +43,8 @@ class Loss:
         if self.name == "logistic":
             p = 1 / (1 + np.exp(-np.clip(m, -30, 30)))
             return w * (y - p), w * p * (1 - p)
-        return w * (self.level - (y < m)), w + 0 * m
+        # counts often lie on their quantile: those are under it as well, or a quantile that is the least count would find no split
+        return w * (self.level - (y <= m)), w + 0 * m
 
     def response(self, m: np.ndarray) -> np.ndarray:
         return np.exp(m) if self.name == "poisson" else 1 / (1 + np.exp(-m)) if self.name == "logistic" else m
@@ -226,7 +227,7 @@ def train(df: DataFrame, features: list[str], y: Column, fold: Column, loss: Los
                     value[m, 2 * at : 2 * at + 2] = loss.leaf(*r["sums"][:2]), loss.leaf(*r["sums"][2:])
         if loss.name == "quantile":
             for (m, at), q in _leaf_quantiles(rows, fresh, (feature, cuts), depth, rate, n, models, [loss.level]).items():
-                value[m, at] = q[0]
+                value[m, at] = q[0] / (rate if k == rounds - 1 else 1.0)  # the last step is a whole one: short of it no leaf is at its level
         model.trees.append((feature, cuts, value))
         fresh.append(model.trees[-1])
         if len(fresh) == CUT and k < rounds - 1:

@@ -216,3 +216,19 @@ def test_compared_sets_equal_plain_loops(spark):
             each.append(np.sqrt(np.mean((y[mine] - np.exp(np.array(m)[mine])) ** 2)))
         assert got[name].rmse == pytest.approx(np.mean(each), abs=1e-9) and (got[name].size, got[name].n) == (len(names), 500)
     assert got["two"].deviance < got["one"].deviance
+
+
+def test_quantile_of_counts_splits_and_is_at_its_level(spark):
+    """Counts whose low quantile is their least one: the trees still part rows of few from rows of many, and each part is at its level."""
+    from skycensus.operators import boosting
+
+    rng = np.random.default_rng(4)
+    x, f = rng.uniform(0, 4, 8000), rng.integers(0, 4, 8000)
+    y = np.where(x < 2, 0, 5) + rng.poisson(3.0, 8000)
+    df = spark.createDataFrame([(k, float(a), float(b), int(z)) for k, (a, b, z) in enumerate(zip(x, y, f, strict=True))], "id long, x double, y double, f int")
+    model = boosting.train(df, ["x"], c("y"), c("f"), boosting.Loss("quantile", 0.02), folds=4, rounds=2, depth=2, least=100)
+    got = {r.id: r.q for r in boosting.out_of_fold(df, model, "id", c("f"), F.lit(True), "q").collect()}
+    q = np.array([got[k] for k in range(8000)])
+    assert q[x < 1.8].max() < 1 and q[x > 2.2].min() > 4  # a bin is 0.125 wide
+    for part in (x < 1.8, x > 2.2):
+        assert (y < q - 1e-9)[part].mean() <= 0.03 and (y <= q + 1e-9)[part].mean() >= 0.01

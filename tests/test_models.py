@@ -232,3 +232,18 @@ def test_quantile_of_counts_splits_and_is_at_its_level(spark):
     assert q[x < 1.8].max() < 1 and q[x > 2.2].min() > 4  # a bin is 0.125 wide
     for part in (x < 1.8, x > 2.2):
         assert (y < q - 1e-9)[part].mean() <= 0.03 and (y <= q + 1e-9)[part].mean() >= 0.01
+
+
+def test_grid_of_h_sorts_a_row_an_object(spark):
+    from skycensus.operators import evaluate
+
+    df = spark.createDataFrame([(k, None if k == 3 else 10.0 + k / 7, float(k % 9)) for k in range(300)], "desig long, h double, n double")
+    got = evaluate.h_grid(df, lambda r: r.withColumn("score", 40.0 - c("h")), "n")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("SortAggregate") < plan.index("MapInArrow") < plan.index("Generate")
+    for r in got.collect():
+        grid = [(k, 5.0 + k * 0.05) for k in range(501)]
+        own, want = (None if r.desig == 3 else 10.0 + r.desig / 7), r.desig % 9
+        rest = lambda h, want=want: abs(40.0 - h - want)
+        best = min(grid, key=lambda x: (rest(x[1]) > 0.5, (0 if own is None else abs(x[1] - own)) if rest(x[1]) <= 0.5 else rest(x[1]), x[0]))
+        assert r.h_neutral == pytest.approx(best[1], abs=1e-12) and r.within == (rest(best[1]) <= 0.5)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from skycensus.operators.boosting import Loss, Model, out_of_fold, plain, train
 from skycensus.operators.evaluate import fold_metrics
+from skycensus.operators.lineage import spread
 
 c = F.col
 
@@ -43,7 +44,7 @@ def shapley(df: DataFrame, score: Callable[[dict[str, Column]], Column], feature
     """
     item = F.struct(*[c(f).cast("double").alias(f) for f in features])
     one = sample.agg(F.array_sort(F.collect_list(item)).alias("_sample"))
-    rows = df.select(key, *[c(f).cast("double").alias(f) for f in features]).crossJoin(F.broadcast(one))
+    rows = spread(df.select(key, *[c(f).cast("double").alias(f) for f in features]), key).crossJoin(F.broadcast(one))
 
     def value(inside: tuple[str, ...]) -> Column:
         if len(inside) == len(features):

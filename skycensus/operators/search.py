@@ -67,7 +67,8 @@ def shapley(df: DataFrame, score: Callable[[dict[str, Column]], Column], feature
 def model_shapley(df: DataFrame, model: Model, sample: DataFrame, key: str, most: int = 200, block: int = 256) -> DataFrame:
     """As shapley(), of a fitted model of few features (2^features coalitions) by its tree of all rows; null features count as the model's own bin for them.
 
-    The sample of at most `most` rows goes to the tasks as bins; a task holds `block` rows times the sample at a time.
+    The sample of at most `most` rows goes to the tasks as bins; a task holds `block` rows times the sample at a time. Rows between the same
+    cuts of the trees in all features that a coalition takes from them have the same worth, which is worked out once a batch.
     """
     features, n = model.features, len(model.features)
     last = Model(features, model.edges, model.loss, model.base[-1:], model.rate, [(f[-1:], at[-1:], v[-1:]) for f, at, v in model.trees])
@@ -80,21 +81,32 @@ def model_shapley(df: DataFrame, model: Model, sample: DataFrame, key: str, most
         m = last.margins(bins)[:, 0]
         return np.exp(m) if last.loss.name == "poisson" else 1 / (1 + np.exp(-m)) if last.loss.name == "logistic" else m
 
+    marks = [np.unique([at[0, j] for f, at, _ in last.trees for j in np.flatnonzero(f[0] == k) if at[0, j] < 255]) for k in range(n)]
+
+    def value(bins: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        if inside.all():
+            return predicted(bins)
+        parts = [np.where(inside[None, None, :], bins[at : at + block, None, :], others[None, :, :]).reshape(-1, n) for at in range(0, len(bins), block)]
+        return np.concatenate([predicted(x).reshape(-1, len(others)).mean(1) for x in parts])
+
     def run(batches):
-        for whole in batches:
-            for start in range(0, whole.num_rows, block):
-                batch = whole.slice(start, block)
-                bins = last.bins(batch)
-                worth = np.zeros((2**n, len(bins)))
-                for mask in range(2**n):
-                    inside = np.array([mask >> k & 1 for k in range(n)], bool)
-                    mixed = np.where(inside[None, None, :], bins[:, None, :], others[None, :, :]).reshape(-1, n)
-                    worth[mask] = predicted(mixed).reshape(len(bins), len(others)).mean(1)
-                phi = [sum(weight[bin(s).count("1")] * (worth[s | 1 << k] - worth[s]) for s in range(2**n) if not s >> k & 1) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(worth[0]), pa.array(worth[-1]), *[pa.array(p) for p in phi]], names=[key, "base", "score", *[f"phi_{f}" for f in features]])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bins = last.bins(batch)
+            between = [np.searchsorted(marks[k], bins[:, k]) for k in range(n)]
+            worth = np.zeros((2**n, len(bins)))
+            for mask in range(2**n):
+                inside, place = np.array([mask >> k & 1 for k in range(n)], bool), np.zeros(len(bins), np.int64)
+                for k in np.flatnonzero(inside):
+                    place = place * (len(marks[k]) + 1) + between[k]
+                _, first, back = np.unique(place, return_index=True, return_inverse=True)
+                worth[mask] = value(bins[first], inside)[back]
+            phi = [sum(weight[bin(s).count("1")] * (worth[s | 1 << k] - worth[s]) for s in range(2**n) if not s >> k & 1) for k in range(n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(worth[0]), pa.array(worth[-1]), *[pa.array(p) for p in phi]], names=[key, "base", "score", *[f"phi_{f}" for f in features]])
 
     fields = ", ".join([f"`{key}` {kind}", "base double", "score double", *[f"`phi_{f}` double" for f in features]])
-    return df.select(key, *plain(features)).mapInArrow(run, fields)
+    return spread(df.select(key, *plain(features)), key).mapInArrow(run, fields)
 
 
 # selection of features

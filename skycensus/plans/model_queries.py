@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skycensus.functions import orbit
 from skycensus.operators import boosting, evaluate, observations, search
-from skycensus.operators.lineage import cut
+from skycensus.operators.lineage import cut, spread
 from skycensus.plans import fixtures as fx
 from skycensus.plans.base import ORB, query, rounded
 from skycensus.plans.catalog_queries import comet_elements, label_union
@@ -29,7 +29,7 @@ def described(rows: DataFrame) -> DataFrame:
 
 def frame(spark, sf_dir) -> DataFrame:
     """desig, FEATURES, fold and num_opps, a count that falls with magnitude and distance and scatters by desig; null: not in training."""
-    rows = described(fx.orbits(spark, sf_dir)).withColumn("fold", c("desig") % FOLDS)
+    rows = described(spread(fx.orbits(spark, sf_dir), "desig")).withColumn("fold", c("desig") % FOLDS)
     mean = F.exp(1.9 - 0.15 * (c("h") - 16) - 0.3 * (c("a") - 3) + 0.5 * c("e"))
     count = 1 + F.floor(mean * (0.25 + (c("desig") * 7877 % 1000) / 660.0))
     return rows.select("desig", "fold", *FEATURES, F.when(c("desig") % 10 != 3, count).alias("num_opps"))
@@ -151,7 +151,7 @@ def variants(spark, sf_dir) -> DataFrame:
     by, day = c("variant").cast("double"), F.date_from_unix_date(F.floor(c("epoch") - 2440587.5).cast("int"))
     digit = lambda x: F.substr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUV"), x.cast("int") + 1, F.lit(1))
     packed = F.concat(digit(F.floor(F.year(day) / 100)), F.lpad((F.year(day) % 100).cast("string"), 2, "0"), digit(F.month(day)), digit(F.day(day)), F.lit("5"))
-    rows = fx.orbits(spark, sf_dir).withColumn("variant", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
+    rows = spread(fx.orbits(spark, sf_dir), "desig").withColumn("variant", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
     numbers = [F.when(c("h").isNotNull(), F.format_string("%10.4f", c("h"))).otherwise(F.lit(" " * 10)), F.rpad(packed, 8, " "), *[F.format_string(f, x) for f, x in (("%13.7f", c("a") * (1 + by / 500)), ("%11.7f", F.greatest(c("e") + by / 1000, F.lit(0.0))), ("%11.5f", c("i")), ("%11.5f", c("node")))]]
     text = rows.select(F.concat(F.format_string("%9d%3d", c("desig"), c("variant")), *numbers).alias("value"))
     return described(fixed_width(text, VARIANT).withColumn("epoch", observations.packed_day(F.trim("epoch"))))

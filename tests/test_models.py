@@ -234,6 +234,18 @@ def test_quantile_of_counts_splits_and_is_at_its_level(spark):
         assert (y < q - 1e-9)[part].mean() <= 0.03 and (y <= q + 1e-9)[part].mean() >= 0.01
 
 
+def test_rows_of_one_file_are_dealt(spark):
+    """The tables of objects are small files; the work on them goes to all cores."""
+    from skycensus.operators import boosting, search
+    from skycensus.plans import model_queries
+
+    assert model_queries.frame(spark, DIR).rdd.getNumPartitions() == 8 and model_queries.variants(spark, DIR).rdd.getNumPartitions() == 8
+    df = spark.createDataFrame([(k, float(k), float(k % 3), k % 2) for k in range(40)], "id long, x double, y double, f int").coalesce(1)
+    model = boosting.train(df, ["x"], c("y"), c("f"), boosting.Loss("poisson"), folds=0, rounds=1, depth=1, least=3)
+    assert search.model_shapley(df, model, df.select("x").limit(5), "id").rdd.getNumPartitions() == 8
+    assert search.shapley(df, lambda x: x["x"], ["x"], df.select("x").limit(5), "id").rdd.getNumPartitions() == 8
+
+
 def test_grid_of_h_sorts_a_row_an_object(spark):
     from skycensus.operators import evaluate
 

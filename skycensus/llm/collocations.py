@@ -6,10 +6,12 @@ within a lang (null: `und`). Spark shuffles counts only:
 1. words are counted; 2. pairs of words that are both frequent are counted by hash bucket; 3. so are runs of 3 to 5 words whose
 pairs all lie in full buckets. A bucket holds at least the count of each of its phrases, so (Apriori) a phrase with a
 bucket or a part under the least count can't be frequent: what is left is a safe superset. Full buckets are kept as bitmaps
-of BUCKETS bits (8 MB), whatever the input; with more phrases than buckets they let more candidates through, never fewer.
-4. The distinct phrases left are the candidates, a table. 5. They are cut by hash into tries of about TRIE_PHRASES, so a broadcast
-is bounded; for each trie the corpus is passed once: numpy moves the states of all text positions on, word by word, counts the
-accepting states of a task in one array, and Spark deals the arrays by shards of COUNTS to be summed. No count comes from the buckets.
+of BUCKETS bits (8 MB), whatever the input; with more phrases than buckets they let more candidates through, never fewer. Spark deals
+the counts of a slice of texts as arrays by shards of SHARD buckets to be summed.
+4. The distinct phrases left are the candidates, a table; a task remembers by number those it has sent, up to SENT. 5. They are cut
+by hash into tries of about TRIE_PHRASES, so a broadcast is bounded; for each trie the corpus is passed once: numpy moves the states
+of all text positions on, word by word, counts the accepting states of a task in one array, and Spark deals the arrays by shards of
+COUNTS to be summed. No count comes from the buckets.
 
 Words are encoded by dictionary inside each slice of the texts, so no vocabulary is broadcast. Products in scores are decimals of
 38 digits. Null and empty texts have no words; repeated rows count as often as they occur; only lang and text are read, so other columns
@@ -19,6 +21,7 @@ may have any name. A table without words gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +34,17 @@ from skycensus.llm.common import cut, small, table
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 BUCKETS = 1 << 26
+#: Buckets whose counts go to the sum in one row; places among them have 16 bits.
+SHARD = 1 << 16
 TRIE_PHRASES = 1 << 17
 #: A word's number in a trie is two digits to this base.
 DIGIT = 1024
-#: Phrases that a task remembers to have sent.
-SENT = 1 << 20
+#: Words and phrases that a task remembers to have sent: 12 bytes a phrase, some 200 a word.
+SENT, SENT_WORDS = 1 << 21, 1 << 17
 #: Counts of a trie that go to the sum in one row.
 COUNTS = 512
-#: Bytes of text that a task works on at once (a longer text: by itself).
-SLICE = 8 << 20
+#: Bytes of text that a task works on at once (a longer text: by itself), bytes that it takes from and rows that it gives to Spark at once.
+SLICE, BATCH, GIVEN = 8 << 20, "4m", 1 << 16
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Per byte: 0 within a word, 1 between words, 2 between pieces.
 KIND = bytes(2 if b in b".,;:!?\n\x0b\x0c\r" else 1 if b in b" \t" else 0 for b in range(256))
@@ -55,13 +60,14 @@ class Slice:
         word[1:-1] = kind == 0
         edge = np.diff(word)
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        del word, edge
         at = np.zeros(len(starts) + 1, np.int32)
         np.cumsum(ends - starts, out=at[1:])
         letters = np.frombuffer(raw.translate(LOWER), np.uint8)[kind == 0]
         coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(letters)).dictionary_encode()
         self.lang, self.words = lang, coded.dictionary
-        self.ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.piece = np.searchsorted(np.flatnonzero(kind == 2), starts)
+        self.ids = coded.indices.to_numpy(zero_copy_only=False)
+        self.piece = np.searchsorted(np.flatnonzero(kind == 2), starts).astype(np.int32)
 
     def within(self, size: int) -> np.ndarray:
         """Whether `size` words from each position lie in one piece."""
@@ -94,12 +100,27 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
         yield Slice(x, held.pop(x))
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession) -> Iterator[None]:
+    """Texts go to the tasks' Python in batches of about BATCH bytes (by default up to 64 MB, which both sides hold); afterwards as before."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def over_slices(docs: DataFrame, make: Callable[[Iterator[Slice]], Iterator[dict]], schema: str) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         for made in make(slices(batches)):
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in made.values()], names=names)
+            cols = list(made.values())
+            for at in range(0, len(cols[0]), GIVEN):
+                part = [x[at : at + GIVEN] for x in cols]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in part], names=names)
 
     rows = docs.filter("text <> ''").select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, schema)
@@ -143,6 +164,8 @@ class Windows:
         """Places of runs of `size` words all of whose parts may be frequent; checked: by their own bucket, too."""
         n = max(0, len(self.s.ids) - size + 1)
         self.h[size] = mix(self.h[size - 1][:n], self.h[1][size - 1 :][:n])
+        if size > 2:
+            del self.h[size - 1], self.may[size - 2]
         may = self.s.within(size) & self.may[size - 1][:n] & self.may[size - 1][1 : n + 1]
         places = np.flatnonzero(may)
         if checked:
@@ -163,22 +186,75 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return over_slices(docs, make, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def by_shard(of: np.ndarray, n: np.ndarray) -> dict[str, pa.Array]:
+    """Counts n of distinct, sorted buckets as a row for each shard: places in the shard and their counts, in 2 and 4 bytes."""
+    shard, first = np.unique(of // SHARD, return_index=True)
+    edges = np.append(first, len(of)).astype(np.int32)
+    pack = lambda x: pa.Array.from_buffers(pa.binary(), len(shard), [None, pa.py_buffer(edges * np.int32(x.itemsize)), pa.py_buffer(x)])
+    return {"shard": shard.astype(np.int64), "places": pack((of % SHARD).astype(np.uint16)), "counts": pack(n.astype(np.uint32))}
+
+
 def full_buckets(docs: DataFrame, sizes: range, bitmaps: list[bytes], least: int) -> bytes:
     """Bitmap of the buckets of at least `least` runs of words of these sizes."""
     known = docs.sparkSession.sparkContext.broadcast(bitmaps)
 
     def make(parts):
         for s in parts:
-            w, found = Windows(s, known.value), []
+            w = Windows(s, known.value)
             for size in range(2, sizes[-1] + 1):
                 places = w.level(size, size not in sizes)
                 if size in sizes:
-                    found.append(bucket(w.h[size][places]))
-            of, n = np.unique(np.concatenate(found), return_counts=True)
-            yield {"bucket": of, "n": n.astype(np.int64)}
+                    yield by_shard(*np.unique(bucket(w.h[size][places]).astype(np.uint32), return_counts=True))
+
+    def add(batches):
+        """Full buckets of each shard, from its rows of all tasks in a stream sorted by shard."""
+        now, total = None, None
+        found = lambda: pa.RecordBatch.from_arrays([pa.array([now]), pa.array([np.packbits(total >= least, bitorder="little").tobytes()])], names=["shard", "bits"])
+        for batch in batches:
+            for shard, places, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if shard != now:
+                    if now is not None:
+                        yield found()
+                    now, total = shard, np.zeros(SHARD, np.int64)
+                total[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint32)
+        if now is not None:
+            yield found()
+
+    shards = over_slices(docs, make, "shard bigint, places binary, counts binary").repartition("shard").sortWithinPartitions("shard")
+    out = bytearray(BUCKETS // 8)
+    for shard, bits in shards.mapInArrow(add, "shard bigint, bits binary").collect():  # at most BUCKETS bits
+        out[shard * SHARD // 8 : (shard + 1) * SHARD // 8] = bits
+    return bytes(out)
+
+
+class Sent:
+    """The phrases that a task has sent, told apart by number, not by hash: a phrase is the number of its beginning and that of its last word."""
+
+    def __init__(self):
+        self.word: dict[tuple[str, str], int] = {}
+        #: By size of phrase: sorted keys (beginning, last word), and the number of each.
+        self.keys = {size: np.zeros(0, np.int64) for size in range(2, LONGEST + 1)}
+        self.numbers = {size: np.zeros(0, np.int32) for size in range(2, LONGEST + 1)}
+
+    def __len__(self) -> int:
+        return sum(map(len, self.keys.values()))
+
+    def words(self, lang: str, words: list[str]) -> list[int]:
+        return [self.word.setdefault((lang, w), len(self.word)) for w in words]
 
-    counts = over_slices(docs, make, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    return bitmap(counts.filter(F.col("n") >= least))
+    def add(self, size: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of these distinct, sorted keys, and which of them are new."""
+        known, numbers = self.keys[size], self.numbers[size]
+        at = np.searchsorted(known, keys)
+        old = np.zeros(len(keys), bool)
+        inner = at < len(known)
+        old[inner] = known[at[inner]] == keys[inner]
+        out = np.empty(len(keys), np.int32)
+        out[old] = numbers[at[old]]
+        out[~old] = np.arange(len(known), len(known) + np.count_nonzero(~old), dtype=np.int32)
+        self.keys[size] = np.insert(known, at[~old], keys[~old])
+        self.numbers[size] = np.insert(numbers, at[~old], out[~old])
+        return out, ~old
 
 
 def candidates(docs: DataFrame, bitmaps: list[bytes]) -> DataFrame:
@@ -187,19 +263,21 @@ def candidates(docs: DataFrame, bitmaps: list[bytes]) -> DataFrame:
     known = context.broadcast(bitmaps)
 
     def make(parts):
-        sent: set[tuple[str, str]] = set()
+        sent = Sent()
         for s in parts:
             w = Windows(s, known.value)
-            code = s.ids
+            sent = sent if len(sent) < SENT and len(sent.word) < SENT_WORDS else Sent()
+            some = np.unique(s.ids[w.may[1]])
+            number = np.zeros(len(s.words), np.int64)
+            number[some] = sent.words(s.lang, s.words.take(pa.array(some)).to_pylist())
+            code = number[s.ids]  # of phrases by number
             for size in range(2, LONGEST + 1):
                 places = w.level(size, True)
-                _, first, back = np.unique(code[places] * (len(s.words) + 1) + s.ids[places + size - 1], return_index=True, return_inverse=True)
-                new = [p for p in s.phrases(places[first], size).to_pylist() if (s.lang, p) not in sent]
-                sent = sent if len(sent) < SENT else set()
-                sent.update((s.lang, p) for p in new)
-                yield {"lang": pa.array([s.lang] * len(new), pa.string()), "phrase": pa.array(new, pa.string())}
-                code = np.zeros(len(s.ids), np.int64)  # of phrases by number, for the next level
-                code[places] = back
+                keys, first, back = np.unique(code[places] << 32 | number[s.ids[places + size - 1]], return_index=True, return_inverse=True)
+                numbers, new = sent.add(size, keys)
+                code[places] = numbers[back]
+                for at in np.split(places[first[new]], range(GIVEN, np.count_nonzero(new), GIVEN)):
+                    yield {"lang": pa.array([s.lang] * len(at), pa.string()), "phrase": s.phrases(at, size)}
 
     shards = docs.coalesce(max(1, context.defaultParallelism))  # a phrase leaves a task once: as few tasks as there are cores
     return over_slices(shards, make, "lang string, phrase string").distinct()
@@ -346,13 +424,14 @@ def phrase_counts(docs: DataFrame, wanted: DataFrame, bound: int = TRIE_PHRASES)
 
 def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(words, phrases, totals): (lang, word, n) and (lang, phrase, n) of at least `least` occurrences, (lang, n) of all words."""
-    counts = cut(word_counts(docs))
-    words, totals = counts.filter(F.col("n") >= least), counts.groupBy("lang").agg(F.sum("n").alias("n"))
-    top = F.shiftrightunsigned(F.xxhash64("lang", "word"), 64 - (BUCKETS.bit_length() - 1))
-    maps = [bitmap(words.select(top.alias("bucket")))]
-    maps.append(full_buckets(docs, range(2, 3), maps, least))
-    maps.append(full_buckets(docs, range(3, LONGEST + 1), maps, least))
-    phrases = phrase_counts(docs, cut(candidates(docs, maps)))
+    with arrow_batches(docs.sparkSession):
+        counts = cut(word_counts(docs))
+        words, totals = counts.filter(F.col("n") >= least), counts.groupBy("lang").agg(F.sum("n").alias("n"))
+        top = F.shiftrightunsigned(F.xxhash64("lang", "word"), 64 - (BUCKETS.bit_length() - 1))
+        maps = [bitmap(words.select(top.alias("bucket")))]
+        maps.append(full_buckets(docs, range(2, 3), maps, least))
+        maps.append(full_buckets(docs, range(3, LONGEST + 1), maps, least))
+        phrases = phrase_counts(docs, cut(candidates(docs, maps)))
     return words, phrases.filter(F.col("n") >= least), totals
 
 

@@ -118,6 +118,92 @@ def test_collocations_brute_force(spark):
     assert many == {(r.lang, r.phrase): r.n for r in phrases.collect()} and len(many) > 40
 
 
+class Task:
+    """Stands for a table: keeps the function that would run over its batches, to run it here."""
+
+    def __init__(self, spark):
+        self.sparkSession, self.run = spark, None
+
+    def filter(self, *_):
+        return self
+
+    select = coalesce = distinct = filter
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def test_candidates_of_a_task_in_little_memory(spark):
+    """A task that meets 600,000 phrases sends each once, in small batches, and remembers them in a few bytes each."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from skycensus.llm.collocations import BUCKETS, SLICE, candidates
+
+    rng = np.random.default_rng(9)
+    rows = [(x, " ".join(f"W{v}" for v in rng.integers(0, 2000, 50_000))) for x in ("de", "en", "en2")]
+    run = candidates(Task(spark), [b"\xff" * (BUCKETS // 8)] * 3).run
+    batch = lambda x, text: pa.RecordBatch.from_arrays([pa.array([x]), pa.array([text.encode()])], names=["lang", "text"])
+    most = sum(made.num_rows for made in run(iter([batch("de", "a b")])))  # loads the bitmaps
+    tracemalloc.start()
+    for made in run(batch(*row) for row in rows):
+        most = max(most, made.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and most <= 1 << 16
+    rows.append(("en", rows[1][1][:100_000].rsplit(" ", 1)[0] + " new"))
+    sent, want = Counter(), set()
+    for made in run(batch(x, text + "." + "z" * SLICE) for x, text in rows):  # each row is a slice
+        sent.update(zip(*[c.to_pylist() for c in made.columns], strict=True))
+    for x, text in rows:
+        w = text.lower().split()
+        want |= {(x, " ".join(w[i : i + k])) for k in range(2, 6) for i in range(len(w) - k + 1)}
+    assert set(sent) == want and max(sent.values()) == 1 and len(want) > 550_000
+
+
+def test_full_buckets_are_those_counted(spark):
+    """Counts of buckets, dealt as arrays, against a plain count; few rows a task leave Spark."""
+    from skycensus.llm.collocations import BUCKETS, Slice, Windows, bucket, full_buckets
+
+    rng = np.random.default_rng(3)
+    docs = [(x, " ".join(f"w{int(v)}" for v in rng.zipf(1.3, 400) % 500) + ". b") for x in ("en", "fr", None) for _ in range(40)]
+    every = [b"\xff" * (BUCKETS // 8)] * 3
+    df = spark.createDataFrame(docs, "lang string, text string").repartition(7)
+    for sizes in (range(2, 3), range(3, 6)):
+        n = Counter()
+        for x, text in docs:
+            w = Windows(Slice(x or "und", [text.encode()]), every)
+            for k in range(2, sizes[-1] + 1):
+                places = w.level(k, False)
+                if k in sizes:
+                    n.update(bucket(w.h[k][places]).tolist())
+        bits = np.unpackbits(np.frombuffer(full_buckets(df, sizes, every, 20), np.uint8), bitorder="little")
+        want = {b for b, k in n.items() if k >= 20}
+        assert set(np.flatnonzero(bits).tolist()) == want and len(want) > 20
+
+
+def test_texts_come_in_small_batches(spark):
+    """What of the texts crosses to a task's Python at once is bounded; the session is left as it was."""
+    from skycensus.llm.collocations import arrow_batches, frequent
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    df = spark.range(400).selectExpr("'en' as lang", "cast(repeat('a b ', 12500) as binary) as text").coalesce(1)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    with arrow_batches(spark):
+        assert df.mapInArrow(sizes, "n long").groupBy().max("n").first()[0] < 6 << 20
+    frequent(spark.createDataFrame([("en", "a b")], "lang string, text string"), 1)
+    assert spark.conf.get(name) == before
+
+
 def test_score_beyond_64_bits():
     """The widest step of the score, in the SQL that the plan uses."""
     from pyspark.sql import SparkSession

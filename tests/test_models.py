@@ -259,3 +259,23 @@ def test_grid_of_h_sorts_a_row_an_object(spark):
         rest = lambda h, want=want: abs(40.0 - h - want)
         best = min(grid, key=lambda x: (rest(x[1]) > 0.5, (0 if own is None else abs(x[1] - own)) if rest(x[1]) <= 0.5 else rest(x[1]), x[0]))
         assert r.h_neutral == pytest.approx(best[1], abs=1e-12) and r.within == (rest(best[1]) <= 0.5)
+
+
+def test_grid_of_h_takes_every_object(spark):
+    from skycensus.plans import evaluate_queries
+
+    got = evaluate_queries.h_grid(spark, DIR).collect()
+    keys = [r[0] for r in spark.read.parquet(f"{DIR}/customer.parquet").select("c_custkey").collect()]
+    assert sorted(r.desig for r in got) == sorted(keys)
+    bare = [r for r in got if r.desig % 37 == 0]  # without h: no change, the first grid h within tolerance
+    assert bare and all(r.h_change is None and r.h_neutral is not None for r in bare)
+
+
+def test_grid_of_h_with_odd_keys(spark):
+    """Objects of several rows, without key or without score; a score that no grid h brings within tolerance and that is the same for many."""
+    from skycensus.operators import evaluate
+
+    rows = [(1, 12.0, 3.0), (1, 15.02, 24.8), (None, 11.0, 4.0), (2, 20.0, -5.0), (3, 10.0, None), (4, None, 99.0)]
+    got = evaluate.h_grid(spark.createDataFrame(rows, "desig long, h double, n double"), lambda r: r.withColumn("score", F.least(F.lit(25.0), 40.0 - c("h"))), "n")
+    have = {r.desig: (round(r.h_neutral, 6), r.h_change if r.h_change is None else round(r.h_change, 6), r.within) for r in got.collect()}
+    assert have == {1: (15.0, -0.02, True), None: (30.0, 19.0, False), 2: (30.0, 10.0, False), 4: (5.0, None, False)}

@@ -1,4 +1,4 @@
-"""Phrase collocation mining: level-wise candidates, counted by broadcast double-array tries.
+"""Phrase collocation mining: level-wise candidates, counted by 64-bit numbers, those that share a number by broadcast double-array tries.
 
 A-Z are lower-cased, texts are cut into pieces at `.,;:!?` and line ends, pieces into words at blanks and tabs; all is counted
 within a lang (null: `und`). Spark shuffles counts only:
@@ -6,12 +6,14 @@ within a lang (null: `und`). Spark shuffles counts only:
 1. words are counted; 2. pairs of words that are both frequent are counted by hash bucket; 3. so are runs of 3 to 5 words whose
 pairs all lie in full buckets. A bucket holds at least the count of each of its phrases, so (Apriori) a phrase with a
 bucket or a part under the least count can't be frequent: what is left is a safe superset. Full buckets are kept as bitmaps
-of BUCKETS bits (8 MB), whatever the input; with more phrases than buckets they let more candidates through, never fewer. Spark deals
-the counts of a slice of texts as arrays by shards of SHARD buckets to be summed.
-4. The distinct phrases left are the candidates, a table; a task remembers by number those it has sent, up to SENT. 5. They are cut
-by hash into tries of about TRIE_PHRASES, so a broadcast is bounded; for each trie the corpus is passed once: numpy moves the states
-of all text positions on, word by word, counts the accepting states of a task in one array, and Spark deals the arrays by shards of
-COUNTS to be summed. No count comes from the buckets.
+of BUCKETS bits (8 MB) or, for large tables, a bit for every PER_BUCKET words; with more phrases than buckets they let more
+candidates through, never fewer. Spark deals the counts of a slice of texts as arrays by shards of SHARD buckets to be summed.
+4. The distinct phrases left are the candidates, a table; a task remembers by number those it has sent, up to SENT. 5. Runs that are
+candidates are counted by their hash, in one pass however many there are: a task adds up to HELD of them and gives them as arrays
+by PARTS of the hashes' range to be summed. A hash that one candidate has alone counts that candidate. 6. Candidates that share their
+hash, hardly ever any, are cut into tries of about TRIE_PHRASES, so a broadcast is bounded; for each trie the corpus is passed once:
+numpy moves the states of all text positions on, word by word, counts the accepting states of a task in one array, and Spark deals the
+arrays by shards of COUNTS to be summed. No count comes from the buckets.
 
 Words are encoded by dictionary inside each slice of the texts, so no vocabulary is broadcast. Products in scores are decimals of
 38 digits. Null and empty texts have no words; repeated rows count as often as they occur; only lang and text are read, so other columns
@@ -36,11 +38,17 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 BUCKETS = 1 << 26
 #: Buckets whose counts go to the sum in one row; places among them have 16 bits.
 SHARD = 1 << 16
+#: Words for which there is a bucket, where that makes more than BUCKETS.
+PER_BUCKET = 8
+#: Parts of the range of hashes in which counts of phrases are summed, and hashes that a task adds up before it gives them.
+PARTS, HELD = 1 << 12, 1 << 20
 TRIE_PHRASES = 1 << 17
 #: A word's number in a trie is two digits to this base.
 DIGIT = 1024
 #: Words and phrases that a task remembers to have sent: 12 bytes a phrase, some 200 a word.
-SENT, SENT_WORDS = 1 << 21, 1 << 17
+SENT, SENT_WORDS = 1 << 21, 1 << 18
+#: Words of texts that a task looks through for candidates, where that makes more tasks than there are cores.
+TASK_WORDS = 1 << 25
 #: Counts of a trie that go to the sum in one row.
 COUNTS = 512
 #: Bytes of text that a task works on at once (a longer text: by itself), bytes that it takes from and rows that it gives to Spark at once.
@@ -50,6 +58,12 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 KIND = bytes(2 if b in b".,;:!?\n\x0b\x0c\r" else 1 if b in b" \t" else 0 for b in range(256))
 
 
+def word_hashes(lang: str, words: pa.Array) -> np.ndarray:
+    """The XXH64 that Spark's xxhash64(lang, word) gives."""
+    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+
+
 class Slice:
     """Texts of one lang as numbers: ids (word of each position, a place in `words`), piece (number of its piece)."""
 
@@ -75,9 +89,8 @@ class Slice:
         return self.piece[:n] == self.piece[size - 1 :] if n > 0 else np.zeros(0, bool)
 
     def hashes(self) -> np.ndarray:
-        """Of the distinct words: the XXH64 that Spark's xxhash64(lang, word) gives."""
-        seed = xxhash.xxh64_intdigest(self.lang.encode(), 42)
-        return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.words.cast(pa.binary()).to_pylist()), np.uint64, len(self.words))
+        """Of the distinct words."""
+        return word_hashes(self.lang, self.words)
 
     def phrases(self, places: np.ndarray, size: int) -> pa.Array:
         return pc.binary_join_element_wise(*[self.words.take(pa.array(self.ids[places + j])) for j in range(size)], " ")
@@ -132,8 +145,8 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xD6E8FEB86659FD93)
 
 
-def bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.int64)
+def bucket(h: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    return (h >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64)
 
 
 def bitmap(rows: DataFrame) -> bytes:
@@ -147,7 +160,7 @@ def bitmap(rows: DataFrame) -> bytes:
 
 
 def full(bits: bytes, h: np.ndarray) -> np.ndarray:
-    b = bucket(h)
+    b = bucket(h, 8 * len(bits))
     return (np.frombuffer(bits, np.uint8)[b >> 3] >> (b & 7)) & 1 == 1
 
 
@@ -186,15 +199,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return over_slices(docs, make, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def packed(shard: np.ndarray, **cols: np.ndarray) -> dict[str, pa.Array]:
+    """A row for each of the sorted shards, with the values that it has in each column as bytes."""
+    of, first = np.unique(shard, return_index=True)
+    edges = np.append(first, len(shard)).astype(np.int32)
+    pack = lambda x: pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(edges * np.int32(x.itemsize)), pa.py_buffer(x)])
+    return {"shard": of.astype(np.int64), **{name: pack(x) for name, x in cols.items()}}
+
+
 def by_shard(of: np.ndarray, n: np.ndarray) -> dict[str, pa.Array]:
     """Counts n of distinct, sorted buckets as a row for each shard: places in the shard and their counts, in 2 and 4 bytes."""
-    shard, first = np.unique(of // SHARD, return_index=True)
-    edges = np.append(first, len(of)).astype(np.int32)
-    pack = lambda x: pa.Array.from_buffers(pa.binary(), len(shard), [None, pa.py_buffer(edges * np.int32(x.itemsize)), pa.py_buffer(x)])
-    return {"shard": shard.astype(np.int64), "places": pack((of % SHARD).astype(np.uint16)), "counts": pack(n.astype(np.uint32))}
+    return packed(of // SHARD, places=(of % SHARD).astype(np.uint16), counts=n.astype(np.uint32))
+
 
+def buckets_for(words: int) -> int:
+    return max(BUCKETS, 1 << (words // PER_BUCKET).bit_length())
 
-def full_buckets(docs: DataFrame, sizes: range, bitmaps: list[bytes], least: int) -> bytes:
+
+def full_buckets(docs: DataFrame, sizes: range, bitmaps: list[bytes], least: int, buckets: int = BUCKETS) -> bytes:
     """Bitmap of the buckets of at least `least` runs of words of these sizes."""
     known = docs.sparkSession.sparkContext.broadcast(bitmaps)
 
@@ -204,7 +226,7 @@ def full_buckets(docs: DataFrame, sizes: range, bitmaps: list[bytes], least: int
             for size in range(2, sizes[-1] + 1):
                 places = w.level(size, size not in sizes)
                 if size in sizes:
-                    yield by_shard(*np.unique(bucket(w.h[size][places]).astype(np.uint32), return_counts=True))
+                    yield by_shard(*np.unique(bucket(w.h[size][places], buckets).astype(np.uint32), return_counts=True))
 
     def add(batches):
         """Full buckets of each shard, from its rows of all tasks in a stream sorted by shard."""
@@ -221,8 +243,8 @@ def full_buckets(docs: DataFrame, sizes: range, bitmaps: list[bytes], least: int
             yield found()
 
     shards = over_slices(docs, make, "shard bigint, places binary, counts binary").repartition("shard").sortWithinPartitions("shard")
-    out = bytearray(BUCKETS // 8)
-    for shard, bits in shards.mapInArrow(add, "shard bigint, bits binary").collect():  # at most BUCKETS bits
+    out = bytearray(buckets // 8)
+    for shard, bits in shards.mapInArrow(add, "shard bigint, bits binary").collect():  # `buckets` bits in all
         out[shard * SHARD // 8 : (shard + 1) * SHARD // 8] = bits
     return bytes(out)
 
@@ -257,8 +279,8 @@ class Sent:
         return out, ~old
 
 
-def candidates(docs: DataFrame, bitmaps: list[bytes]) -> DataFrame:
-    """(lang, phrase), distinct: all that the bitmaps let through, so all frequent phrases among them."""
+def candidates(docs: DataFrame, bitmaps: list[bytes], tasks: int = 1) -> DataFrame:
+    """(lang, phrase), distinct: all that the bitmaps let through, so all frequent phrases among them; in `tasks` tasks, or one a core if that is more."""
     context = docs.sparkSession.sparkContext
     known = context.broadcast(bitmaps)
 
@@ -267,22 +289,108 @@ def candidates(docs: DataFrame, bitmaps: list[bytes]) -> DataFrame:
         for s in parts:
             w = Windows(s, known.value)
             sent = sent if len(sent) < SENT and len(sent.word) < SENT_WORDS else Sent()
-            some = np.unique(s.ids[w.may[1]])
+            places = w.level(2, True)
+            some = np.unique(s.ids[np.concatenate([places, places + 1])])
             number = np.zeros(len(s.words), np.int64)
             number[some] = sent.words(s.lang, s.words.take(pa.array(some)).to_pylist())
             code = number[s.ids]  # of phrases by number
             for size in range(2, LONGEST + 1):
-                places = w.level(size, True)
+                places = w.level(size, True) if size > 2 else places
                 keys, first, back = np.unique(code[places] << 32 | number[s.ids[places + size - 1]], return_index=True, return_inverse=True)
                 numbers, new = sent.add(size, keys)
                 code[places] = numbers[back]
                 for at in np.split(places[first[new]], range(GIVEN, np.count_nonzero(new), GIVEN)):
                     yield {"lang": pa.array([s.lang] * len(at), pa.string()), "phrase": s.phrases(at, size)}
 
-    shards = docs.coalesce(max(1, context.defaultParallelism))  # a phrase leaves a task once: as few tasks as there are cores
+    shards = docs.coalesce(max(tasks, context.defaultParallelism))  # a phrase leaves a task once: few tasks
     return over_slices(shards, make, "lang string, phrase string").distinct()
 
 
+def numbered(phrases: DataFrame, bits: int = 64) -> DataFrame:
+    """(lang, phrase) with h, the first `bits` bits of the hash that Windows gives such a run of words."""
+
+    def hashes(lang: str, some: pa.Array) -> np.ndarray:
+        parts = pc.split_pattern(some, " ")
+        first, size = parts.offsets.to_numpy()[:-1], np.diff(parts.offsets.to_numpy())
+        coded = parts.flatten().dictionary_encode()
+        word = word_hashes(lang, coded.dictionary)[coded.indices.to_numpy()]
+        h = word[first]
+        for j in range(1, LONGEST):
+            more = size > j
+            h[more] = mix(h[more], word[first[more] + j])
+        return h >> np.uint64(64 - bits)
+
+    def run(batches):
+        for batch in batches:
+            coded, h = batch["lang"].dictionary_encode(), np.zeros(batch.num_rows, np.uint64)
+            for k, lang in enumerate(coded.dictionary.to_pylist()):
+                at = np.flatnonzero(coded.indices.to_numpy() == k)
+                h[at] = hashes(lang, batch["phrase"].take(pa.array(at)))
+            yield pa.RecordBatch.from_arrays([batch["lang"], batch["phrase"], pa.array(h.view(np.int64))], names=["lang", "phrase", "h"])
+
+    return phrases.select("lang", "phrase").mapInArrow(run, "lang string, phrase string, h bigint")
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts, of such parts."""
+    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")  # merges runs
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
+def hash_counts(docs: DataFrame, bitmaps: list[bytes], least: int, bits: int = 64) -> DataFrame:
+    """(h, n) of the hashes that at least `least` runs of words have which the bitmaps let through."""
+    known = docs.sparkSession.sparkContext.broadcast(bitmaps)
+
+    def make(parts):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        given = lambda h, n: packed(h >> np.uint64(64 - (PARTS.bit_length() - 1)), hashes=h, counts=n)
+        for s in parts:
+            w = Windows(s, known.value)
+            for size in range(2, LONGEST + 1):
+                places = w.level(size, True)
+                held.append(np.unique(w.h[size][places] >> np.uint64(64 - bits), return_counts=True))
+            held = [summed(held)]
+            if len(held[0][0]) >= HELD:
+                yield given(*held.pop())
+        if held:
+            yield given(*held.pop())
+
+    def add(batches):
+        """Sums of each part, from its rows of all tasks in a stream sorted by part."""
+        now, held = None, []
+
+        def found():
+            h, n = summed(held)
+            return pa.RecordBatch.from_arrays([pa.array(h[n >= least].view(np.int64)), pa.array(n[n >= least])], names=["h", "n"])
+
+        for batch in batches:
+            for shard, hashes, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if shard != now:
+                    if held:
+                        yield found()
+                    now, held = shard, []
+                held.append((np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.int64)))
+        if held:
+            yield found()
+
+    shards = over_slices(docs, make, "shard bigint, hashes binary, counts binary").repartition("shard").sortWithinPartitions("shard")
+    return shards.mapInArrow(add, "h bigint, n bigint")
+
+
+def frequent_phrases(docs: DataFrame, bitmaps: list[bytes], least: int, bits: int = 64, tasks: int = 1) -> DataFrame:
+    """(lang, phrase, n) of the phrases of at least `least` occurrences, written."""
+    wanted = cut(numbered(candidates(docs, bitmaps, tasks), bits))
+    shared = cut(wanted.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h"))
+    counts = wanted.join(hash_counts(docs, bitmaps, least, bits), "h")
+    if shared.isEmpty():
+        return cut(counts.select("lang", "phrase", "n"))
+    apart = cut(counts.join(shared, "h", "left_anti").select("lang", "phrase", "n"))
+    return apart.unionByName(phrase_counts(docs, cut(wanted.join(shared, "h", "left_semi").select("lang", "phrase"))).filter(F.col("n") >= least))
+
+
 class Trie:
     """Double array over [lang, word, ...] by digits: the child of state s for digit d is t = base[s] + d if check[t] = s."""
 
@@ -429,10 +537,12 @@ def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame,
         words, totals = counts.filter(F.col("n") >= least), counts.groupBy("lang").agg(F.sum("n").alias("n"))
         top = F.shiftrightunsigned(F.xxhash64("lang", "word"), 64 - (BUCKETS.bit_length() - 1))
         maps = [bitmap(words.select(top.alias("bucket")))]
-        maps.append(full_buckets(docs, range(2, 3), maps, least))
-        maps.append(full_buckets(docs, range(3, LONGEST + 1), maps, least))
-        phrases = phrase_counts(docs, cut(candidates(docs, maps)))
-    return words, phrases.filter(F.col("n") >= least), totals
+        size = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        buckets = buckets_for(size)
+        maps.append(full_buckets(docs, range(2, 3), maps, least, buckets))
+        maps.append(full_buckets(docs, range(3, LONGEST + 1), maps, least, buckets))
+        phrases = frequent_phrases(docs, maps, least, tasks=size // TASK_WORDS)
+    return words, phrases, totals
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:

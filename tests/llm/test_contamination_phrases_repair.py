@@ -184,6 +184,68 @@ def test_full_buckets_are_those_counted(spark):
         assert set(np.flatnonzero(bits).tolist()) == want and len(want) > 20
 
 
+def brute_counts(docs, least):
+    f = Counter()
+    for lang, text in docs:
+        for piece in text.lower().split("."):
+            w = piece.split()
+            f.update((lang or "und", " ".join(w[i : i + k])) for k in range(2, 6) for i in range(len(w) - k + 1))
+    return {p: n for p, n in f.items() if n >= least}
+
+
+def test_passes_do_not_grow_with_candidates(spark, monkeypatch):
+    """240,000 candidates took three tries, each a pass over the texts, and more of them more; now there are five passes for any number."""
+    from skycensus.llm import collocations
+
+    rng, passes, real = np.random.default_rng(12), [], collocations.over_slices
+    docs = [(x, " ".join(f"w{v}" for v in rng.integers(0, 3000, 1000))) for x in ("de", "en", None) for _ in range(20)]
+    monkeypatch.setattr(collocations, "over_slices", lambda *a: passes.append(a) or real(*a))
+    _, phrases, _ = collocations.frequent(spark.createDataFrame(docs, "lang string, text string").repartition(4), 1)
+    want = brute_counts(docs, 1)
+    assert {(r.lang, r.phrase): r.n for r in phrases.collect()} == want and len(want) > 230_000
+    assert len(passes) == 5
+
+
+def test_candidates_of_one_hash_are_counted_apart(spark):
+    """Cut to few bits, hashes are shared by most candidates, by some, by none: the counts are the same."""
+    from skycensus.llm.collocations import BUCKETS, frequent_phrases
+
+    rng = np.random.default_rng(13)
+    docs = [(x, " ".join(f"é{int(v)}" for v in rng.zipf(1.4, 60) % 40) + ". ô b") for x in ("en", "fr", None) for _ in range(20)]
+    df, want = spark.createDataFrame(docs, "lang string, text string").repartition(3), brute_counts(docs, 4)
+    for bits in (8, 14, 64):
+        got = frequent_phrases(df, [b"\xff" * (BUCKETS // 8)] * 3, 4, bits).collect()
+        assert {(r.lang, r.phrase): r.n for r in got} == want and len(got) == len(want) > 100
+
+
+def test_sums_of_a_task_are_given_in_parts(monkeypatch):
+    """A task that meets more hashes than it holds gives its sums more than once, and what is left at the end."""
+    from pyspark.sql import SparkSession
+
+    from skycensus.llm import collocations
+
+    rng = np.random.default_rng(14)
+    docs = [("en", " ".join(f"w{v}" for v in rng.integers(0, 9, 500))) for _ in range(40)]
+    monkeypatch.setattr(collocations, "HELD", 300)
+    df = SparkSession.getActiveSession().createDataFrame(docs, "lang string, text string").coalesce(2)
+    monkeypatch.setattr(collocations, "SLICE", 2000)
+    counts = collocations.hash_counts(df, [b"\xff" * (collocations.BUCKETS // 8)] * 3, 20)
+    assert sorted(r.n for r in counts.collect()) == sorted(brute_counts(docs, 20).values())
+
+
+def test_buckets_grow_with_the_words(spark):
+    from skycensus.llm.collocations import BUCKETS, PER_BUCKET, Slice, Windows, buckets_for, full_buckets
+
+    assert buckets_for(0) == buckets_for(BUCKETS) == BUCKETS and all(n <= PER_BUCKET * buckets_for(n) for n in (10**9, 10**10))
+    docs = [("en", "a b c d e. x")] * 9 + [("en", "b a")] * 2
+    df, every = spark.createDataFrame(docs, "lang string, text string"), [b"\xff" * (BUCKETS // 8)]
+    for _ in range(2):
+        every.append(full_buckets(df, range(len(every) + 1, 3 if len(every) < 2 else 6), every, 9, 4 * BUCKETS))
+    assert [len(x) for x in every[1:]] == [BUCKETS // 2] * 2 and [sum(map(int.bit_count, x)) for x in every[1:]] == [4, 6]
+    w = Windows(Slice("en", [b"b a. a b c d e f"]), every)
+    assert [w.level(k, True).tolist() for k in range(2, 6)] == [[2, 3, 4, 5], [2, 3, 4], [2, 3], [2]]
+
+
 def test_texts_come_in_small_batches(spark):
     """What of the texts crosses to a task's Python at once is bounded; the session is left as it was."""
     from skycensus.llm.collocations import arrow_batches, frequent
